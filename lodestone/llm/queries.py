@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, sentencepiece_bpe, simhash, topk_search, toxicity
+from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -52,9 +56,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op6_license_scan, op7_simhash_near_dedup,
+        op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op6_license_scan, op7_simhash_near_dedup,
         op8_toxicity, op9_topk_search, op10_html_extract,
     )
-
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op6_license_scan": license_scan.sql(), "op9_topk_search": topk_search.SQL}
