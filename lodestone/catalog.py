@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone import registry
+from lodestone.operators import chunking, dense, fusion, lexical, parsing
+from lodestone.plans import evaluation, gates, verification
+from lodestone.sources import filings
+from lodestone.streaming import ingest
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (parsing, chunking, lexical, dense, fusion, evaluation, gates, verification, filings, ingest)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
