@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
+from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, pitman_yor, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op6_license_scan, op7_simhash_near_dedup,
+        op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op5_lm_scoring, op6_license_scan, op7_simhash_near_dedup,
         op8_toxicity, op9_topk_search, op10_html_extract,
     )
 }
