@@ -21,7 +21,7 @@ from lodestone.llm.common import attach, staged
 
 LENGTH, GRAM = 400, 32
 #: Bytes hashed at once, bytes of a shard, shards merged at once, and spans of an anchor that one task compares.
-PIECE, SHARD, SHARDS, CROWD = 1 << 20, 1 << 20, 4, 400
+PIECE, SHARD, SHARDS, CROWD = 1 << 19, 1 << 18, 4, 4000
 # Two odd multipliers of the polynomial hashes, and one that spreads their bits.
 BASES, SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -134,57 +134,68 @@ def _pack(x: np.ndarray) -> np.ndarray:
     return key
 
 
-def _steps(length: int) -> list[tuple[int, int]]:
-    """Depths reached and steps taken: twice the depth each round, the last as far as needed."""
-    steps, depth = [], 8
+def _rounds(length: int, n: int) -> list[tuple[int, ...]]:
+    """Offsets whose ranks each round adds to a place's own: three times the depth a round, twice if n is large."""
+    rounds, depth = [], 8
     while depth < length:
-        step = min(depth, length - depth)
-        steps.append((depth, step))
-        depth += step
-    return steps
+        reach = min((3 if n < 1 << 20 else 2) * depth, length)
+        rounds.append((depth, reach - depth) if reach > 2 * depth else (reach - depth,))
+        depth = reach
+    return rounds
 
 
-def _refine(act: np.ndarray, rank: np.ndarray, step: int, kind: str) -> np.ndarray:
-    """Splits the blocks of the places `act` by the rank `step` further on; returns those left in blocks of several.
+def _refine(act: np.ndarray, rank: np.ndarray, order: np.ndarray, offsets: tuple[int, ...], kind: str) -> np.ndarray:
+    """Splits the blocks of the places `act` by the ranks at the offsets; returns those left in blocks of several.
 
     A block's rank is the place of its first suffix in the order. With kind="stable" and each shard's places in its
     own suffix order, sorting merges the shards' runs.
     """
     n = len(rank)
-    key = rank[act] * np.int64(n + 1) + np.where(act + step < n, rank[np.minimum(act + step, n - 1)], n)
-    order = np.argsort(key, kind=kind)
-    act, key = act[order], key[order]
-    here, block = np.arange(len(act)), key // (n + 1)
-    outer = np.maximum.accumulate(np.where(np.concatenate([[True], block[1:] != block[:-1]]), here, 0))
-    inner = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), here, 0))
-    rank[act] = block + inner - outer
-    edge = np.flatnonzero(np.concatenate([inner == here, [True]]))
-    return act[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+    own = key = rank[act]
+    for offset in offsets:
+        far = act + offset
+        key = key * np.int64(n + 1) + np.where(far < n, rank[np.minimum(far, n - 1)], n)
+    at = np.argsort(key, kind=kind)
+    act, key, own = act[at], key[at], own[at]
+    outer, inner = _first_ranks(own), _first_ranks(key)
+    here = np.arange(len(act))
+    order[own + here - outer] = act
+    rank[act] = own + inner - outer
+    return act[_several(inner)]
 
 
 def _first_ranks(key: np.ndarray) -> np.ndarray:
-    here = np.arange(len(key))
-    return np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), here, 0))
+    """Where the run of equal keys begins that each of the sorted keys is in."""
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    start = np.flatnonzero(new)
+    return np.repeat(start, np.diff(np.append(start, len(key))))
 
 
-def _several(rank_in_order: np.ndarray) -> np.ndarray:
-    edge = np.flatnonzero(np.concatenate([[True], rank_in_order[1:] != rank_in_order[:-1], [True]]))
-    return np.repeat(np.diff(edge) > 1, np.diff(edge))
+def _several(first: np.ndarray) -> np.ndarray:
+    """Whether a run has several members, from the beginnings of the runs."""
+    same = first[1:] == first[:-1]
+    return np.concatenate([[False], same]) | np.concatenate([same, [False]])
 
 
-def suffix_order(x: np.ndarray, length: int) -> np.ndarray:
-    """Places of x in the order of the `length` bytes that follow them (a prefix-doubling suffix array)."""
-    key = _pack(x)
-    order = np.argsort(key, kind="quicksort")
+def _ordered(key: np.ndarray, length: int, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and order of all places by the bytes that follow; base: an order in which each shard is sorted already."""
+    kind = "quicksort" if base is None else "stable"
+    order = np.argsort(key) if base is None else base[np.argsort(key[base], kind=kind)]
     ranks = _first_ranks(key[order])
-    rank = np.empty(len(x), np.int64)
+    rank = np.empty(len(key), np.int64)
     rank[order] = ranks
     act = order[_several(ranks)]
-    for _, step in _steps(length):
+    for offsets in _rounds(length, len(key)):
         if not len(act):
             break
-        act = _refine(act, rank, step, "quicksort")
-    return np.argsort(rank, kind="stable")
+        if base is not None:
+            open_ = np.zeros(len(key), bool)
+            open_[act] = True
+            base = act = base[open_[base]]
+        act = _refine(act, rank, order, offsets, kind)
+    return rank, order
 
 
 def merge_transforms(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,22 +204,13 @@ def merge_transforms(shards: list[np.ndarray], length: int) -> tuple[np.ndarray,
     Places share a block if and only if the `length` bytes from them are equal (as far as all lie in the shards).
     """
     x = np.concatenate(shards)
-    starts = np.cumsum([0, *[len(s) for s in shards[:-1]]])
-    base = np.concatenate([suffix_order(s, length) + at for s, at in zip(shards, starts)])
     key = _pack(x)
-    order = base[np.argsort(key[base], kind="stable")]
-    ranks = _first_ranks(key[order])
-    rank = np.empty(len(x), np.int64)
-    rank[order] = ranks
-    open_ = np.zeros(len(x), bool)
-    open_[order[_several(ranks)]] = True
-    for _, step in _steps(length):
-        act = base[open_[base]]
-        if not len(act):
-            break
-        open_[:] = False
-        open_[_refine(act, rank, step, "stable")] = True
-    interleave = base[np.argsort(rank[base], kind="stable")]
+    if len(shards) == 1:
+        rank, order = _ordered(key, length)
+        return rank, x[order - 1]
+    edges = np.cumsum([0, *[len(s) for s in shards]])
+    base = np.concatenate([_ordered(key[a:b], length)[1] + a for a, b in zip(edges[:-1], edges[1:])])
+    rank, interleave = _ordered(key, length, base)
     return rank, x[interleave - 1]
 
 
