@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on at most; every document is scored.
-SAMPLE = 6000
+SAMPLE = 4000
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 
 
@@ -131,13 +131,22 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 300, rate: float = 0.2
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents whose crc32(doc_id as text) mod 5 is not 0, in an order that a hash fixes.
 
-    Only those rows reach the driver. Labels without a toxic mark, and documents without text, are left out.
+    One task fits on that bounded sample; only the weights reach the driver. Labels without a toxic mark, and
+    documents without text, are left out.
     """
     usable = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     chosen = usable.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic")
-    rows = rows.toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches])
+        got = got.sort_values(["doc_id", "toxic", "text"], kind="stable")
+        model = fit(got["text"].tolist(), got["toxic"].astype(int).tolist())
+        yield pd.DataFrame({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
+
+    learnt = rows.repartition(1).mapInPandas(learn, "feature string, weight double").collect()
+    weights = {r["feature"]: r["weight"] for r in learnt}
+    return Model(weights, weights.pop("", -8.0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
