@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on at most; every document is scored.
-SAMPLE = 4000
+SAMPLE = 3000
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 
 
@@ -82,12 +83,13 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 300, rate: float = 0.2
         return Model({}, bias)
     word, of_sentence, of_doc = (np.frombuffer(x, np.int32).astype(np.int64) for x in (words, of_words, of_doc))
     pair = np.unique(word * len(y) + of_doc[of_sentence])
-    code: dict[str, int] = {}
-    parts, first_part = array("i"), array("q", [0])
+    parts, first_part = array("I"), array("q", [0])
     for w in number:
-        parts.extend([code.setdefault(f, len(code)) for f in features(w)])
+        parts.extend([zlib.crc32(f.encode("utf-8", "replace")) for f in features(w)])
         first_part.append(len(parts))
-    part, first_part = np.frombuffer(parts, np.int32).astype(np.int64), np.frombuffer(first_part, np.int64)
+    codes, part = np.unique(np.frombuffer(parts, np.uint32), return_inverse=True)
+    del parts
+    first_part = np.frombuffer(first_part, np.int64)
 
     def expand(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The features of each word of `of`, and the place in `of` that each comes from."""
@@ -97,13 +99,14 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 300, rate: float = 0.2
 
     feature, source = expand(pair // len(y))
     feature_doc = np.unique(feature * len(y) + (pair % len(y))[source])
-    total = np.bincount(feature_doc // len(y), minlength=len(code))
-    hits = np.bincount(feature_doc // len(y), y[feature_doc % len(y)], len(code))
+    total = np.bincount(feature_doc // len(y), minlength=len(codes))
+    hits = np.bincount(feature_doc // len(y), y[feature_doc % len(y)], len(codes))
     share, n = y.mean(), len(y)
     chi = (hits - share * total) ** 2 / (share * (1 - share) * total * np.maximum(1 - total / n, 1 / n))
     chosen = chi >= link
     place = np.cumsum(chosen) - 1
-    vocabulary = {f: int(place[i]) for f, i in code.items() if chosen[i]}
+    named = {int(codes[i]): int(place[i]) for i in np.flatnonzero(chosen)}
+    vocabulary = {f: named[c] for w in number for f in features(w) if (c := zlib.crc32(f.encode("utf-8", "replace"))) in named}
     if not vocabulary:
         return Model({}, bias)
     of_word = np.zeros(len(number), bool)
@@ -112,7 +115,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 300, rate: float = 0.2
     word, of_sentence = word[use], of_sentence[use]
     feature, source = expand(word)
     word, of_sentence = place[feature[chosen[feature]]], of_sentence[source[chosen[feature]]]
-    theta = np.zeros(len(vocabulary) + 1)
+    theta = np.zeros(len(named) + 1)
     theta[-1] = bias
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, epochs + 1):
@@ -120,7 +123,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 300, rate: float = 0.2
         total = np.bincount(of_doc, np.logaddexp(0, z), len(y))
         pull = np.where(y == 1, -np.minimum(1 / np.expm1(np.maximum(total, 1e-9)), cap), 1.0)
         g = pull[of_doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(word, g[of_sentence], len(vocabulary)), g.sum())
+        grad = np.append(np.bincount(word, g[of_sentence], len(named)), g.sum())
         grad[:-1] += decay * len(y) * theta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
