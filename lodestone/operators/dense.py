@@ -34,19 +34,22 @@ def ranked(rows: DataFrame, score: Column, k: int) -> DataFrame:
     return top(scored, k, F.desc("score"), F.col("vec_id")).select("qid", "vec_id", "label", "score", "rank")
 
 
-COSINE = dot("q", "v") / (norm("q") * norm("v"))
+def cosine() -> Column:
+    return dot("q", "v") / (norm("q") * norm("v"))
+
+
 PAIRS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
 pr AS (SELECT a.vec_id AS qid, b.vec_id, b.label, a.label AS q_label, round(list_cosine_similarity(a.v, b.v), 6) AS score, round(list_inner_product(a.v, b.v), 6) AS ip FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM pr) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(pairs(table(spark, sf_dir, "embeddings")), COSINE, DEPTH)
+    return ranked(pairs(table(spark, sf_dir, "embeddings")), cosine(), DEPTH)
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM pr WHERE label = q_label) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(pairs(table(spark, sf_dir, "embeddings"), F.col("label").eqNullSafe(F.col("q_label"))), COSINE, DEPTH)
+    return ranked(pairs(table(spark, sf_dir, "embeddings"), F.col("label").eqNullSafe(F.col("q_label"))), cosine(), DEPTH)
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT qid, vec_id, label, ip AS score, row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id)::INT AS rank FROM pr) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
@@ -87,7 +90,7 @@ def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT count(*) AS n, round(avg((coalesce(first, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f"
 )
 def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(table(spark, sf_dir, "embeddings")).withColumn("score", F.round(COSINE, 6))
+    rows = pairs(table(spark, sf_dir, "embeddings")).withColumn("score", F.round(cosine(), 6))
     found = top(rows, 10, F.desc("score"), F.col("vec_id"))
     first = found.groupBy("qid").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank"))).alias("first"))
     within = lambda k: F.round(F.avg((F.coalesce("first", F.lit(99)) <= k).cast("int")), 6).alias(f"recall_{k}")
