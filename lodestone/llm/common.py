@@ -41,9 +41,19 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that no later plan reads."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start there, also after an executor is lost."""
+    """Writes df to the shared folder and reads it back: later plans start there, also after an executor is lost.
+
+    Its shuffle files go when it is written.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,9 @@ that occur more often, a Gibbs sweep reseats the pair's customers one after the
 other pairs and the parent's predictive probabilities, which the sweep before has left. What is needed of a
 sample (customers less discounts, tables, parent probabilities) is averaged over the sweeps after a burn-in.
 Restaurants are rows of tables: a sweep joins and sums them, so none has to fit into a task.
+
+Pairs are counted and looked up in bulk: a chunk of texts sends each bucket of pairs its distinct pairs once, as arrays,
+and gets the buckets' values back in the same order.
 """
 
 from __future__ import annotations
@@ -14,32 +17,126 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, fold, staged
+from lodestone.llm.common import attach, discard, staged
 
 #: Discount and strength of the restaurants and of their parent, sweeps that are dropped and sweeps that count.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.6, 1.0
 BURN_IN, SAMPLES = 1, 2
 #: Customers seated one at a time; beyond, steps of a fiftieth of those seated share one probability.
 SINGLY = 256
-SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text of a chunk; there are as many buckets of pairs as chunks.
+CHUNK = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """row, doc_id, held_out, u, w, n: how often each pair of neighbouring tokens (64-bit hashes; 0 is the end) is in a document."""
-    words = F.filter(F.split(fold(F.col("text")), SPACE), lambda w: w != "")
-    ids = F.transform(words, lambda w: F.xxhash64(w))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), ids.alias("ids"))
-    end = F.array(F.lit(0).cast("long"))
-    pairs = F.arrays_zip(F.concat(end, "ids").alias("u"), F.concat("ids", end).alias("w"))
-    rows = rows.select("row", "doc_id", "held_out", F.explode(pairs).alias("p")).select("row", "doc_id", "held_out", "p.u", "p.w")
-    return rows.groupBy("row", "doc_id", "held_out", "u", "w").agg(F.count(F.lit(1)).alias("n"))
+def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """chunk, doc_id, held_out, text, and the number of chunks."""
+    n = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK + 1
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
+    return docs.select(chunk, "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")), n
+
+
+class Chunk:
+    """The tokens of a chunk: words by local number (0 is the end) with their hashes, and distinct pairs in the order of bucket, u and w."""
+
+    def __init__(self, texts: list[bytes | None], buckets: int) -> None:
+        number: dict[bytes, int] = {b"": 0}
+        ids, sizes = [0], []
+        for text in texts:
+            # these split at \x20 and \x09-\x0D and lower A-Z, as bytes
+            words = (text or b"").lower().split()
+            ids += [number.setdefault(w, len(number)) for w in words]
+            ids.append(0)
+            sizes.append(len(words) + 1)
+        self.n_tokens = np.array(sizes, np.int64)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in number], np.uint64).view(np.int64)
+        flat = np.array(ids, np.int64)
+        self.words = flat[1:]
+        pairs, self.pair = np.unique(flat[:-1] * len(number) + self.words, return_inverse=True)
+        self.u, self.w = np.divmod(pairs, len(number))
+        self.bucket = bucket_of(self.hashes[self.u], self.hashes[self.w], buckets)
+        self.order = np.lexsort((self.hashes[self.w], self.hashes[self.u], self.bucket))
+
+
+def bucket_of(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """A row per chunk and bucket: the distinct pairs (u, w) and how often each is in the training texts (n); words in bucket -1."""
+
+    def each(table: pa.Table) -> pa.Table:
+        c = Chunk(_texts(table), buckets)
+        train = np.repeat(~table["held_out"].to_numpy(), c.n_tokens)
+        n = np.bincount(c.pair, train, len(c.u)).astype(np.int32)[c.order]
+        have, start = np.unique(c.bucket[c.order], return_index=True)
+        edges = np.concatenate([[0], [len(c.hashes)], len(c.hashes) + np.append(start[1:], len(n))])
+
+        def lists(words: np.ndarray, pairs: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([words, pairs])))
+
+        none = np.zeros(len(c.hashes), np.int64)
+        u, w = lists(c.hashes, c.hashes[c.u][c.order]), lists(none, c.hashes[c.w][c.order])
+        bucket = pa.array(np.concatenate([[-1], have]), pa.int32())
+        return pa.table({"chunk": pa.array(np.full(len(have) + 1, table["chunk"][0].as_py()), pa.int32()), "bucket": bucket, "u": u, "w": w, "n": lists(none.astype(np.int32), n)})
+
+    return docs.groupBy("chunk").applyInArrow(each, "chunk int, bucket int, u array<long>, w array<long>, n array<int>")
+
+
+def _texts(table: pa.Table) -> list[bytes | None]:
+    return table["text"].cast(pa.binary()).to_pylist()
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in table[name].chunks]])
+
+
+def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a bucket's requests in order, their counts, and which of them each requested pair is."""
+    u, w = _flat(table, "u"), _flat(table, "w")
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    new = np.concatenate([np.ones(min(len(u), 1), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+    which = np.empty(len(u), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return u[new], w[new], np.bincount(which, _flat(table, "n"), int(new.sum())).astype(np.int64), which
+
+
+def counted(asked: DataFrame) -> DataFrame:
+    """bucket, u, w, c of the training pairs."""
+
+    def each(table: pa.Table) -> pa.Table:
+        u, w, c, _ = merged(table)
+        seen = c > 0
+        return pa.table({"bucket": pa.array(np.full(int(seen.sum()), table["bucket"][0].as_py()), pa.int32()), "u": u[seen], "w": w[seen], "c": c[seen]})
+
+    return asked.groupBy("bucket").applyInArrow(each, "bucket int, u long, w long, c long")
+
+
+def answered(asked: DataFrame, often: DataFrame) -> DataFrame:
+    """chunk, bucket and x (customers less discounts) of the requested pairs; often has that of pairs that occur more than once."""
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        *_, c, which = merged(left)
+        x = np.where(c == 1, 1 - DISCOUNT, 0.0)
+        order = np.lexsort((right["w"].to_numpy(), right["u"].to_numpy()))
+        x[c > 1] = right["x"].to_numpy()[order]
+        sizes = np.concatenate([[0], np.cumsum(left["u"].combine_chunks().value_lengths().to_numpy())])
+        values = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x[which].astype(np.float32)))
+        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "x": values})
+
+    return asked.groupBy("bucket").cogroup(often.groupBy("bucket")).applyInArrow(each, "chunk int, bucket int, x array<float>")
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -74,18 +171,18 @@ def reseat(rows: DataFrame, customers: str, weight: Column, discount: float, swe
     return rows.withColumn("_weight", weight).mapInPandas(each, schema)
 
 
-def model(pairs: DataFrame, known: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, float]]:
-    """Averages over the samples: of repeated pairs (u, w, x), contexts (u, cu, tu), words (w, p1); and p1 of an unknown word.
+def model(pairs: DataFrame, known: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """Averages over the samples: of repeated pairs (bucket, u, w, x), contexts (u, cu, tu), words (w, p1, cw); and p1 of an unknown word.
 
-    pairs: u, w, c, the training counts above 0.
+    pairs: bucket, u, w, c, the training counts above 0; they are deleted.
     """
-    often = staged(pairs.where("c > 1"), "often")
     contexts = staged(pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count(F.lit(1)).cast("double").alias("types"), F.count_if(F.col("c") > 1).alias("rows")), "contexts")
     parents = staged(pairs.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("types"), F.count_if(F.col("c") > 1).alias("rows"), F.sum("c").alias("cw")), "parents")
-    seated = staged(often.withColumn("t", F.greatest(F.lit(1.0), F.floor(F.pow("c", F.lit(0.5))))), "seated")
+    start = F.greatest(F.lit(1.0), F.floor(F.pow("c", F.lit(0.5))))
+    seated = staged(pairs.where("c > 1").withColumns({"t": start, "ts": F.lit(0.0)}), "seated")
+    discard(pairs)
     tables = staged(contexts.withColumn("tu", F.col("types")), "tables")
-    shares: DataFrame | None = None
-    sums: list[tuple[DataFrame, DataFrame, DataFrame, float]] = []
+    sums: list[tuple[DataFrame, DataFrame, float]] = []
     for sweep in range(BURN_IN + SAMPLES):
         more = F.sum(F.col("t") - 1).alias("more")
         extra = seated.groupBy("w").agg(more)
@@ -96,16 +193,20 @@ def model(pairs: DataFrame, known: int) -> tuple[DataFrame, DataFrame, DataFrame
         spread = (ROOT_STRENGTH + ROOT_DISCOUNT * (root.agg(F.sum("t")).first()[0] or 0.0)) / (known + 1)
         p1 = (F.col("guests") - ROOT_DISCOUNT * F.col("t") + spread) / (ROOT_STRENGTH + total)
         shares = staged(root.select("w", "rows", p1.alias("p1")), "shares")
-        met = attach(often, shares.where("rows > 0").withColumnRenamed("rows", "size"), ["w"], "size").drop("size")
+        discard(root)
+        met = attach(seated.drop("t"), shares.where("rows > 0").withColumnRenamed("rows", "size"), ["w"], "size").drop("size")
         met = staged(met, "met")
-        met = attach(met, tables.where("rows > 0").select("u", "tu", F.col("rows").alias("size")), ["u"], "size").drop("size")
+        discard(seated)
+        guest = attach(met, tables.where("rows > 0").select("u", "tu", F.col("rows").alias("size")), ["u"], "size").drop("size")
         weight = (STRENGTH + DISCOUNT * F.col("tu")) * F.col("p1")
-        seated = staged(reseat(met, "c", weight, DISCOUNT, sweep).select("u", "w", "c", "t"), "seated")
+        seated = reseat(guest, "c", weight, DISCOUNT, sweep).withColumn("ts", F.col("ts") + (F.col("t") if sweep >= BURN_IN else 0.0))
+        seated = staged(seated.select("bucket", "u", "w", "c", "t", "ts"), "seated")
+        discard(met)
         extra = seated.groupBy("u").agg(more)
         tables = contexts.join(extra, "u", "left").withColumn("tu", F.col("types") + F.coalesce("more", F.lit(0.0))).drop("more")
         tables = staged(tables, "tables")
         if sweep >= BURN_IN:
-            sums.append((seated, tables, shares, spread / (ROOT_STRENGTH + total)))
+            sums.append((tables, shares, spread / (ROOT_STRENGTH + total)))
 
     def mean(place: int, keys: list[str], value: str, kept: list[str]) -> DataFrame:
         every = sums[0][place]
@@ -113,9 +214,9 @@ def model(pairs: DataFrame, known: int) -> tuple[DataFrame, DataFrame, DataFrame
             every = every.unionByName(s[place])
         return every.groupBy(*keys, *kept).agg(F.avg(value).alias(value))
 
-    x = mean(0, ["u", "w"], "t", ["c"]).select("u", "w", (F.col("c") - DISCOUNT * F.col("t")).alias("x"))
-    words = mean(2, ["w"], "p1", []).join(parents.select("w", "cw"), "w")
-    return x, mean(1, ["u"], "tu", ["cu"]), words, float(np.mean([s[3] for s in sums]))
+    x = seated.select("bucket", "u", "w", (F.col("c") - DISCOUNT * F.col("ts") / SAMPLES).alias("x"))
+    words = mean(1, ["w"], "p1", []).join(parents.select("w", "cw"), "w")
+    return x, mean(0, ["u"], "tu", ["cu"]), words, float(np.mean([s[2] for s in sums]))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -126,27 +227,43 @@ def score(docs: DataFrame) -> DataFrame:
     null and empty texts are an end. Repeated rows count as often as they come and are scored each. Without any
     training token, every token has the base's probability. Texts are whole; an empty table gives no rows.
     """
-    toks = tokens(docs)
-    counts = toks.groupBy("u", "w").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(F.col("n"))).alias("c"), F.count(F.lit(1)).alias("docs"))
-    counts = staged(counts, "pairs")
-    pairs = counts.where("c > 0").select("u", "w", "c")
+    rows, buckets = chunked(docs)
+    asked = staged(requests(rows, buckets), "asked")
+    of_pairs = asked.where("bucket >= 0")
+    pairs = staged(counted(of_pairs), "pairs")
     total, known = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_distinct("w")).first()
     x, contexts, words, unknown = model(pairs, known)
-    of_u = counts.groupBy("u").agg(F.count(F.lit(1)).alias("size")).join(contexts, "u", "left")
-    of_w = counts.groupBy("w").agg(F.count(F.lit(1)).alias("size")).join(words, "w", "left")
-    rows = attach(counts, staged(of_u, "of_u"), ["u"], "size").drop("size")
-    rows = attach(staged(rows, "with_u"), staged(of_w, "of_w"), ["w"], "size").drop("size")
-    rows = rows.join(x, ["u", "w"], "left")
-    p1 = F.coalesce("p1", F.lit(unknown if total else 1.0 / (known + 1)))
-    own = F.coalesce("x", F.when(F.col("c") > 0, F.lit(1 - DISCOUNT)), F.lit(0.0))
-    p = F.coalesce((own + (STRENGTH + DISCOUNT * F.col("tu")) * p1) / (STRENGTH + F.col("cu")), p1)
-    cw = F.coalesce("cw", F.lit(0))
-    base = F.log10((cw + 0.5) / F.lit(total + 0.5 * (known + 1)))
-    rows = staged(rows.select("u", "w", "docs", F.log10(p).alias("lp"), base.alias("lb"), (cw > 0).cast("int").alias("known")), "scores")
-    met = attach(toks, rows, ["u", "w"], "docs")
-    n = F.col("n")
-    found = met.groupBy("row", "doc_id", "held_out").agg(
-        F.sum("n").alias("n_tokens"), F.sum(n * F.col("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(n * F.col("lb")).alias("base_score"), F.sum(n * F.col("lp")).alias("score"),
-    )
-    return found.drop("row")
+    unknown = unknown if total else 1.0 / (known + 1)
+    found = staged(answered(of_pairs, x), "answers")
+    vocabulary = contexts.withColumnRenamed("u", "word").join(words.withColumnRenamed("w", "word"), "word", "full")
+    of_words = asked.where("bucket < 0").select("chunk", F.explode("u").alias("word")).join(vocabulary, "word")
+    answers = staged(found.unionByName(of_words, allowMissingColumns=True), "answers")
+    discard(asked)
+    discard(found)
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(_texts(left), buckets)
+        of_word = right.filter(pa.compute.is_null(right["bucket"])).sort_by("word")
+        of_pair = right.filter(pa.compute.is_valid(right["bucket"])).sort_by("bucket")
+        named = of_word["word"].to_numpy()
+        at = np.minimum(np.searchsorted(named, c.hashes), max(len(named) - 1, 0))
+        met = named[at] == c.hashes if len(named) else np.zeros(len(c.hashes), bool)
+
+        def of(name: str, missing: float) -> np.ndarray:
+            value = of_word[name].cast(pa.float64()).fill_null(missing).to_numpy()
+            return np.where(met, value[at] if len(value) else missing, missing)
+
+        own = np.empty(len(c.u))
+        own[c.order] = _flat(of_pair, "x")
+        p1, cw = of("p1", unknown)[c.w], of("cw", 0.0)
+        lp = np.log10((own + (STRENGTH + DISCOUNT * of("tu", 0.0)[c.u]) * p1) / (STRENGTH + of("cu", 0.0)[c.u]))
+        lb = np.log10((cw + 0.5) / (total + 0.5 * (known + 1)))
+        first = np.cumsum(c.n_tokens) - c.n_tokens
+        values = {
+            "n_tokens": c.n_tokens, "n_known": np.add.reduceat((cw > 0)[c.words].astype(np.int64), first), "train_tokens": np.full(len(first), total),
+            "base_score": np.add.reduceat(lb[c.words], first), "score": np.add.reduceat(lp[c.pair], first),
+        }
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], **values})
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)

@@ -1,7 +1,9 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -119,6 +121,18 @@ def test_language_model_counts_and_normalises(docs, empty):
     train = [w for i, t, _ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1 or i is None for w in [*fold(t).split(), b"\0"]]
     for r in rows:
         assert r.train_tokens == len(train) and r.score < 0 and r.n_known <= r.n_tokens
+    count, total = Counter(train), len(train)
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows)
+    want = []
+    for i, t, _ in ROWS:
+        own = [*fold(t).split(), b"\0"]
+        base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (len(count) + 1))) for w in own)
+        want.append((str(i), len(own), sum(count[w] > 0 for w in own), round(base, 6)))
+    assert got == sorted(want)
+    # every training token is counted in one pair
+    asked = pitman_yor.requests(pitman_yor.chunked(docs)[0], 3).where("bucket >= 0")
+    pairs = {(r.u, r.w): r.c for r in pitman_yor.counted(asked).collect()}
+    assert sum(pairs.values()) == total and len({w for _, w in pairs}) == len(count)
     assert pitman_yor.score(empty).count() == 0
 
 
