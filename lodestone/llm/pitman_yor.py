@@ -7,8 +7,9 @@ other pairs and the parent's predictive probabilities, which the sweep before ha
 sample (customers less discounts, tables, parent probabilities) is averaged over the sweeps after a burn-in.
 Restaurants are rows of tables: a sweep joins and sums them, so none has to fit into a task.
 
-Pairs are counted and looked up in bulk: a chunk of texts sends each bucket of pairs its distinct pairs once, as arrays,
-and gets the buckets' values back in the same order.
+Texts are read and cut into words once: a chunk of texts keeps its tokens and asks for the numbers of its distinct words,
+which are given by frequency. Pairs of numbers are then counted and looked up in bulk: a chunk sends each bucket of pairs
+its distinct pairs once, packed, and gets the bucket's values back in the same order.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,87 +32,180 @@ DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.6, 1.0
 BURN_IN, SAMPLES = 1, 2
 #: Customers seated one at a time; beyond, steps of a fiftieth of those seated share one probability.
 SINGLY = 256
-#: Bytes of text of a chunk; there are as many buckets of pairs as chunks.
+#: Bytes of text of a chunk; there are as many buckets of words and of pairs as such chunks.
 CHUNK = 8 << 20
+#: Words of each bucket whose pairs are dealt to all buckets.
+SPREAD = 16
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """chunk, doc_id, held_out, text, and the number of chunks."""
-    n = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK + 1
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
-    return docs.select(chunk, "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")), n
+def packed(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array of 8-byte values, equal places of all values together."""
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
-class Chunk:
-    """The tokens of a chunk: words by local number (0 is the end) with their hashes, and distinct pairs in the order of bucket, u and w."""
+def unpacked(data: bytes, size: int, kind: type = np.int64) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, size * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, size).T).reshape(-1).view(kind)
 
-    def __init__(self, texts: list[bytes | None], buckets: int) -> None:
+
+def slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """bucket, start and end of the runs of a sorted array."""
+    have, start = np.unique(bucket, return_index=True)
+    return list(zip(have.tolist(), start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True))
+
+
+def encoded(docs: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a chunk of texts: one with its documents and tokens (bucket -1), and one for each bucket of words.
+
+    Tokens are places in the chunk's list of distinct words, which is in the order of their buckets; words are their hashes
+    (the end is 0), n says how often each is in the training texts.
+    """
+    doc_id = dict(docs.dtypes)["doc_id"]
+    schema = f"chunk long, bucket int, size int, words binary, n binary, doc_ids array<{doc_id}>, held_out array<boolean>, sizes array<long>"
+
+    def rows(chunk: int, doc_ids: pa.Array, held: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
         number: dict[bytes, int] = {b"": 0}
-        ids, sizes = [0], []
+        ids, sizes = [], []
         for text in texts:
             # these split at \x20 and \x09-\x0D and lower A-Z, as bytes
             words = (text or b"").lower().split()
             ids += [number.setdefault(w, len(number)) for w in words]
             ids.append(0)
             sizes.append(len(words) + 1)
-        self.n_tokens = np.array(sizes, np.int64)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in number], np.uint64).view(np.int64)
-        flat = np.array(ids, np.int64)
-        self.words = flat[1:]
-        pairs, self.pair = np.unique(flat[:-1] * len(number) + self.words, return_inverse=True)
-        self.u, self.w = np.divmod(pairs, len(number))
-        self.bucket = bucket_of(self.hashes[self.u], self.hashes[self.w], buckets)
-        self.order = np.lexsort((self.hashes[self.w], self.hashes[self.u], self.bucket))
+        hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in number], np.uint64)
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        tokens = np.array(ids, np.int64)
+        n = np.bincount(tokens, np.repeat(~held.to_numpy(zero_copy_only=False), sizes), len(number)).astype(np.int64)[order]
+        hashes = hashes[order]
+        parts = slices(bucket[order])
+        one = len(parts)
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array([chunk] * (one + 1), pa.int64()), "bucket": pa.array([-1, *[b for b, _, _ in parts]], pa.int32()),
+            "size": pa.array([len(tokens), *[end - start for _, start, end in parts]], pa.int32()),
+            "words": pa.array([packed(place[tokens]), *[packed(hashes[start:end]) for _, start, end in parts]], pa.binary()),
+            "n": pa.array([None, *[packed(n[start:end]) for _, start, end in parts]], pa.binary()),
+            "doc_ids": pa.array([doc_ids.to_pylist(), *[None] * one], pa.list_(doc_ids.type)),
+            "held_out": pa.array([held.to_pylist(), *[None] * one], pa.list_(pa.bool_())),
+            "sizes": pa.array([sizes, *[None] * one], pa.list_(pa.int64())),
+        })
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, kept, length = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            start = 0
+            for at, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_pylist()):
+                length += n
+                if length >= CHUNK:
+                    yield rows(chunk, *_joined([*kept, batch.slice(start, at + 1 - start)]))
+                    chunk, kept, length, start = chunk + 1, [], 0, at + 1
+            if start < batch.num_rows:
+                kept.append(batch.slice(start))
+        if kept:
+            yield rows(chunk, *_joined(kept))
+
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(each, schema)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, list[bytes | None]]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    flat = [pa.concat_arrays(table[c].chunks) for c in ("doc_id", "held_out", "text")]
+    return flat[0], flat[1], flat[2].cast(pa.binary()).to_pylist()
+
+
+def numbered(words: DataFrame, buckets: int) -> DataFrame:
+    """chunk, bucket and the numbers of the asked words: by frequency within a bucket, the buckets taking turns; -1 for words that no training text has."""
+
+    def each(table: pa.Table) -> pa.Table:
+        sizes = table["size"].to_pylist()
+        word, which = np.unique(_all(table, "words", sizes), return_inverse=True)
+        n = np.bincount(which, _all(table, "n", sizes), len(word))
+        rank = np.empty(len(word), np.int64)
+        rank[np.lexsort((word, -n))] = np.arange(len(word))
+        number = np.where(n > 0, rank * buckets + table["bucket"][0].as_py(), -1)[which]
+        numbers = [packed(x) for x in np.split(number, np.cumsum(sizes)[:-1])]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "size": table["size"], "numbers": pa.array(numbers, pa.binary())})
+
+    return words.groupBy("bucket").applyInArrow(each, "chunk long, bucket int, size int, numbers binary")
+
+
+def _all(table: pa.Table, name: str, sizes: list[int], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[unpacked(d, n, kind) for d, n in zip(table[name].to_pylist(), sizes, strict=True)]])
 
 
 def bucket_of(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """A context's pairs share its bucket, but those of the SPREAD most frequent words of each bucket are dealt by both words."""
     mixed = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-
+    mixed = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+    return np.where(u // buckets < SPREAD, mixed, u % buckets)
 
-def requests(docs: DataFrame, buckets: int) -> DataFrame:
-    """A row per chunk and bucket: the distinct pairs (u, w) and how often each is in the training texts (n); words in bucket -1."""
 
-    def each(table: pa.Table) -> pa.Table:
-        c = Chunk(_texts(table), buckets)
-        train = np.repeat(~table["held_out"].to_numpy(), c.n_tokens)
-        n = np.bincount(c.pair, train, len(c.u)).astype(np.int32)[c.order]
-        have, start = np.unique(c.bucket[c.order], return_index=True)
-        edges = np.concatenate([[0], [len(c.hashes)], len(c.hashes) + np.append(start[1:], len(n))])
+class Pairs:
+    """The distinct pairs of a chunk's tokens, which are places in the sorted numbers: their words, and those of known words by bucket, u and w."""
 
-        def lists(words: np.ndarray, pairs: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([words, pairs])))
+    def __init__(self, tokens: np.ndarray, numbers: np.ndarray, buckets: int) -> None:
+        # the last token is an end, which is also what comes before the first
+        keys = np.concatenate([tokens[-1:], tokens[:-1]]) * len(numbers) + tokens
+        pairs, self.pair = np.unique(keys, return_inverse=True)
+        self.u, self.w = np.divmod(pairs, len(numbers))
+        u, w = numbers[self.u], numbers[self.w]
+        known = np.flatnonzero((u >= 0) & (w >= 0))
+        bucket = bucket_of(u[known], w[known], buckets)
+        order = np.argsort(bucket, kind="stable")
+        self.known, self.bucket = known[order], bucket[order]
 
-        none = np.zeros(len(c.hashes), np.int64)
-        u, w = lists(c.hashes, c.hashes[c.u][c.order]), lists(none, c.hashes[c.w][c.order])
-        bucket = pa.array(np.concatenate([[-1], have]), pa.int32())
-        return pa.table({"chunk": pa.array(np.full(len(have) + 1, table["chunk"][0].as_py()), pa.int32()), "bucket": bucket, "u": u, "w": w, "n": lists(none.astype(np.int32), n)})
 
-    return docs.groupBy("chunk").applyInArrow(each, "chunk int, bucket int, u array<long>, w array<long>, n array<int>")
+ASKED = "chunk long, kind int, bucket int, size int, n_words int, a binary, b binary, n binary"
 
 
-def _texts(table: pa.Table) -> list[bytes | None]:
-    return table["text"].cast(pa.binary()).to_pylist()
+def requests(texts: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a chunk: its tokens as places in its sorted numbers (kind 0: a tokens, b numbers), the numbers by bucket (kind 1, in a), and
 
+    the distinct pairs by bucket (kind 2: a is u as differences, b is w, n says how often they are in training texts).
+    """
+    schema = ASKED + "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in ("doc_ids", "held_out", "sizes"))
 
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in table[name].chunks]])
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("bucket")
+        number, place = np.unique(_all(right, "numbers", right["size"].to_pylist()), return_inverse=True)
+        tokens = place[unpacked(left["words"][0].as_py(), left["size"][0].as_py())]
+        p = Pairs(tokens, number, buckets)
+        train = np.repeat(~np.array(left["held_out"][0].as_py(), bool), left["sizes"][0].as_py())
+        n = np.bincount(p.pair, train, len(p.u)).astype(np.int64)[p.known]
+        u, w = number[p.u[p.known]], number[p.w[p.known]]
+        chunk = left["chunk"][0].as_py()
+        found = [(chunk, 0, -1, len(tokens), len(number), packed(tokens), packed(number), None)]
+        bucket = number[number >= 0] % buckets
+        order = np.argsort(bucket, kind="stable")
+        words = number[number >= 0][order]
+        found += [(chunk, 1, b, end - start, None, packed(words[start:end]), None, None) for b, start, end in slices(bucket[order])]
+        found += [(chunk, 2, b, end - start, None, packed(np.diff(u[start:end], prepend=0)), packed(w[start:end]), packed(n[start:end])) for b, start, end in slices(p.bucket)]
+        names = ("chunk", "kind", "bucket", "size", "n_words", "a", "b", "n")
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = {name: pa.array(values, kind) for name, kind, values in zip(names, kinds, zip(*found, strict=True), strict=True)}
+        return pa.table(columns | {c: pa.array([left[c][0].as_py(), *[None] * (len(found) - 1)], left[c].type) for c in ("doc_ids", "held_out", "sizes")})
+
+    return texts.groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(each, schema)
 
 
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of a bucket's requests in order, their counts, and which of them each requested pair is."""
-    u, w = _flat(table, "u"), _flat(table, "w")
+    sizes = table["size"].to_pylist()
+    u = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(unpacked(d, n)) for d, n in zip(table["a"].to_pylist(), sizes, strict=True)]])
+    w = _all(table, "b", sizes)
     order = np.lexsort((w, u))
     u, w = u[order], w[order]
     new = np.concatenate([np.ones(min(len(u), 1), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
     which = np.empty(len(u), np.int64)
     which[order] = np.cumsum(new) - 1
-    return u[new], w[new], np.bincount(which, _flat(table, "n"), int(new.sum())).astype(np.int64), which
+    return u[new], w[new], np.bincount(which, _all(table, "n", sizes), int(new.sum())).astype(np.int64), which
 
 
 def counted(asked: DataFrame) -> DataFrame:
@@ -124,19 +219,40 @@ def counted(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(each, "bucket int, u long, w long, c long")
 
 
+def _answers(asked: pa.Table, kind: int, values: np.ndarray) -> pa.Table:
+    """Packed values of each row of requests; values has a row per value and a column per requested word or pair."""
+    sizes = asked["size"].to_pylist()
+    parts = np.split(values, np.cumsum(sizes)[:-1], axis=1) if sizes else []
+    found = pa.array([packed(x.reshape(-1)) for x in parts], pa.binary())
+    return pa.table({"chunk": asked["chunk"], "kind": pa.array([kind] * len(sizes), pa.int32()), "bucket": asked["bucket"], "size": asked["size"], "a": found})
+
+
+ANSWERS = "chunk long, kind int, bucket int, size int, a binary"
+
+
 def answered(asked: DataFrame, often: DataFrame) -> DataFrame:
-    """chunk, bucket and x (customers less discounts) of the requested pairs; often has that of pairs that occur more than once."""
+    """Customers less discounts of the requested pairs; often has that of pairs that occur more than once."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         *_, c, which = merged(left)
         x = np.where(c == 1, 1 - DISCOUNT, 0.0)
         order = np.lexsort((right["w"].to_numpy(), right["u"].to_numpy()))
         x[c > 1] = right["x"].to_numpy()[order]
-        sizes = np.concatenate([[0], np.cumsum(left["u"].combine_chunks().value_lengths().to_numpy())])
-        values = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x[which].astype(np.float32)))
-        return pa.table({"chunk": left["chunk"], "bucket": left["bucket"], "x": values})
+        return _answers(left, 2, x[which][None].astype(np.float32).astype(np.float64))
+
+    return asked.groupBy("bucket").cogroup(often.groupBy("bucket")).applyInArrow(each, ANSWERS)
 
-    return asked.groupBy("bucket").cogroup(often.groupBy("bucket")).applyInArrow(each, "chunk int, bucket int, x array<float>")
+
+def described(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """tu, cu, p1 and cw of the requested words, one after the other."""
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("w")
+        at = np.searchsorted(right["w"].to_numpy(), _all(left, "a", left["size"].to_pylist()))
+        values = np.array([right[c].cast(pa.float64()).to_numpy() for c in ("tu", "cu", "p1", "cw")])
+        return _answers(left, 1, values[:, at])
+
+    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(each, ANSWERS)
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -171,13 +287,16 @@ def reseat(rows: DataFrame, customers: str, weight: Column, discount: float, swe
     return rows.withColumn("_weight", weight).mapInPandas(each, schema)
 
 
-def model(pairs: DataFrame, known: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """Averages over the samples: of repeated pairs (bucket, u, w, x), contexts (u, cu, tu), words (w, p1, cw); and p1 of an unknown word.
+def model(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, int, int]:
+    """Averages over the samples: of repeated pairs (bucket, u, w, x), contexts (u, cu, tu), words (w, p1, cw);
+
+    and p1 of an unknown word, the number of known words and that of tokens.
 
     pairs: bucket, u, w, c, the training counts above 0; they are deleted.
     """
     contexts = staged(pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count(F.lit(1)).cast("double").alias("types"), F.count_if(F.col("c") > 1).alias("rows")), "contexts")
     parents = staged(pairs.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("types"), F.count_if(F.col("c") > 1).alias("rows"), F.sum("c").alias("cw")), "parents")
+    known, tokens = parents.agg(F.count(F.lit(1)), F.coalesce(F.sum("cw"), F.lit(0))).first()
     start = F.greatest(F.lit(1.0), F.floor(F.pow("c", F.lit(0.5))))
     seated = staged(pairs.where("c > 1").withColumns({"t": start, "ts": F.lit(0.0)}), "seated")
     discard(pairs)
@@ -216,7 +335,7 @@ def model(pairs: DataFrame, known: int) -> tuple[DataFrame, DataFrame, DataFrame
 
     x = seated.select("bucket", "u", "w", (F.col("c") - DISCOUNT * F.col("ts") / SAMPLES).alias("x"))
     words = mean(1, ["w"], "p1", []).join(parents.select("w", "cw"), "w")
-    return x, mean(0, ["u"], "tu", ["cu"]), words, float(np.mean([s[2] for s in sums]))
+    return x, mean(0, ["u"], "tu", ["cu"]), words, float(np.mean([s[2] for s in sums])), known, tokens
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -227,43 +346,44 @@ def score(docs: DataFrame) -> DataFrame:
     null and empty texts are an end. Repeated rows count as often as they come and are scored each. Without any
     training token, every token has the base's probability. Texts are whole; an empty table gives no rows.
     """
-    rows, buckets = chunked(docs)
-    asked = staged(requests(rows, buckets), "asked")
-    of_pairs = asked.where("bucket >= 0")
+    buckets = (docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // CHUNK + 1
+    chunks = staged(encoded(docs, buckets), "chunks")
+    numbers = staged(numbered(chunks.where("bucket >= 0").select("chunk", "bucket", "size", "words", "n"), buckets), "numbers")
+    asked = staged(requests(chunks.where("bucket < 0").drop("n"), numbers, buckets), "asked")
+    discard(chunks)
+    discard(numbers)
+    of_pairs, of_words = (asked.where(F.col("kind") == kind).select("chunk", "bucket", "size", "a", "b", "n") for kind in (2, 1))
     pairs = staged(counted(of_pairs), "pairs")
-    total, known = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_distinct("w")).first()
-    x, contexts, words, unknown = model(pairs, known)
+    x, contexts, words, unknown, known, total = model(pairs)
     unknown = unknown if total else 1.0 / (known + 1)
-    found = staged(answered(of_pairs, x), "answers")
-    vocabulary = contexts.withColumnRenamed("u", "word").join(words.withColumnRenamed("w", "word"), "word", "full")
-    of_words = asked.where("bucket < 0").select("chunk", F.explode("u").alias("word")).join(vocabulary, "word")
-    answers = staged(found.unionByName(of_words, allowMissingColumns=True), "answers")
-    discard(asked)
-    discard(found)
+    words = words.join(contexts.withColumnRenamed("u", "w"), "w", "left").fillna(0).withColumn("bucket", F.pmod("w", F.lit(buckets)).cast("int"))
+    answers = staged(answered(of_pairs, x).unionByName(described(of_words, words)), "answers")
+    doc_id = dict(docs.dtypes)["doc_id"]
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = Chunk(_texts(left), buckets)
-        of_word = right.filter(pa.compute.is_null(right["bucket"])).sort_by("word")
-        of_pair = right.filter(pa.compute.is_valid(right["bucket"])).sort_by("bucket")
-        named = of_word["word"].to_numpy()
-        at = np.minimum(np.searchsorted(named, c.hashes), max(len(named) - 1, 0))
-        met = named[at] == c.hashes if len(named) else np.zeros(len(c.hashes), bool)
-
-        def of(name: str, missing: float) -> np.ndarray:
-            value = of_word[name].cast(pa.float64()).fill_null(missing).to_numpy()
-            return np.where(met, value[at] if len(value) else missing, missing)
-
-        own = np.empty(len(c.u))
-        own[c.order] = _flat(of_pair, "x")
-        p1, cw = of("p1", unknown)[c.w], of("cw", 0.0)
-        lp = np.log10((own + (STRENGTH + DISCOUNT * of("tu", 0.0)[c.u]) * p1) / (STRENGTH + of("cu", 0.0)[c.u]))
+        number = unpacked(left["b"][0].as_py(), left["n_words"][0].as_py())
+        tokens = unpacked(left["a"][0].as_py(), left["size"][0].as_py())
+        p = Pairs(tokens, number, buckets)
+        right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        rows = list(zip(right["kind"].to_pylist(), right["a"].to_pylist(), right["size"].to_pylist(), strict=True))
+        met = np.flatnonzero(number >= 0)
+        met = met[np.argsort(number[met] % buckets, kind="stable")]
+        of_word = np.zeros((4, len(number)))
+        of_word[2] = unknown
+        of_word[:, met] = np.concatenate([np.zeros((4, 0)), *[unpacked(a, 4 * n, np.float64).reshape(4, n) for kind, a, n in rows if kind == 1]], axis=1)
+        own = np.zeros(len(p.u))
+        own[p.known] = np.concatenate([np.zeros(0), *[unpacked(a, n, np.float64) for kind, a, n in rows if kind == 2]])
+        tu, cu, p1, cw = of_word
+        lp = np.log10((own + (STRENGTH + DISCOUNT * tu[p.u]) * p1[p.w]) / (STRENGTH + cu[p.u]))
         lb = np.log10((cw + 0.5) / (total + 0.5 * (known + 1)))
-        first = np.cumsum(c.n_tokens) - c.n_tokens
+        sizes = np.array(left["sizes"][0].as_py(), np.int64)
+        first = np.cumsum(sizes) - sizes
         values = {
-            "n_tokens": c.n_tokens, "n_known": np.add.reduceat((cw > 0)[c.words].astype(np.int64), first), "train_tokens": np.full(len(first), total),
-            "base_score": np.add.reduceat(lb[c.words], first), "score": np.add.reduceat(lp[c.pair], first),
+            "n_tokens": sizes, "n_known": np.add.reduceat((cw > 0)[tokens].astype(np.int64), first), "train_tokens": np.full(len(first), total),
+            "base_score": np.add.reduceat(lb[tokens], first), "score": np.add.reduceat(lp[p.pair], first),
         }
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], **values})
+        return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), **values})
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)
+    schema = f"doc_id {doc_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = asked.where("kind = 0").select("chunk", "size", "n_words", "a", "b", "doc_ids", "held_out", "sizes")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)

@@ -130,7 +130,9 @@ def test_language_model_counts_and_normalises(docs, empty):
         want.append((str(i), len(own), sum(count[w] > 0 for w in own), round(base, 6)))
     assert got == sorted(want)
     # every training token is counted in one pair
-    asked = pitman_yor.requests(pitman_yor.chunked(docs)[0], 3).where("bucket >= 0")
+    chunks = pitman_yor.encoded(docs, 3)
+    numbers = pitman_yor.numbered(chunks.where("bucket >= 0"), 3)
+    asked = pitman_yor.requests(chunks.where("bucket < 0"), numbers, 3).where("kind = 2")
     pairs = {(r.u, r.w): r.c for r in pitman_yor.counted(asked).collect()}
     assert sum(pairs.values()) == total and len({w for _, w in pairs}) == len(count)
     assert pitman_yor.score(empty).count() == 0
