@@ -58,6 +58,17 @@ def slices(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(have.tolist(), start.tolist(), [*start[1:].tolist(), len(bucket)], strict=True))
 
 
+def by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The stable order of buckets; small numbers are sorted in a pass."""
+    return np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+
+
+def by_pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """An order by u, then w, as one key if that fits into 63 bits."""
+    base = int(w.max(initial=0)) + 1
+    return np.argsort(u * base + w) if int(u.max(initial=0)) < (1 << 63) // base - 1 else np.lexsort((w, u))
+
+
 def encoded(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of a chunk of texts: one with its documents and tokens (bucket -1), and one for each bucket of words.
 
@@ -67,21 +78,22 @@ def encoded(docs: DataFrame, buckets: int) -> DataFrame:
     doc_id = dict(docs.dtypes)["doc_id"]
     schema = f"chunk long, bucket int, size int, words binary, n binary, doc_ids array<{doc_id}>, held_out array<boolean>, sizes array<long>"
 
-    def rows(chunk: int, doc_ids: pa.Array, held: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
-        number: dict[bytes, int] = {b"": 0}
-        ids, sizes = [], []
-        for text in texts:
-            # these split at \x20 and \x09-\x0D and lower A-Z, as bytes
-            words = (text or b"").lower().split()
-            ids += [number.setdefault(w, len(number)) for w in words]
-            ids.append(0)
-            sizes.append(len(words) + 1)
+    def rows(chunk: int, doc_ids: pa.Array, held: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        # these lower A-Z and split at \x20 and \x09-\x0D, as bytes
+        words = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+        there = pa.compute.binary_length(words.flatten()).to_numpy() > 0
+        sizes = np.diff(np.concatenate([[0], np.cumsum(there)])[words.offsets.to_numpy()]) + 1
+        coded = words.flatten().filter(pa.array(there)).dictionary_encode()
+        number = [b"", *coded.dictionary.cast(pa.binary()).to_pylist()]
+        tokens = np.zeros(sizes.sum(), np.int64)
+        end = np.zeros(len(tokens), bool)
+        end[np.cumsum(sizes) - 1] = True
+        tokens[~end] = coded.indices.to_numpy() + 1
         hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in number], np.uint64)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = by_bucket(bucket, buckets)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        tokens = np.array(ids, np.int64)
         n = np.bincount(tokens, np.repeat(~held.to_numpy(zero_copy_only=False), sizes), len(number)).astype(np.int64)[order]
         hashes = hashes[order]
         parts = slices(bucket[order])
@@ -93,7 +105,7 @@ def encoded(docs: DataFrame, buckets: int) -> DataFrame:
             "n": pa.array([None, *[packed(n[start:end]) for _, start, end in parts]], pa.binary()),
             "doc_ids": pa.array([doc_ids.to_pylist(), *[None] * one], pa.list_(doc_ids.type)),
             "held_out": pa.array([held.to_pylist(), *[None] * one], pa.list_(pa.bool_())),
-            "sizes": pa.array([sizes, *[None] * one], pa.list_(pa.int64())),
+            "sizes": pa.array([sizes.tolist(), *[None] * one], pa.list_(pa.int64())),
         })
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +125,8 @@ def encoded(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(each, schema)
 
 
-def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, list[bytes | None]]:
-    table = pa.Table.from_batches(batches).combine_chunks()
-    flat = [pa.concat_arrays(table[c].chunks) for c in ("doc_id", "held_out", "text")]
-    return flat[0], flat[1], flat[2].cast(pa.binary()).to_pylist()
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays([b.column(c) for b in batches]) for c in ("doc_id", "held_out", "text")]
 
 
 def numbered(words: DataFrame, buckets: int) -> DataFrame:
@@ -158,7 +168,7 @@ class Pairs:
         u, w = numbers[self.u], numbers[self.w]
         known = np.flatnonzero((u >= 0) & (w >= 0))
         bucket = bucket_of(u[known], w[known], buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = by_bucket(bucket, buckets)
         self.known, self.bucket = known[order], bucket[order]
 
 
@@ -183,7 +193,7 @@ def requests(texts: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
         chunk = left["chunk"][0].as_py()
         found = [(chunk, 0, -1, len(tokens), len(number), packed(tokens), packed(number), None)]
         bucket = number[number >= 0] % buckets
-        order = np.argsort(bucket, kind="stable")
+        order = by_bucket(bucket, buckets)
         words = number[number >= 0][order]
         found += [(chunk, 1, b, end - start, None, packed(words[start:end]), None, None) for b, start, end in slices(bucket[order])]
         found += [(chunk, 2, b, end - start, None, packed(np.diff(u[start:end], prepend=0)), packed(w[start:end]), packed(n[start:end])) for b, start, end in slices(p.bucket)]
@@ -200,7 +210,7 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     sizes = table["size"].to_pylist()
     u = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(unpacked(d, n)) for d, n in zip(table["a"].to_pylist(), sizes, strict=True)]])
     w = _all(table, "b", sizes)
-    order = np.lexsort((w, u))
+    order = by_pair(u, w)
     u, w = u[order], w[order]
     new = np.concatenate([np.ones(min(len(u), 1), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
     which = np.empty(len(u), np.int64)
@@ -236,7 +246,7 @@ def answered(asked: DataFrame, often: DataFrame) -> DataFrame:
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         *_, c, which = merged(left)
         x = np.where(c == 1, 1 - DISCOUNT, 0.0)
-        order = np.lexsort((right["w"].to_numpy(), right["u"].to_numpy()))
+        order = by_pair(right["u"].to_numpy(), right["w"].to_numpy())
         x[c > 1] = right["x"].to_numpy()[order]
         return _answers(left, 2, x[which][None].astype(np.float32).astype(np.float64))
 
@@ -367,7 +377,7 @@ def score(docs: DataFrame) -> DataFrame:
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         rows = list(zip(right["kind"].to_pylist(), right["a"].to_pylist(), right["size"].to_pylist(), strict=True))
         met = np.flatnonzero(number >= 0)
-        met = met[np.argsort(number[met] % buckets, kind="stable")]
+        met = met[by_bucket(number[met] % buckets, buckets)]
         of_word = np.zeros((4, len(number)))
         of_word[2] = unknown
         of_word[:, met] = np.concatenate([np.zeros((4, 0)), *[unpacked(a, 4 * n, np.float64).reshape(4, n) for kind, a, n in rows if kind == 1]], axis=1)
