@@ -41,17 +41,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > size, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long), one row per document; null text counts as empty."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, further columns and fp (the 64 bits as a signed long), one row per document; null text counts as empty."""
+    carried = ["doc_id", *more]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             made = np.array([fingerprint(x.as_py() or b"") for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(made, pa.int64())], [*carried, "fp"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    return docs.select(*carried, F.col("text").cast("string").alias("text")).mapInArrow(each, "".join(f"{c} {kinds[c]}, " for c in carried) + "fp long")
 
 
 def _ball() -> list:
@@ -134,6 +135,12 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return probes.mapInArrow(buckets, "a long, b long")
 
 
+def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """The distinct fingerprints with the root of their component."""
+    found = staged(components(links(nodes.select("fp"), distance)), "components")
+    return nodes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Each row's fingerprint and component: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -143,8 +150,7 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     rows = staged(fingerprints(docs), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    found = staged(components(links(nodes.select("fp"), distance)), "components")
-    ranked = nodes.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    ranked = _rooted(nodes, distance)
     least = ranked.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = staged(ranked.join(least, "root").select("fp", "n", "component_id"), "groups")
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -152,7 +158,18 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one of smallest doc_id, with the columns of docs."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, with the columns of docs: the one of smallest doc_id, one without an id only if none has one.
+
+    Rows of one id or of none are told apart by the SHA-256 of their text, so each component keeps a row of its own.
+    """
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    half = lambda at: F.conv(F.substring("_sha", at, 16), 16, -10).cast("long")
+    parts = [half(1 + 16 * i).alias(f"_part{i}") for i in range(4)]
+    keys = ["doc_id", *[f"_part{i}" for i in range(4)]]
+    marked = docs.withColumn("_sha", sha).select("*", *parts).drop("_sha")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *keys)).alias("first")
+    nodes = staged(fingerprints(marked, *keys[1:]).groupBy("fp").agg(first), "nodes")
+    kept = _rooted(nodes, DISTANCE).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(*[F.col(f"first.{k}").alias(f"kept_{k}") for k in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in keys]
+    return marked.join(kept, on, "left_semi").dropDuplicates(keys).select(docs.columns)

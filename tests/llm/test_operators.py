@@ -159,6 +159,20 @@ def test_simhash_components(spark, docs, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_near_dedup_keeps_a_row_of_every_component(spark):
+    texts = [" ".join(f"{w}{i}" for w in ("sun", "moon", "tree", "lake", "road")) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (3, texts[4]), (9, texts[5]), (9, texts[5])]
+    rows = [(*r, "a", "b") for r in rows]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, fp string, root string").repartition(3)
+    got = simhash.deduplicate(table)
+    assert got.columns == table.columns
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (9, texts[5])]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+    assert simhash.deduplicate(table.where("false")).count() == 0
+
+
 def test_hamming_links_connect_what_is_close(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
