@@ -39,6 +39,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op5_lm_scoring, op6_license_scan, op7_simhash_near_dedup,
+        op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op5_lm_scoring, op6_license_scan, op6_license_passages, op7_simhash_near_dedup,
         op8_toxicity, op9_topk_search, op10_html_extract,
     )
 }

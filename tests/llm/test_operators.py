@@ -144,6 +144,24 @@ def test_license_lines(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_passages(spark, docs, empty):
+    bodies = dict(enumerate(license_scan.TEMPLATES + license_scan.BODIES))
+    mit = next(i for i, (k, t) in bodies.items() if k == "MIT" and "NONINFRINGEMENT" in t)
+    rows = [
+        (1, "Copyright 2020 X. Released under the MIT License."), (2, "so\n// Licensed under the Apache\n// License, Version 2.0.\nand more"), (3, "All rights reserved."),
+        (4, "MIT License\n\nCopyright (c) 2020 X\n\n" + bodies[mit][1] + "\n" + "int x; " * 500), (5, "The license of the software is under discussion in all rights."), (6, None),
+        (7, "Released under the MIT License. " * 3),
+    ]
+    rows += [(100 + i, f"before {t} after") for i, (_, t) in bodies.items()]
+    found = license_scan.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = lambda i: {(r.word_no, r.license, r.dice) for r in found if r.doc_id == i}
+    assert got(1) == {(4, "MIT", 1.0)} and got(2) == {(2, "Apache-2.0", 1.0)} and len(got(3)) == 1 and not got(5) and not got(6)
+    assert (7, "MIT", 1.0) in got(4) and got(7) == {(1, "MIT", 1.0), (6, "MIT", 1.0), (11, "MIT", 1.0)}
+    assert all(any(r.template == i and r.dice >= 0.95 for r in found if r.doc_id == 100 + i) for i in bodies)
+    assert [(r.doc_id, r.passage) for r in license_scan.passages(docs).collect()] == [(10, "licensed under cc by nc 4 0")]
+    assert license_scan.passages(empty).count() == 0
+
+
 def test_simhash_components(spark, docs, empty):
     rows = simhash.near_groups(docs).collect()
     prints = [int(r.fingerprint, 16) for r in rows]
