@@ -80,19 +80,20 @@ def calc_result_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def verified_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CALC lines made from line items, parsed and checked against their passages; the parser is a Python function."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    """CALC lines made from all line items, parsed and checked against their passages; the parser is a Python function."""
+    rows = table(spark, sf_dir, "lineitem")
     price, tax = F.format_number("l_extendedprice", 2), F.format_number(F.col("l_extendedprice") * F.col("l_tax"), 2)
     total = F.format_number(F.col("l_extendedprice") * (1 + F.col("l_tax")), 2)
     line = F.concat(F.lit("CALC: "), price, F.lit(" [c1] + "), tax, F.lit(" [c2] = "), total)
-    rows = rows.select("l_orderkey", line.alias("line"), F.concat(F.lit("Price "), price).alias("p1"), F.concat(F.lit("Tax "), tax).alias("p2"))
+    rows = rows.select("l_orderkey", "l_linenumber", line.alias("line"), F.concat(F.lit("Price "), price).alias("p1"), F.concat(F.lit("Tax "), tax).alias("p2"))
 
     def check(batches):
         for batch in batches:
             found = [N.check_calculation(a, {"c1": b, "c2": c}) for a, b, c in zip(batch["line"], batch["p1"], batch["p2"])]
-            yield pd.DataFrame({"l_orderkey": batch["l_orderkey"], "verified": [v for v, _ in found], "reason": [r for _, r in found]})
+            yield pd.DataFrame({"l_orderkey": batch["l_orderkey"], "l_linenumber": batch["l_linenumber"], "verified": [v for v, _ in found], "reason": [r for _, r in found]})
 
-    return rows.mapInPandas(check, "l_orderkey long, verified boolean, reason string")
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(check, f"l_orderkey {kinds['l_orderkey']}, l_linenumber {kinds['l_linenumber']}, verified boolean, reason string")
 
 
 @query()

@@ -76,5 +76,11 @@ def test_calculations(line, held, reason):
     assert N.check_calculation(line, {"c1": "it was 10 then", "c2": "and 5"}) == (held, reason)
 
 
+def test_every_line_item_is_verified(spark, data):
+    items = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    got = catalog.queries()["verified_calculations"](spark, data).select("l_orderkey", "l_linenumber")
+    assert got.exceptAll(items).count() == items.exceptAll(got).count() == 0
+
+
 def test_evaluate_takes_arithmetic_only():
     assert N.evaluate("2 * (3 - 1)") == 4 and N.evaluate("1 / 0") is None and N.evaluate("__import__('os')") is None
