@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,8 +46,8 @@ class Block:
         return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-def blocks(page: str) -> list[tuple[Block, str]]:
-    """The page's text blocks outside of raw and marked elements, with their paths and enclosing elements."""
+def blocks(page: str, spared: Container[int] = (), named: bool = True) -> list[tuple[Block, str]]:
+    """The page's text blocks outside of raw and marked elements, save the spared ones (if named is false, not those that a whole word marks), with their paths and enclosing elements."""
     found: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # name, number, skipped
     current: Block | None = None
@@ -118,7 +118,7 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if name in VOID:
             continue
         number += 1
-        skipped = _skipped(name, m[3], stack)
+        skipped = (number not in spared or not named and _named(name, m[3])) and _skipped(name, m[3], stack)
         stack.append((name, number, skipped))
         skipping += skipped
     put(page[at:])
@@ -158,6 +158,27 @@ def _skipped(name: str, attributes: str, stack: list) -> bool:
     return any(w in MARKS for w in words)
 
 
+def _named(name: str, attributes: str) -> bool:
+    """Whether the element's name, other than form, or a whole word of its class, id or role marks it."""
+    return name in ASIDE - {"form"} or any(w in MARKS for m in ATTRIBUTE.finditer(attributes or "") for w in (m[2] or m[3] or m[4] or "").lower().split())
+
+
+def wrappers(page: str) -> tuple[set[int], bool]:
+    """Elements that hold the greater part of the text and punctuation of all article and main elements from outside; without these, of the page. And whether there are such."""
+    found = [(b, t, b.path.split("/")) for b, t in blocks(page, range(1, len(page) + 1))]
+    inner = [(b, t, min(names.index(n) for n in ("article", "main") if n in names)) for b, t, names in found if "article" in names or "main" in names]
+    base = [(b.holders[:k], t) for b, t, k in inner] or [(b.holders, t) for b, t, _ in found]
+    held: dict[int, list[int]] = {}
+    for holders, text in base:
+        stops = sum(map(text.count, STOPS))
+        for i in holders:
+            row = held.setdefault(i, [0, 0])
+            row[0] += len(text)
+            row[1] += stops
+    size, stops = sum(len(t) for _, t in base), sum(sum(map(t.count, STOPS)) for _, t in base)
+    return {i for i, (n, m) in held.items() if 2 * n > size and 2 * m >= stops}, bool(inner)
+
+
 def path_scores(found: list[tuple[Block, str]]) -> dict[str, float]:
     """Each path's fused ratio: mean text length by mean punctuation of its blocks, each smoothed over neighbouring paths."""
     order: dict[str, list[float]] = {}
@@ -181,7 +202,7 @@ def main_text(page: str, strength: float = 0.5) -> str:
     element that holds most of their text is the article, and all its blocks are returned in page order, headings and
     short ones too.
     """
-    found = blocks(page)
+    found = blocks(page, *wrappers(page))
     if not found:
         return ""
     score = path_scores(found)

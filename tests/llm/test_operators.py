@@ -250,3 +250,15 @@ def test_main_text():
     )
     assert html_extract.main_text(page) == "Head\n\nFirst part, with a link, is long enough.\n\nSecond <part> & more, with stops. Fine."
     assert html_extract.main_text("") == "" and html_extract.main_text("<script>x</script>") == ""
+
+
+def test_main_text_inside_marked_wrappers():
+    body = "<h1>Head</h1><p>First part, which is long enough, and more.</p><p>Second part, with stops. Fine, too.</p>"
+    want = "Head\n\nFirst part, which is long enough, and more.\n\nSecond part, with stops. Fine, too."
+    menu = "<nav><a href=/>Home</a></nav><div class=ad>Buy this, now.</div>"
+    for wrap in ("form id=aspnetForm", "div class='content-sidebar-wrap'", "div class=has-sidebar", "div class=with-side-menu"):
+        name = wrap.split()[0]
+        for inner in (f"<article>{body}<div class=comments><p>{'Great post, I like it. ' * 20}</p></div></article>", f"<div>{body}</div>"):
+            assert html_extract.main_text(f"<html><body><{wrap}>{menu}{inner}</{name}></body></html>") == want
+    page = f"<body><div>{body}</div><div class=comments><p>{'Great post, I like it. ' * 20}</p></div></body>"
+    assert html_extract.main_text(page) == want
