@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from functools import reduce
 
@@ -22,12 +21,9 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is set only if none is named."""
+    """The folder that driver and executors share (spark.checkpoint.dir); without one, the warehouse is such a folder."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        root = sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     key = f"{sc.applicationId}@{root}"
     if key not in _folders:
         _folders[key] = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
@@ -69,6 +65,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def row_key(doc_id: Column, digest: Column) -> Column:
+    """One text key of an id, which may be null, and a digest of the row's text."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(" "), digest)
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality on the keys."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, fold, staged
+from lodestone.llm.common import attach, fold, row_key, staged
 
 #: Distinct digests for each bucket and filter; a task holds one bucket of each side at a time.
 BUCKET_KEYS = 200_000
@@ -184,11 +184,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one row of each group of equal texts, with the columns of docs."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    kept = docs.withColumn("_own", F.sha2(fold(F.col("text")), 256))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    return kept.join(groups, on, "left_semi").dropDuplicates(["_own"]).drop("_own")
+    """The documents that stay, one row of each group of equal texts, with the columns of docs.
+
+    Null text counts as empty. A row without an id stays only if its group has no id; of rows that repeat id and
+    text, one stays. An empty table gives an empty one; other columns play no part.
+    """
+    stay = exact_groups(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.sha2(fold(F.col("text")), 256)))
+    # the join has dealt and sorted the rows by the key already: no further exchange
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 SQL = """

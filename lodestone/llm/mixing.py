@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged
+from lodestone.llm.common import row_key, staged
 
 #: Copies of each source's plan that its rows are dealt to, and buckets of the sampling key in a source.
 SALTS, BUCKETS = 256, 4096
@@ -47,6 +47,21 @@ def source_targets(sizes: DataFrame, ratio: float, weights: tuple[int, ...], epo
     return s.select("source", "source_size", target.alias("target"))
 
 
+def _row(text: Column) -> Column:
+    """A key of a row's id, text and source."""
+    return row_key(F.col("doc_id"), F.concat(F.hex(F.xxhash64(text)), F.lit(" "), F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, sampling key and its bucket, and row: a key of the id and the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), quality(text).alias("w"), _row(text).alias("row"))
+    u = F.exp(-sampling_key(F.col("doc_id"), F.col("w")))
+    bucket = F.floor((1 - u) * BUCKETS).cast("int").alias("bucket")
+    return staged(rows.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("w")).alias("key"), bucket, "row"), "sizes")
+
+
 def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 2) -> DataFrame:
     """How many words the mix takes of each document.
 
@@ -55,14 +70,11 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1
     used; the document that the budget ends in gives its first words. Null text has size 0, null is a source
     of its own, the last. Ties of the key fall to doc_id and size; repeated rows are documents of their own.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality(text).alias("w"))
-    u = F.exp(-sampling_key(F.col("doc_id"), F.col("w")))
-    rows = rows.select(
-        "doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("w")).alias("key"),
-        F.floor((1 - u) * BUCKETS).cast("int").alias("bucket"),
-    )
-    rows = staged(rows, "sizes")
+    return _mixed(_rows(docs), ratio, weights, epochs).drop("row")
+
+
+def _mixed(rows: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 2) -> DataFrame:
+    """mix() of the rows that _rows() makes, with their row keys."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, ratio, weights, epochs)
     whole = F.coalesce(F.try_divide(F.floor("target"), F.col("source_size")).cast("long"), F.lit(0))
@@ -86,15 +98,19 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: tuple[int, ...] = (5, 2, 1
     rest = F.col("cut.rest") - F.coalesce(F.sum("size").over(in_turn), F.lit(0))
     shared = rows.where(at == edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
     taken = (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken")
-    return clear.unionByName(shared).select("doc_id", "source", "size", "source_size", "target", taken)
+    return clear.unionByName(shared).select("doc_id", "source", "size", "source_size", "target", taken, "row")
 
 
 def mixed_documents(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix itself, with the columns of docs: a document once per epoch that takes it whole, and its first words once if the budget ends in it."""
-    plan = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    plan = plan.groupBy("_id", "_size").agg(F.max("_taken").alias("_taken"))
-    rows = docs.withColumn("_own", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
+    """The mix itself, with the columns of docs: a document once per epoch that takes it whole, and its first words once if the budget ends in it.
+
+    Those first words are joined by single spaces. Rows that repeat id, text and source are one document whose takes are
+    added up, so the words of a source meet its target; other columns come from one of them. A document without
+    words is in no mix; a null doc_id is like others; an empty table gives an empty one.
+    """
+    plan = _mixed(_rows(docs), **how).groupBy(F.col("row").alias("_row"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"))
+    # the join has dealt and sorted the rows by the key already: no further exchange
+    rows = docs.withColumn("_row", _row(F.coalesce(F.col("text"), F.lit("")))).join(plan.where("_taken > 0"), "_row").dropDuplicates(["_row"])
     full, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
     copies = F.concat(F.array_repeat(F.col("_size"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("_n", F.explode(copies))

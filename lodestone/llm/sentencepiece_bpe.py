@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Characters of text encoded at once, words kept between blocks, and the longest word kept.
-BLOCK, KEPT, LONGEST = 1 << 20, 200_000, 40
+BLOCK, KEPT, LONGEST = 1 << 20, 100_000, 40
 NONE = np.int32(2**31 - 1)
 
 

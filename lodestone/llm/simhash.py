@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, staged
+from lodestone.llm.common import attach, row_key, staged
 from lodestone.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -161,15 +161,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of docs: the one of smallest doc_id, one without an id only if none has one.
 
     Rows of one id or of none are told apart by the SHA-256 of their text, so each component keeps a row of its own.
+    Null text counts as empty; an empty table gives an empty one.
     """
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    half = lambda at: F.conv(F.substring("_sha", at, 16), 16, -10).cast("long")
-    parts = [half(1 + 16 * i).alias(f"_part{i}") for i in range(4)]
-    keys = ["doc_id", *[f"_part{i}" for i in range(4)]]
-    marked = docs.withColumn("_sha", sha).select("*", *parts).drop("_sha")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *keys)).alias("first")
-    nodes = staged(fingerprints(marked, *keys[1:]).groupBy("fp").agg(first), "nodes")
-    kept = _rooted(nodes, DISTANCE).groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(*[F.col(f"first.{k}").alias(f"kept_{k}") for k in keys])
-    on = [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in keys]
-    return marked.join(kept, on, "left_semi").dropDuplicates(keys).select(docs.columns)
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")
+    nodes = staged(fingerprints(keyed, "_key").groupBy("fp").agg(first), "nodes")
+    stay = _rooted(nodes, DISTANCE).groupBy("root").agg(F.min("first").alias("first")).select("first._key")
+    # the join has dealt and sorted the rows by the key already: no further exchange
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)

@@ -6,27 +6,38 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on at most; every document is scored.
-SAMPLE = 3000
+SAMPLE = 4000
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
-
-
 #: A word's features are itself and its first letters, as some languages build a word from a stem.
-PREFIXES, REMEMBERED = range(3, 8), 300_000
+PREFIXES = range(3, 8)
+#: Words whose features or weights are remembered, texts held as strings at once, and documents counted at once.
+REMEMBERED, SLICE, BLOCK = 50_000, 512, 256
 
 
 def features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in PREFIXES if n < len(word)]]
 
 
+def _code(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "replace"))
+
+
+def remembered(of: Callable[[str], object]) -> Callable[[str], object]:
+    """of, with a store of a bounded number of words."""
+    return lru_cache(REMEMBERED)(of)
+
+
 @dataclass
 class Model:
     """A sentence's log-odds are the bias plus the weights of the features of its distinct words."""
@@ -34,87 +45,80 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def __post_init__(self) -> None:
-        self.of_word: dict[str, float] = {}
-
     def _weight(self, word: str) -> float:
-        if len(self.of_word) > REMEMBERED:
-            self.of_word.clear()
         get = self.weights.get
-        self.of_word[word] = found = sum(get(f, 0.0) for f in features(word))
-        return found
+        return sum(get(f, 0.0) for f in features(word))
+
+    def scorer(self) -> Callable[[str], tuple[float, list[tuple[int, int, float]]]]:
+        """score() with a store of words of its own, which goes with it."""
+        weight = remembered(self._weight)
+        return lambda text: self.score(text, weight)
 
-    def sentences(self, text: str) -> list[tuple[int, int, float]]:
+    def sentences(self, text: str, weight: Callable[[str], float] | None = None) -> list[tuple[int, int, float]]:
         """Start, end and log-odds of each sentence."""
-        get, weight, found = self.of_word.get, self._weight, []
+        weight, found = weight or self._weight, []
         for m in SENTENCE.finditer(text):
             words = set(WORD.findall(m[0].lower()))
             if words:
-                z = self.bias
-                for w in words:
-                    v = get(w)
-                    z += weight(w) if v is None else v
-                found.append((m.start(), m.end(), z))
+                found.append((m.start(), m.end(), self.bias + math.fsum(map(weight, words))))
         return found
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+    def score(self, text: str, weight: Callable[[str], float] | None = None) -> tuple[float, list[tuple[int, int, float]]]:
         """The probability that some sentence is toxic, and the spans of those likelier toxic than not."""
-        z = self.sentences(text)
+        z = self.sentences(text, weight)
         total = sum(v + math.log1p(math.exp(-v)) if v > 0 else math.log1p(math.exp(v)) for *_, v in z)
         return -math.expm1(-total), [(a, b, 1 / (1 + math.exp(-v))) for a, b, v in z if v > 0]
 
 
+def document_counts(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all features in order, and in how many documents and toxic documents each is."""
+    codes_of = remembered(lambda w: [_code(f) for f in features(w)])
+    code, total, hits = np.zeros(0, np.uint32), np.zeros(0), np.zeros(0)
+    for at in range(0, len(texts), BLOCK):
+        own, bad = [], []
+        for text, mark in zip(texts[at : at + BLOCK], toxic[at : at + BLOCK]):
+            own.append(np.unique(np.array([c for w in set(WORD.findall(text.lower())) for c in codes_of(w)], np.uint32)))
+            bad.append(np.full(len(own[-1]), float(mark)))
+        ones = np.ones(sum(map(len, own)))
+        code, place = np.unique(np.concatenate([code, *own]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([total, ones]), len(code))
+        hits = np.bincount(place, np.concatenate([hits, *bad]), len(code))
+    return code, total, hits
+
+
 def fit(texts: list[str], toxic: list[int], epochs: int = 300, rate: float = 0.2, decay: float = 2e-5, link: float = 20.0, cap: float = 30.0) -> Model:
     """Maximises the likelihood of the document labels under noisy-or over sentences, by Adam on all documents at once.
 
     Words are features if their chi-square with the label is at least `link`. The pull of a toxic document
     that no sentence explains is bounded by `cap`, so that wrong labels don't dominate.
     """
-    number: dict[str, int] = {}
-    words, of_words, of_doc = array("i"), array("i"), array("i")
-    for d, text in enumerate(texts):
-        for sentence in SENTENCE.findall(text):
-            if own := set(WORD.findall(sentence.lower())):
-                words.extend([number.setdefault(w, len(number)) for w in sorted(own)])
-                of_words.extend([len(of_doc)] * len(own))
-                of_doc.append(d)
     bias, y = -8.0, np.array(toxic, float)
-    if not number or y.min(initial=1) == y.max(initial=0):
+    if y.min(initial=1) == y.max(initial=0):
         return Model({}, bias)
-    word, of_sentence, of_doc = (np.frombuffer(x, np.int32).astype(np.int64) for x in (words, of_words, of_doc))
-    pair = np.unique(word * len(y) + of_doc[of_sentence])
-    parts, first_part = array("I"), array("q", [0])
-    for w in number:
-        parts.extend([zlib.crc32(f.encode("utf-8", "replace")) for f in features(w)])
-        first_part.append(len(parts))
-    codes, part = np.unique(np.frombuffer(parts, np.uint32), return_inverse=True)
-    del parts
-    first_part = np.frombuffer(first_part, np.int64)
-
-    def expand(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The features of each word of `of`, and the place in `of` that each comes from."""
-        sizes = first_part[of + 1] - first_part[of]
-        source = np.repeat(np.arange(len(of)), sizes)
-        return part[first_part[of][source] + np.arange(len(source)) - np.repeat(np.cumsum(sizes) - sizes, sizes)], source
-
-    feature, source = expand(pair // len(y))
-    feature_doc = np.unique(feature * len(y) + (pair % len(y))[source])
-    total = np.bincount(feature_doc // len(y), minlength=len(codes))
-    hits = np.bincount(feature_doc // len(y), y[feature_doc % len(y)], len(codes))
+    code, total, hits = document_counts(texts, toxic)
     share, n = y.mean(), len(y)
     chi = (hits - share * total) ** 2 / (share * (1 - share) * total * np.maximum(1 - total / n, 1 / n))
-    chosen = chi >= link
-    place = np.cumsum(chosen) - 1
-    named = {int(codes[i]): int(place[i]) for i in np.flatnonzero(chosen)}
-    vocabulary = {f: named[c] for w in number for f in features(w) if (c := zlib.crc32(f.encode("utf-8", "replace"))) in named}
+    named = {int(c): i for i, c in enumerate(code[chi >= link])}
+    # the bags: of each sentence the chosen features only, so that memory doesn't grow with the texts' words
+    vocabulary: dict[str, int] = {}
+    word, of_sentence, of_doc = array("i"), array("i"), array("i")
+
+    def chosen(w: str) -> list[int]:
+        found = {f: named[c] for f in features(w) if (c := _code(f)) in named}
+        vocabulary.update(found)
+        return list(found.values())
+
+    chosen = remembered(chosen)
+    for d, text in enumerate(texts):
+        for sentence in SENTENCE.findall(text):
+            if own := set(WORD.findall(sentence.lower())):
+                of_word = [i for w in sorted(own) for i in chosen(w)]
+                word.extend(of_word)
+                of_sentence.extend([len(of_doc)] * len(of_word))
+                of_doc.append(d)
     if not vocabulary:
         return Model({}, bias)
-    of_word = np.zeros(len(number), bool)
-    of_word[np.repeat(np.arange(len(number)), np.diff(first_part))[chosen[part]]] = True
-    use = of_word[word]
-    word, of_sentence = word[use], of_sentence[use]
-    feature, source = expand(word)
-    word, of_sentence = place[feature[chosen[feature]]], of_sentence[source[chosen[feature]]]
+    word, of_sentence, of_doc = (np.frombuffer(x, np.int32) for x in (word, of_sentence, of_doc))
     theta = np.zeros(len(named) + 1)
     theta[-1] = bias
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -135,11 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents whose crc32(doc_id as text) mod 5 is not 0, in an order that a hash fixes.
 
     One task fits on that bounded sample; only the weights reach the driver. Labels without a toxic mark, and
-    documents without text, are left out.
+    documents without text, are left out. If ids repeat, rows above `sample` are left out in the order of a hash.
     """
     usable = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     chosen = usable.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
+    rows = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(sample)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches])
@@ -160,26 +165,40 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     are read, and doc_id is no input of the score.
     """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.score(t or "") for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [p for p, _ in found],
-                "offending": [[{"start": a, "end": b, "probability": p} for a, b, p in spans] for _, spans in found],
-            })
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = model.scorer()
+        for part in _slices(batches):
+            found = [measure(t or "") for t in part.column("text").to_pylist()]
+            spans = [[{"start": a, "end": b, "probability": p} for a, b, p in s] for _, s in found]
+            cols = [part.column("doc_id"), part.column("held_out"), pa.array([p for p, _ in found], pa.float64()), pa.array(spans, SPANS)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "offending"])
 
     kind = dict(docs.dtypes)["doc_id"]
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
-    rows = docs.select("doc_id", F.col("text"), held_out)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out)
     schema = f"doc_id {kind}, held_out boolean, score double, offending array<struct<start int, end int, probability double>>"
-    return rows.mapInPandas(each, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(each, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below the threshold, with the columns of docs."""
+    """The documents whose score is below the threshold, with the columns of docs.
+
+    Null and empty texts score 0 and stay; repeated rows stay or go together; a null doc_id, and other columns, have
+    no part in it. An empty table gives an empty one.
+    """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[model.score(t or "")[0] < threshold for t in batch["text"]]]
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = model.scorer()
+        for part in _slices(batches):
+            yield part.filter(pa.array([measure(t or "")[0] < threshold for t in part.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInPandas(each, docs.schema)
+    return docs.mapInArrow(each, docs.schema)
