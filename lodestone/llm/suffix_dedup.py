@@ -1,29 +1,36 @@
 """Suffix-array dedup: removes every byte that a repeated string of `length` bytes covers.
 
-Windows of the length are dealt to groups by content: a window's anchor is its k-gram of least hash (winnowing,
-Schleimer, Wilkerson and Aiken, 2003), so equal windows share an anchor, and a window whose anchor occurs once is
-unique. Neighbouring windows with one anchor travel as one span of text. In a group, shards of spans get their own
-suffix order and Burrows-Wheeler transform; the transforms are merged by refining their interleave (Holt and
-McMillan, 2014) until blocks agree on `length` bytes. Each shard's suffixes stay in their order throughout: a
-round only merges. As `length` single-byte rounds would be too many, a round doubles the depth.
+Windows of the length are dealt to groups by content. A window's anchor is its k-gram of least hash (winnowing,
+Schleimer, Wilkerson and Aiken, 2003), so equal windows have equal anchors at equal distances from their start.
+Neighbouring windows with one anchor travel as one span of text; a span whose anchor occurs once is unique.
+Spans are then halved by the distance of the anchor: all windows of a half hold a longer stretch around the anchor,
+which becomes the group's new key, and pieces that are alone under it are unique. Groups that are still too
+large for a task are halved again, at most until a piece is one window and its key is all of it.
+
+In a group, shards of pieces get their own suffix order; their Burrows-Wheeler transforms are merged by refining
+the interleave of the shards (Holt and McMillan, 2014), which gives the common prefixes of neighbours and from
+them the repeated intervals. A shard's suffixes stay in their order throughout: a merge only finds from which shard
+each suffix comes. As `length` single-byte rounds would be too many, a round's symbol is as long as the depth reached.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import attach, staged
 
 LENGTH, GRAM = 400, 32
-#: Bytes hashed at once, bytes of a shard, shards merged at once, and spans of an anchor that one task compares.
-PIECE, SHARD, SHARDS, CROWD = 1 << 19, 1 << 18, 4, 4000
-# Two odd multipliers of the polynomial hashes, and one that spreads their bits.
-BASES, SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
+#: Bytes hashed at once, bytes of a shard, shards merged at once, and pieces of a key beyond which they are halved again.
+PIECE, SHARD, SHARDS, CROWD = 1 << 19, 1 << 18, 4, 512
+# An odd multiplier of the polynomial hash, and one that spreads its bits.
+BASE, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -46,20 +53,16 @@ def _spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Hashes:
-    """Hashes of any stretch of a byte array, equal wherever the bytes are equal."""
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram that starts at each place, equal wherever the bytes are equal."""
+    up, down = _power(BASE, max(PIECE + 4096, len(data) + 1))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return _spread((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
 
-    def __init__(self, data: np.ndarray, bases: tuple[int, ...] = BASES) -> None:
-        self.bases, self.sums = bases, []
-        for base in bases:
-            up, _ = _power(base, max(PIECE + 4096, len(data) + 1))
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-            self.sums.append(total)
 
-    def of(self, which: int, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        down = _power(self.bases[which], 1)[1]
-        return _spread((self.sums[which][end] - self.sums[which][start]) * down[start])
+def _digest(data: bytes | memoryview, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -72,14 +75,13 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_spans(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Text number, first window, number of windows, anchor and two span hashes of each run of windows with one anchor."""
+    """Text number, first window, number of windows, place of the anchor from the first, anchor and digest of each run of windows with one anchor."""
     begin, end = offsets[:-1], offsets[1:]
     for low in range(0, len(data), PIECE):
         x = data[low : low + PIECE + length - 1]
         if len(x) < length:
             return
-        hashes = Hashes(x)
-        grams = hashes.of(0, slice(0, len(x) - gram + 1), slice(gram, None))
+        grams = gram_hashes(x, gram)
         places = np.uint64((1 << 22) - 1)
         least = _sliding_min((grams & ~places) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
         at = (least & places).astype(np.int64)
@@ -94,8 +96,9 @@ def anchored_spans(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(good)))
         s = good[start]
-        e = s + count + length - 1
-        yield text[s], s + low - begin[text[s]], count, grams[at[s]].view(np.int64), hashes.of(0, s, e).view(np.int64), hashes.of(1, s, e).view(np.int64)
+        view = memoryview(x)
+        digests = b"".join([_digest(view[a:b]) for a, b in zip(s.tolist(), (s + count + length - 1).tolist())])
+        yield text[s], s + low - begin[text[s]], count, at[s] - s, grams[at[s]].view(np.int64), np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +108,20 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row per run of windows with one anchor: doc_id, mark (of the text), first, count, anchor, h1, h2."""
+    """One row per run of windows with one anchor: doc_id, mark (of the text), first, count, at (the anchor's place from the first), key, h1, h2."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "mark", "first", "count", "anchor", "h1", "h2"]
+        names = ["doc_id", "mark", "first", "count", "at", "key", "h1", "h2"]
         for batch in batches:
             data, offsets = _buffers(batch.column("text"))
-            for text, first, count, anchor, h1, h2 in anchored_spans(data, offsets, length, gram):
+            for text, first, count, at, key, digest in anchored_spans(data, offsets, length, gram):
                 rows = pa.array(text)
                 own = [batch.column("doc_id").take(rows), batch.column("mark").take(rows)]
-                rest = [pa.array(v.astype(t)) for v, t in ((first, np.int32), (count, np.int32), (anchor, np.int64), (h1, np.int64), (h2, np.int64))]
+                rest = [pa.array(v.astype(np.int32)) for v in (first, count, at)] + [pa.array(np.ascontiguousarray(v)) for v in (key, digest[:, 0], digest[:, 1])]
                 yield pa.RecordBatch.from_arrays(own + rest, names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return marked(docs).mapInArrow(each, f"doc_id {kind}, mark long, first int, count int, anchor long, h1 long, h2 long")
+    return marked(docs).mapInArrow(each, f"doc_id {kind}, mark long, first int, count int, at int, key long, h1 long, h2 long")
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -134,104 +137,149 @@ def _pack(x: np.ndarray) -> np.ndarray:
     return key
 
 
-def _rounds(length: int, n: int) -> list[tuple[int, ...]]:
-    """Offsets whose ranks each round adds to a place's own: three times the depth a round, twice if n is large."""
+def _depths(length: int) -> list[tuple[int, int]]:
+    """The bytes of a symbol and the depth reached by each round, from the 8 bytes that a number holds."""
     rounds, depth = [], 8
     while depth < length:
-        reach = min((3 if n < 1 << 20 else 2) * depth, length)
-        rounds.append((depth, reach - depth) if reach > 2 * depth else (reach - depth,))
-        depth = reach
+        step = min(depth, length - depth)
+        rounds.append((step, depth + step))
+        depth += step
     return rounds
 
 
-def _refine(act: np.ndarray, rank: np.ndarray, order: np.ndarray, offsets: tuple[int, ...], kind: str) -> np.ndarray:
-    """Splits the blocks of the places `act` by the ranks at the offsets; returns those left in blocks of several.
+def _arranged(key: np.ndarray) -> np.ndarray:
+    """The stable order of keys, found by sorting them with their places in the lower bits."""
+    bits = max(1, len(key) - 1).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    packed = np.sort((key << np.int64(bits)) | np.arange(len(key)))
+    return packed & np.int64((1 << bits) - 1)
 
-    A block's rank is the place of its first suffix in the order. With kind="stable" and each shard's places in its
-    own suffix order, sorting merges the shards' runs.
-    """
-    n = len(rank)
-    own = key = rank[act]
-    for offset in offsets:
-        far = act + offset
-        key = key * np.int64(n + 1) + np.where(far < n, rank[np.minimum(far, n - 1)], n)
-    at = np.argsort(key, kind=kind)
-    act, key, own = act[at], key[at], own[at]
-    outer, inner = _first_ranks(own), _first_ranks(key)
-    here = np.arange(len(act))
-    order[own + here - outer] = act
-    rank[act] = own + inner - outer
-    return act[_several(inner)]
-
-
-def _first_ranks(key: np.ndarray) -> np.ndarray:
-    """Where the run of equal keys begins that each of the sorted keys is in."""
-    new = np.empty(len(key), bool)
-    new[:1] = True
-    np.not_equal(key[1:], key[:-1], out=new[1:])
-    start = np.flatnonzero(new)
-    return np.repeat(start, np.diff(np.append(start, len(key))))
 
-
-def _several(first: np.ndarray) -> np.ndarray:
-    """Whether a run has several members, from the beginnings of the runs."""
-    same = first[1:] == first[:-1]
-    return np.concatenate([[False], same]) | np.concatenate([same, [False]])
+def _blocks(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot the slot in which its block begins, and whether the block has several slots."""
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(new)))
+    return np.repeat(start, size), np.repeat(size > 1, size)
 
 
-def _ordered(key: np.ndarray, length: int, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rank and order of all places by the bytes that follow; base: an order in which each shard is sorted already."""
-    kind = "quicksort" if base is None else "stable"
-    order = np.argsort(key) if base is None else base[np.argsort(key[base], kind=kind)]
-    ranks = _first_ranks(key[order])
-    rank = np.empty(len(key), np.int64)
-    rank[order] = ranks
-    act = order[_several(ranks)]
-    for offsets in _rounds(length, len(key)):
-        if not len(act):
+def suffix_order(x: np.ndarray, length: int) -> np.ndarray:
+    """The order of a shard's suffixes by their first `length` bytes."""
+    key = _pack(x)
+    order = np.argsort(key)
+    sorted_ = key[order]
+    first, several = _blocks(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    rank = np.empty(len(x), np.int64)
+    rank[order] = first
+    for step, reach in _depths(length):
+        slots = np.flatnonzero(several)
+        if not len(slots):
             break
-        if base is not None:
-            open_ = np.zeros(len(key), bool)
-            open_[act] = True
-            base = act = base[open_[base]]
-        act = _refine(act, rank, order, offsets, kind)
-    return rank, order
-
-
-def merge_transforms(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each place of the shards laid end to end, and the merged Burrows-Wheeler transform.
-
-    Places share a block if and only if the `length` bytes from them are equal (as far as all lie in the shards).
+        act = order[slots]
+        far = act + (reach - step)
+        after = np.where(far < len(x), rank[np.minimum(far, len(x) - 1)] + 1, 0)
+        if len(x) < 1 << 21:
+            at = _arranged(rank[act] * np.int64(len(x) + 1) + after)
+        else:
+            at = np.lexsort((after, rank[act]))
+        act, after = act[at], after[at]
+        own = rank[act]
+        order[slots] = act
+        begins, more = _blocks(np.concatenate([[True], (own[1:] != own[:-1]) | (after[1:] != after[:-1])]))
+        rank[act] = slots[begins]
+        several[slots] = more
+    return order
+
+
+def merge_transforms(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shards laid end to end: the merged order of suffixes, the merged transform, and common prefixes.
+
+    The interleave says from which shard the suffix in each slot comes; a shard's own suffixes follow in the shard's order. A
+    round walks the slots in order and hands each suffix's predecessor, `step` bytes before it, the next slot
+    of its block: that sorts the blocks by `step` bytes more. A common prefix is that of the suffixes in a slot and in
+    the one before it, as far as rounds tell them apart: at least so many bytes, at most `length`.
     """
     x = np.concatenate(shards)
-    key = _pack(x)
-    if len(shards) == 1:
-        rank, order = _ordered(key, length)
-        return rank, x[order - 1]
     edges = np.cumsum([0, *[len(s) for s in shards]])
-    base = np.concatenate([_ordered(key[a:b], length)[1] + a for a, b in zip(edges[:-1], edges[1:])])
-    rank, interleave = _ordered(key, length, base)
-    return rank, x[interleave - 1]
+    own = [suffix_order(s, length) + at for s, at in zip(shards, edges)]
+    key = np.concatenate([_pack(s) for s in shards])
+    base = np.concatenate(own)
+    sizes = [len(s) for s in shards]
+    start, end = np.repeat(edges[:-1], sizes), np.repeat(edges[1:], sizes)
+    if len(shards) == 1:
+        order, interleave = base, np.zeros(len(x), np.uint8)
+    else:
+        at = np.argsort(key[base], kind="stable")
+        order, interleave = base[at], np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)[at]
+    sorted_ = key[order]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    common = np.where(new, 0, length).astype(np.int32)
+    first, several = _blocks(new)
+    block = np.empty(len(x), np.int64)
+    block[order] = first
+    live = np.empty(len(x), bool)
+    live[order] = several
+    for step, reach in _depths(length):
+        before = order - step
+        before = before[before >= start[order]]
+        before = before[live[before]]
+        # suffixes of a live block that end within `step` bytes come first
+        short = np.concatenate([np.arange(max(b - step, a), b) for a, b in zip(edges[:-1], edges[1:])])
+        before = np.concatenate([short[live[short]], before])
+        if not len(before):
+            break
+        placed = before[_arranged(block[before])]
+        slots = np.flatnonzero(several)
+        place = placed + step
+        after = np.where(place < end[placed], block[np.minimum(place, len(x) - 1)], -1)
+        inner = block[placed]
+        split = np.concatenate([[True], (inner[1:] != inner[:-1]) | (after[1:] != after[:-1])])
+        within = split & np.concatenate([[False], inner[1:] == inner[:-1]])
+        common[slots[within]] = reach - step
+        if len(shards) > 1:
+            interleave[slots] = np.searchsorted(edges, placed, side="right") - 1
+            for s, suffixes in enumerate(own):
+                order[interleave == s] = suffixes
+        else:
+            order[slots] = placed
+        begins, more = _blocks(split)
+        block[order[slots]] = slots[begins]
+        several[slots] = more
+        live[order[slots]] = more
+    return order, x[order - 1], common
+
+
+def repeated_intervals(common: np.ndarray, length: int) -> np.ndarray:
+    """Whether a slot lies in an interval of several suffixes that share `length` bytes."""
+    same = common[1:] >= length
+    return np.concatenate([[False], same]) | np.concatenate([same, [False]])
 
 
 def repeated_windows(texts: list[bytes], counts: list[int], twice: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """Runs (start, end) of windows of each span that occur elsewhere in the spans; all of a span that occurs twice."""
-    sizes = np.array([len(t) for t in texts])
-    groups, bound = [[0]], 0
-    for i in range(1, len(texts)):
-        bound += sizes[i - 1]
-        if bound >= SHARD:
-            groups.append([])
-            bound = 0
-        groups[-1].append(i)
-    shards = [np.frombuffer(b"".join(texts[i] for i in g), np.uint8) for g in groups]
-    block, _ = merge_transforms(shards, length)
+    """Runs (start, end) of windows of each piece that occur elsewhere in the pieces; all of a piece that occurs twice.
+
+    A window is a suffix's first `length` bytes, which lie in its piece; the other suffixes only carry the order on.
+    """
+    sizes, counts_ = np.array([len(t) for t in texts]), np.array(counts)
+    shard = np.cumsum(sizes) // SHARD
+    shards = [np.frombuffer(b"".join(texts[a:b]), np.uint8) for a, b in zip(*_edges(shard))]
     begin = np.cumsum(sizes) - sizes
-    counts_, owner = np.array(counts), np.repeat(np.arange(len(texts)), counts)
+    owner = np.repeat(np.arange(len(texts)), counts_)
     window = np.arange(len(owner)) - np.repeat(np.cumsum(counts_) - counts_, counts_)
-    own = block[begin[owner] + window]
-    again = (np.bincount(own, minlength=len(block))[own] > 1) | twice[owner]
-    return _runs(owner, window, again, len(texts))
+    # the other suffixes leave the order, and neighbours share the least of the prefixes between them
+    order, _, common = merge_transforms(shards, length)
+    asked = np.zeros(len(order), bool)
+    asked[begin[owner] + window] = True
+    slots = np.flatnonzero(asked[order])
+    least = np.minimum.reduceat(common[: slots[-1] + 1], np.concatenate([[0], slots[:-1] + 1]))
+    hit = np.zeros(len(order), bool)
+    hit[order[slots]] = repeated_intervals(least, length)
+    return _runs(owner, window, hit[begin[owner] + window] | twice[owner], len(texts))
+
+
+def _edges(group: np.ndarray) -> tuple[list[int], list[int]]:
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return start.tolist(), np.append(start[1:], len(group)).tolist()
 
 
 def _runs(owner: np.ndarray, window: np.ndarray, again: np.ndarray, n: int) -> list[list[tuple[int, int]]]:
@@ -254,81 +302,109 @@ def _run_rows(runs: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], _RUNS)
 
 
-def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The text of wanted spans: anchor, h1, h2, n, spans, count, body."""
-    listed = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")).agg(
-        F.collect_list(F.struct("anchor", "h1", "h2", "n", "spans", F.col("at.first").alias("first"), F.col("at.count").alias("count"))).alias("cuts")
-    )
+BODIES = "key long, h1 long, h2 long, n long, m long, count int, at int, low int, high int, body binary"
+
+
+def _cut(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """The text of wanted spans, as BODIES says; n is how often a span occurs, m the number of its rows, low and high bound the anchor's distance."""
+    ask = F.struct("key", "h1", "h2", "n", "m", "count", "at", "first")
+    listed = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(ask).alias("cuts"))
     rows = marked(docs)
     rows = rows.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("text", "cuts")
-    names = ["anchor", "h1", "h2", "n", "spans", "count"]
+    names = ["key", "h1", "h2", "n", "m", "count", "at"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for row, text in enumerate(texts):
+            for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 cuts = batch.column("cuts").slice(row, 1).flatten()
-                first = cuts.field("first").to_numpy()
-                count = cuts.field("count").to_numpy()
-                body = [text[a : a + c + length - 1] for a, c in zip(first.tolist(), count.tolist())]
-                yield pa.RecordBatch.from_arrays([cuts.field(c) for c in names] + [pa.array(body, pa.binary())], [*names, "body"])
+                first, count = cuts.field("first").to_pylist(), cuts.field("count").to_pylist()
+                body = pa.array([text[a : a + c + length - 1] for a, c in zip(first, count)], pa.binary())
+                ends = [pa.array(np.full(len(cuts), v, np.int32)) for v in (0, length - gram)]
+                yield pa.RecordBatch.from_arrays([*[cuts.field(c) for c in names], *ends, body], [*names, "low", "high", "body"])
+
+    return rows.mapInArrow(each, BODIES)
+
+
+def _halves(bodies: DataFrame, length: int) -> DataFrame:
+    """Each body's windows in two pieces, by the distance of the anchor from a window's start; key is a digest of what all such windows hold.
 
-    return rows.mapInArrow(each, "anchor long, h1 long, h2 long, n long, spans long, count int, body binary")
+    k0, k1, k2 and m0 are the body's own key, digest and rows; off is the piece's first window in the body.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, off, count, at, low, high, keys, body = [], [], [], [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("count", "at", "low", "high", "body")]
+            for row, (n, a, lo, hi, text) in enumerate(zip(*columns)):
+                middle = (lo + hi) // 2
+                cut = min(max(a - middle, 0), n)  # windows from here on are no farther than the middle
+                for skip, size, near, far in ((0, cut, middle + 1, hi), (cut, n - cut, lo, middle)):
+                    if size:
+                        place, own = a - skip, text[skip : skip + size + length - 1]
+                        source.append(row)
+                        for column, value in zip((off, count, at, low, high, body), (skip, size, place, near, far, own)):
+                            column.append(value)
+                        keys.append(_digest(b"%d %d " % (near, far) + own[place - near : place - far + length], 8))
+            rows = pa.array(source, pa.int64())
+            old = [batch.column(c).take(rows) for c in ("key", "h1", "h2", "m", "n")]
+            digest = np.frombuffer(b"".join(map(_digest, body)), np.int64).reshape(-1, 2)
+            made = [np.frombuffer(b"".join(keys), np.int64), digest[:, 0], digest[:, 1]]
+            new = [pa.array(np.ascontiguousarray(v)) for v in made] + [pa.array(v, pa.int32()) for v in (off, count, at, low, high)]
+            names = ["k0", "k1", "k2", "m0", "n", "key", "h1", "h2", "off", "count", "at", "low", "high", "body"]
+            yield pa.RecordBatch.from_arrays([*old, *new, pa.array(body, pa.binary())], names)
+
+    schema = "k0 long, k1 long, k2 long, m0 long, n long, key long, h1 long, h2 long, off int, count int, at int, low int, high int, body binary"
+    return bodies.mapInArrow(each, schema).withColumn("piece", F.monotonically_increasing_id())
+
+
+def _divided(bodies: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of distinct bodies that share keys: key, h1, h2, m, runs. Groups of more than CROWD pieces are halved again."""
+    pieces = staged(_halves(bodies, length), "pieces")
+    one = pieces.groupBy("key", "h1", "h2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min("piece").alias("piece"), F.max("count").alias("count"))
+    one = staged(one, "distinct_pieces")
+    keys = staged(one.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 1"), "piece_keys")
+    live = staged(attach(one, keys, ["key"], "rows"), "live_pieces")
+    all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("count").alias("end"))).alias("runs")
+    whole = live.where("rows = 1").select("key", "h1", "h2", "m", all_)
+    ends = pieces.select("piece", "at", "low", "high", "body")
+    close = live.where("rows > 1").join(ends, "piece").select("key", "h1", "h2", "n", "m", "count", "at", "low", "high", "body", "rows")
+    found = whole.unionByName(_matched(close.where(F.col("rows") <= CROWD), length))
+    if live.where(F.col("rows") > CROWD).limit(1).count():
+        found = found.unionByName(_divided(close.where(F.col("rows") > CROWD).drop("rows"), length))
+    found = staged(found.where(F.size("runs") > 0), "found_pieces")
+    back = attach(pieces.select("k0", "k1", "k2", "m0", "off", "key", "h1", "h2"), found, ["key", "h1", "h2"], "m")
+    moved = F.transform("runs", lambda r: F.struct((F.col("off") + r.start).alias("start"), (F.col("off") + r.end).alias("end")))
+    runs = back.select("k0", "k1", "k2", "m0", moved.alias("runs")).groupBy("k0", "k1", "k2", "m0").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return runs.select(F.col("k0").alias("key"), F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("m0").alias("m"), "runs")
 
 
 def _matched(bodies: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of spans whose anchor has few other spans: by merged transforms."""
+    """Repeated windows of the pieces of small groups, by merged transforms; a group is whole in one task, groups are merged together up to a size."""
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         runs = repeated_windows(table["body"].to_pylist(), table["count"].to_pylist(), table["n"].to_numpy() > 1, length)
-        cols = [table[c].combine_chunks() for c in ("anchor", "h1", "h2", "n")]
-        return pa.RecordBatch.from_arrays([*cols, _run_rows(runs)], ["anchor", "h1", "h2", "n", "runs"])
+        cols = [table[c].combine_chunks() for c in ("key", "h1", "h2", "m")]
+        return pa.RecordBatch.from_arrays([*cols, _run_rows(runs)], ["key", "h1", "h2", "m", "runs"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            at = 0
-            anchor = batch.column("anchor").to_numpy()
-            ends = np.cumsum([len(b) for b in batch.column("body").to_pylist()])
-            for cut in [*np.flatnonzero(np.diff(anchor)) + 1, None]:
-                # enough for one merge, and the anchor changes here
-                past = int(ends[cut - 1]) - (int(ends[at - 1]) if at else 0) if cut else 0
-                if cut and size + past >= SHARD * SHARDS:
-                    held.append(batch.slice(at, cut - at))
+            key = batch.column("key").to_numpy()
+            sizes = pa.compute.binary_length(batch.column("body")).to_numpy()
+            for a, b in zip(*_edges(key)) if len(key) else ():
+                if size >= SHARD * SHARDS and key[a] != last:
                     yield solve(held)
-                    held, size, at = [], 0, cut
-            if at < len(anchor):
-                held.append(batch.slice(at))
-                size += int(ends[-1]) - (int(ends[at - 1]) if at else 0)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size += int(sizes[a:b].sum())
+                last = key[a]
         if held:
             yield solve(held)
 
-    dealt = bodies.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2").dropDuplicates(["anchor", "h1", "h2"]).sortWithinPartitions("anchor")
-    return dealt.mapInArrow(each, f"anchor long, h1 long, h2 long, n long, runs {RUNS}")
-
-
-def _crowded(bodies: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of spans whose anchor has many others: windows are dealt by two hashes of their own bytes."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, body in enumerate(batch.column("body").to_pylist()):
-                x = np.frombuffer(body, np.uint8)
-                n = len(x) - length + 1
-                hashes = Hashes(x)
-                made = [pa.array(hashes.of(i, slice(0, n), slice(length, None)).view(np.int64)) for i in (0, 1)]
-                own = [batch.column(c).take(pa.array(np.full(n, row))) for c in ("anchor", "h1", "h2", "n")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(n, dtype=np.int32)), *made], ["anchor", "h1", "h2", "n", "place", "w1", "w2"])
-
-    rows = bodies.dropDuplicates(["anchor", "h1", "h2"]).mapInArrow(windows, "anchor long, h1 long, h2 long, n long, place int, w1 long, w2 long")
-    rows = staged(rows, "windows")
-    groups = rows.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
-    groups = staged(groups.where("total > 1"), "window_groups")
-    again = attach(rows, groups, ["w1", "w2"], "rows")
-    runs = F.collect_list(F.struct(F.col("place").alias("start"), (F.col("place") + 1).alias("end"))).alias("runs")
-    return again.groupBy("anchor", "h1", "h2", "n").agg(runs)
+    dealt = bodies.select("key", "h1", "h2", "n", "m", "count", "body").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(each, f"key long, h1 long, h2 long, m long, runs {RUNS}")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -337,22 +413,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Columns: doc_id, n_bytes, removed (array of start and end of each maximal run), kept (binary). Texts are UTF-8 bytes, null
     counts as empty, strings never cross texts, and are judged on the input. Texts shorter than `length` keep all.
     Repeated rows are texts of their own, so from `length` bytes on they lose everything; a null doc_id is a
-    row like others. An empty table gives no rows; other columns are not read.
+    row like others. An empty table gives no rows; other columns are not read. Equal spans are told by a 128-bit BLAKE2 digest.
     """
     rows = staged(spans(docs, length, gram), "spans")
-    at = F.min(F.struct("doc_id", "mark", "first", "count")).alias("at")
-    distinct = staged(rows.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), at), "distinct_spans")
-    anchors = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("spans")).where("total > 1")
-    shared = staged(distinct.join(anchors, "anchor"), "shared_spans")
-    whole = shared.where("spans = 1").select("anchor", "h1", "h2", "n", F.array(F.struct(F.lit(0).alias("start"), F.col("at.count").alias("end"))).alias("runs"))
-    bodies = staged(_cut(docs, shared.where("spans > 1"), length), "bodies")
-    found = whole.unionByName(_matched(bodies.where(F.col("spans") <= CROWD), length))
-    found = found.unionByName(_crowded(bodies.where(F.col("spans") > CROWD), length))
-    found = staged(found.where(F.size("runs") > 0), "found")
-    hits = attach(rows, found, ["anchor", "h1", "h2"], "n")
+    any_ = [F.first(c).alias(c) for c in ("doc_id", "mark", "first", "count", "at")]
+    distinct = staged(rows.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), *any_), "distinct_spans")
+    anchors = staged(distinct.groupBy("key").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("spans")).where("total > 1"), "anchors")
+    shared = staged(attach(distinct, anchors, ["key"], "spans").withColumn("m", F.col("n")), "shared_spans")
+    all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("count").alias("end"))).alias("runs")
+    whole = shared.where("spans = 1").select("key", "h1", "h2", "m", all_)
+    found = staged(whole.unionByName(_divided(_cut(docs, shared.where("spans > 1"), length, gram), length)), "found")
+    hits = attach(rows, found, ["key", "h1", "h2"], "m")
     cover = F.transform("runs", lambda r: F.struct((F.col("first") + r.start).alias("start"), (F.col("first") + r.end + (length - 1)).alias("end")))
     hits = hits.select("doc_id", "mark", cover.alias("cover")).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    hits = hits.agg(F.flatten(F.collect_list("cover")).alias("cover"))
+    hits = hits.agg(F.flatten(F.collect_set("cover")).alias("cover"))
     rows = marked(docs)
     rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "cover")
 

@@ -84,35 +84,59 @@ def test_mix_meets_targets(docs, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
-def test_removed_bytes_equal_brute_force(docs, empty):
-    size = 40
-    data = [(t or "").encode() for _, t, _ in ROWS]
-    seen = {}
-    for t in data:
-        for i in range(len(t) - size + 1):
-            seen[t[i : i + size]] = seen.get(t[i : i + size], 0) + 1
+def removed_by_brute_force(rows, size):
+    """doc_id, bytes, removed bytes and digest of what is left, by a table of all windows."""
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(t[i : i + size] for t in data for i in range(len(t) - size + 1))
     want = []
-    for (i, _, _), t in zip(ROWS, data):
+    for (i, _), t in zip(rows, data):
         hit = np.zeros(len(t) + 1, int)
         for j in range(len(t) - size + 1):
             if seen[t[j : j + size]] > 1:
                 hit[j] += 1
                 hit[j + size] -= 1
         on = np.cumsum(hit)[: len(t)] > 0
-        kept = np.frombuffer(t, np.uint8)[~on].tobytes()
-        want.append((str(i), len(t), int(on.sum()), hashlib.sha256(kept).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, size, 16)).collect()]
-    assert sorted(got) == sorted(want)
+        want.append((str(i), len(t), int(on.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~on].tobytes()).hexdigest()))
+    return sorted(want)
+
+
+def removed(docs, size, gram):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, size, gram)).collect())
+
+
+def test_removed_bytes_equal_brute_force(docs, empty):
+    assert removed(docs, 40, 16) == removed_by_brute_force([(i, t) for i, t, _ in ROWS], 40)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_merged_transforms_find_equal_windows():
+def test_removed_bytes_of_crowded_anchors_and_many_shards(spark, monkeypatch):
+    """Passages shared by many different texts, with groups, shards and pieces of text that are cut small."""
+    for name, value in (("CROWD", 3), ("SHARD", 700), ("PIECE", 1 << 11)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passages = [word(n) for n in (30, 50, 64, 65, 90, 150)]
+    rows = [(i, word(int(rng.integers(0, 120))) + passages[i % 6] + word(int(rng.integers(0, 120)))) for i in range(90)]
+    rows += [(100 + i, passages[5] * 3 + word(5)) for i in range(3)] + [(200, rows[0][1]), (200, rows[0][1]), (None, rows[1][1]), (201, "é" * 2000), (202, word(6000))]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 64, 16) == removed_by_brute_force(rows, 64)
+
+
+def test_merged_transforms_give_common_prefixes_and_repeated_intervals():
     rng = np.random.default_rng(5)
-    shards = [rng.integers(97, 99, 300).astype(np.uint8) for _ in range(3)]
-    block, _ = suffix_dedup.merge_transforms(shards, 12)
-    text = np.concatenate(shards).tobytes()
-    spots = range(len(text) - 12)
-    assert len({int(block[i]) for i in spots}) == len({text[i : i + 12] for i in spots})
+    for size, letters, n in ((12, 2, 300), (9, 3, 100), (40, 1, 90), (25, 4, 2000)):
+        shards = [rng.integers(97, 97 + letters, n).astype(np.uint8) for _ in range(3)]
+        order, transform, common = suffix_dedup.merge_transforms(shards, size)
+        text = np.concatenate(shards)
+        assert sorted(order.tolist()) == list(range(3 * n)) and (transform == text[order - 1]).all()
+        prefix = [text[i : min(i + size, (i // n + 1) * n)].tobytes() for i in order.tolist()]
+        whole = [p for p in prefix if len(p) == size]
+        count = Counter(whole)
+        assert whole == sorted(whole)
+        again = suffix_dedup.repeated_intervals(common, size)
+        assert all(again[slot] == (count[p] > 1) for slot, p in enumerate(prefix) if len(p) == size)
+        for slot in range(1, len(order)):
+            a, b = prefix[slot - 1 : slot + 1]
+            assert a[: common[slot]] == b[: common[slot]] or min(len(a), len(b)) < size
 
 
 def test_language_model_counts_and_normalises(docs, empty):
