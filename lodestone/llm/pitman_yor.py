@@ -1,11 +1,11 @@
 """LM scoring by a hierarchical Pitman-Yor model (Teh, 2006): a restaurant per previous word, all with one parent.
 
 A customer of restaurant u is an occurrence of a word after u; its tables are customers of the parent, whose own
-base is uniform over the known words and one for all others. A pair that occurs once has one table. For pairs
-that occur more often, a Gibbs sweep reseats the pair's customers one after the other, given the tables of all
-other pairs and the parent's predictive probabilities, which the sweep before has left. What is needed of a
-sample (customers less discounts, tables, parent probabilities) is averaged over the sweeps after a burn-in.
-Restaurants are rows of tables: a sweep joins and sums them, so none has to fit into a task.
+base is uniform over the known words and one for all others. A pair that occurs once has one table. A Gibbs
+sweep takes the tables of a dish away from its restaurant and from the parent and seats its customers anew, one
+after the other, given the tables that all other dishes have from the sweep before; each table that opens counts
+for the next customer. The root is swept likewise. The predictive probability of a token is averaged over the sweeps
+after a burn-in. Restaurants are rows of tables: a sweep joins and sums them, so none has to fit into a task.
 
 Texts are read and cut into words once: a chunk of texts keeps its tokens and asks for the numbers of its distinct words,
 which are given by frequency. Pairs of numbers are then counted and looked up in bulk: a chunk sends each bucket of pairs
@@ -17,12 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import attach, discard, staged
@@ -142,7 +141,7 @@ def numbered(words: DataFrame, buckets: int) -> DataFrame:
         numbers = [packed(x) for x in np.split(number, np.cumsum(sizes)[:-1])]
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "size": table["size"], "numbers": pa.array(numbers, pa.binary())})
 
-    return words.groupBy("bucket").applyInArrow(each, "chunk long, bucket int, size int, numbers binary")
+    return words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(each, "chunk long, bucket int, size int, numbers binary")
 
 
 def _all(table: pa.Table, name: str, sizes: list[int], kind: type = np.int64) -> np.ndarray:
@@ -202,7 +201,12 @@ def requests(texts: DataFrame, numbers: DataFrame, buckets: int) -> DataFrame:
         columns = {name: pa.array(values, kind) for name, kind, values in zip(names, kinds, zip(*found, strict=True), strict=True)}
         return pa.table(columns | {c: pa.array([left[c][0].as_py(), *[None] * (len(found) - 1)], left[c].type) for c in ("doc_ids", "held_out", "sizes")})
 
-    return texts.groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(each, schema)
+    return _by_chunk(texts, buckets).cogroup(_by_chunk(numbers, buckets)).applyInArrow(each, schema)
+
+
+def _by_chunk(rows: DataFrame, buckets: int) -> GroupedData:
+    """Rows of a chunk together; there are about as many chunks as buckets."""
+    return rows.repartition(buckets, "chunk").groupBy("chunk")
 
 
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,15 +222,33 @@ def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return u[new], w[new], np.bincount(which, _all(table, "n", sizes), int(new.sum())).astype(np.int64), which
 
 
-def counted(asked: DataFrame) -> DataFrame:
-    """bucket, u, w, c of the training pairs."""
+COUNTED = "bucket int, kind int, u long, w long, c long, types long, rows long"
+
+
+def counted(asked: DataFrame, buckets: int) -> DataFrame:
+    """Sums of a bucket's training pairs: those of each context (kind 0, in u) and of each word (kind 1, in w), and the pairs that repeat (kind 2).
+
+    c counts tokens, types distinct pairs, and rows those of them that repeat.
+    """
 
     def each(table: pa.Table) -> pa.Table:
         u, w, c, _ = merged(table)
-        seen = c > 0
-        return pa.table({"bucket": pa.array(np.full(int(seen.sum()), table["bucket"][0].as_py()), pa.int32()), "u": u[seen], "w": w[seen], "c": c[seen]})
-
-    return asked.groupBy("bucket").applyInArrow(each, "bucket int, u long, w long, c long")
+        u, w, c = u[c > 0], w[c > 0], c[c > 0]
+        more = (c > 1).astype(np.int64)
+        parts = []
+        for kind, of in ((0, u), (1, w)):
+            key, place = np.unique(of, return_inverse=True)
+            sums = [np.bincount(place, v, len(key)).astype(np.int64) for v in (c, np.ones(len(c)), more)]
+            none = np.zeros(len(key), np.int64)
+            parts.append((np.full(len(key), kind), *((key, none) if kind == 0 else (none, key)), *sums))
+        often = np.flatnonzero(more)
+        one = np.ones(len(often), np.int64)
+        parts.append((np.full(len(often), 2), u[often], w[often], c[often], one, one))
+        kind, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = pa.array(np.full(len(kind), table["bucket"][0].as_py()), pa.int32())
+        return pa.table({"bucket": bucket, "kind": pa.array(kind, pa.int32()), **dict(zip(("u", "w", "c", "types", "rows"), values, strict=True))})
+
+    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(each, COUNTED)
 
 
 def _answers(asked: pa.Table, kind: int, values: np.ndarray) -> pa.Table:
@@ -240,7 +262,7 @@ def _answers(asked: pa.Table, kind: int, values: np.ndarray) -> pa.Table:
 ANSWERS = "chunk long, kind int, bucket int, size int, a binary"
 
 
-def answered(asked: DataFrame, often: DataFrame) -> DataFrame:
+def answered(asked: DataFrame, often: DataFrame, buckets: int) -> DataFrame:
     """Customers less discounts of the requested pairs; often has that of pairs that occur more than once."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -250,31 +272,46 @@ def answered(asked: DataFrame, often: DataFrame) -> DataFrame:
         x[c > 1] = right["x"].to_numpy()[order]
         return _answers(left, 2, x[which][None].astype(np.float32).astype(np.float64))
 
-    return asked.groupBy("bucket").cogroup(often.groupBy("bucket")).applyInArrow(each, ANSWERS)
+    both = (x.repartition(buckets, "bucket").groupBy("bucket") for x in (asked, often))
+    return next(both).cogroup(next(both)).applyInArrow(each, ANSWERS)
 
 
-def described(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """tu, cu, p1 and cw of the requested words, one after the other."""
+def described(asked: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """The values of VALUES for the requested words, one after the other."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("w")
         at = np.searchsorted(right["w"].to_numpy(), _all(left, "a", left["size"].to_pylist()))
-        values = np.array([right[c].cast(pa.float64()).to_numpy() for c in ("tu", "cu", "p1", "cw")])
+        values = np.array([right[c].cast(pa.float64()).to_numpy() for c in VALUES])
         return _answers(left, 1, values[:, at])
 
-    return asked.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(each, ANSWERS)
+    both = (x.repartition(buckets, "bucket").groupBy("bucket") for x in (asked, words))
+    return next(both).cogroup(next(both)).applyInArrow(each, ANSWERS)
+
 
+#: Of a word: tokens, tokens after it, and for each sample the tables of its restaurant and its probability in the parent.
+VALUES = ["cw", "cu", *[f"tu{i}" for i in range(SAMPLES)], *[f"p{i}" for i in range(SAMPLES)]]
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating so many customers of one dish, `weight` being that of a new table."""
+
+def seat(customers: np.ndarray, room: np.ndarray, guests: np.ndarray, all_guests: np.ndarray, discount: float, rng: np.random.Generator, joins: int = 1) -> np.ndarray:
+    """Tables after seating so many customers of one dish in a restaurant from which its own tables were taken away.
+
+    With t tables open, a new one weighs (room + discount t) (guests + t) / (all_guests + t): the restaurant's strength and
+    discounts times the parent's probability of the dish, whose guests the tables are (joins is 0 for a parent without guests).
+    """
     order = np.argsort(-customers, kind="stable")
-    left, weight = customers[order], weight[order]
+    left, room, guests, all_guests = (x[order] for x in (customers, room, guests, all_guests))
     table = np.ones(len(left))
     seated, n = 1, int(np.count_nonzero(left > 1))
     while n:
         step = 1 if seated < SINGLY else seated // 50 + 1
-        new = weight[:n] / (weight[:n] + np.maximum(seated - discount * table[:n], 1e-9))
-        table[:n] += rng.binomial(np.minimum(step, left[:n].astype(np.int64) - seated), new)
+        t = table[:n]
+        weight = (room[:n] + discount * t) * (guests[:n] + joins * t) / (all_guests[:n] + joins * t)
+        new = weight / (weight + np.maximum(seated - discount * t, 1e-9))
+        if step == 1:
+            table[:n] += rng.random(n) < new
+        else:
+            table[:n] += rng.binomial(np.minimum(step, left[:n].astype(np.int64) - seated), new)
         seated += step
         n = int(np.searchsorted(-left[:n], -seated, side="left"))
     back = np.empty(len(left))
@@ -282,76 +319,80 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     return back
 
 
-def reseat(rows: DataFrame, customers: str, weight: Column, discount: float, sweep: int) -> DataFrame:
-    """Adds the tables of each row's dish after a sweep; the draw is fixed by the row's key and the sweep."""
-    schema = rows.withColumn("t", F.lit(0.0)).schema
+def reseat(rows: DataFrame, customers: str, room: Column, guests: Column, all_guests: Column, discount: float, sweep: int, joins: int = 1) -> DataFrame:
+    """Rows with the tables t of each dish after a sweep; the draw is fixed by the row's key and the sweep."""
+    schema = rows.schema
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                keys = [batch[c].to_numpy().view(np.uint64) for c in ("u", "w") if c in batch]
+            if batch.num_rows:
+                keys = [batch.column(c).to_numpy().view(np.uint64) for c in ("u", "w") if c in schema.names]
                 rng = np.random.default_rng([sweep, int(np.bitwise_xor.reduce(np.concatenate(keys)))])
-                t = seat(batch[customers].to_numpy(np.float64), batch.pop("_weight").to_numpy(), discount, rng)
-                yield batch.assign(t=t)[schema.fieldNames()]
+                args = [batch.column(c).to_numpy() for c in ("_room", "_guests", "_all")]
+                t = seat(batch.column(customers).to_numpy().astype(np.float64), *args, discount, rng, joins)
+                yield pa.RecordBatch.from_arrays([pa.array(t) if c == "t" else batch.column(c) for c in schema.names], schema.names)
 
-    return rows.withColumn("_weight", weight).mapInPandas(each, schema)
+    given = {"_room": room, "_guests": guests, "_all": all_guests}
+    return rows.withColumns({k: v.cast("double") for k, v in given.items()}).mapInArrow(each, schema)
 
 
-def model(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float, int, int]:
-    """Averages over the samples: of repeated pairs (bucket, u, w, x), contexts (u, cu, tu), words (w, p1, cw);
+def model(sums: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]:
+    """Of repeated pairs the mean of customers less discounts (bucket, u, w, x); of words what VALUES says (w, ...); the probability
 
-    and p1 of an unknown word, the number of known words and that of tokens.
-
-    pairs: bucket, u, w, c, the training counts above 0; they are deleted.
+    of an unknown word in each sample, the number of known words and that of tokens. sums is what counted() gives.
     """
-    contexts = staged(pairs.groupBy("u").agg(F.sum("c").alias("cu"), F.count(F.lit(1)).cast("double").alias("types"), F.count_if(F.col("c") > 1).alias("rows")), "contexts")
-    parents = staged(pairs.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("types"), F.count_if(F.col("c") > 1).alias("rows"), F.sum("c").alias("cw")), "parents")
+    totals = [F.sum("c").alias("c"), F.sum("types").cast("double").alias("types"), F.sum("rows").alias("rows")]
+    contexts = staged(sums.where("kind = 0").groupBy("u").agg(*totals).withColumnRenamed("c", "cu"), "contexts")
+    parents = staged(sums.where("kind = 1").groupBy("w").agg(*totals).withColumnRenamed("c", "cw"), "parents")
     known, tokens = parents.agg(F.count(F.lit(1)), F.coalesce(F.sum("cw"), F.lit(0))).first()
-    start = F.greatest(F.lit(1.0), F.floor(F.pow("c", F.lit(0.5))))
-    seated = staged(pairs.where("c > 1").withColumns({"t": start, "ts": F.lit(0.0)}), "seated")
-    discard(pairs)
-    tables = staged(contexts.withColumn("tu", F.col("types")), "tables")
-    sums: list[tuple[DataFrame, DataFrame, float]] = []
+    start = F.greatest(F.lit(1.0), F.floor(F.pow("c", F.lit(0.5)))).cast("double")
+    seated = staged(sums.where("kind = 2").select("bucket", "u", "w", "c", start.alias("t"), F.lit(0.0).alias("ts")), "seated")
+    discard(sums)
+    root = staged(parents.select("w", "types", "rows", "types", F.lit(1.0).alias("t")).toDF("w", "types", "rows", "guests", "t"), "root")
+    root_tables, tables, samples = float(known), None, []
+    more = F.sum(F.col("t") - 1).alias("more")
+    each = 1.0 / (known + 1)
     for sweep in range(BURN_IN + SAMPLES):
-        more = F.sum(F.col("t") - 1).alias("more")
-        extra = seated.groupBy("w").agg(more)
-        guests = parents.join(extra, "w", "left").select("w", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("guests"), "rows")
+        guests = root.join(seated.groupBy("w").agg(more), "w", "left")
+        guests = guests.select("w", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("guests"), "t")
         total = guests.agg(F.sum("guests")).first()[0] or 0.0
-        guess = float(known)
-        root = staged(reseat(guests, "guests", F.lit((ROOT_STRENGTH + ROOT_DISCOUNT * guess) / (known + 1)), ROOT_DISCOUNT, sweep), "root")
-        spread = (ROOT_STRENGTH + ROOT_DISCOUNT * (root.agg(F.sum("t")).first()[0] or 0.0)) / (known + 1)
-        p1 = (F.col("guests") - ROOT_DISCOUNT * F.col("t") + spread) / (ROOT_STRENGTH + total)
-        shares = staged(root.select("w", "rows", p1.alias("p1")), "shares")
-        discard(root)
-        met = attach(seated.drop("t"), shares.where("rows > 0").withColumnRenamed("rows", "size"), ["w"], "size").drop("size")
-        met = staged(met, "met")
+        old, room = root, ROOT_STRENGTH + ROOT_DISCOUNT * (F.lit(root_tables) - F.col("t"))
+        root = staged(reseat(guests, "guests", room, F.lit(each), F.lit(1.0), ROOT_DISCOUNT, sweep, joins=0), "root")
+        discard(old)
+        root_tables = root.agg(F.sum("t")).first()[0] or 0.0
+        spread = (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) * each
+        share = F.col("guests") - ROOT_DISCOUNT * F.col("t") + F.lit(spread)
+        shares = root.where("rows > 0").select("w", F.col("rows").alias("size"), "guests", F.col("t").alias("root_t"))
+        met = staged(attach(seated, shares, ["w"], "size").drop("size"), "met")
         discard(seated)
+        tables = tables or staged(contexts.join(met.groupBy("u").agg(more), "u", "left").select("u", "cu", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("tu")), "tables")
         guest = attach(met, tables.where("rows > 0").select("u", "tu", F.col("rows").alias("size")), ["u"], "size").drop("size")
-        weight = (STRENGTH + DISCOUNT * F.col("tu")) * F.col("p1")
-        seated = reseat(guest, "c", weight, DISCOUNT, sweep).withColumn("ts", F.col("ts") + (F.col("t") if sweep >= BURN_IN else 0.0))
-        seated = staged(seated.select("bucket", "u", "w", "c", "t", "ts"), "seated")
+        room = STRENGTH + DISCOUNT * (F.col("tu") - F.col("t"))
+        others = F.col("guests") - F.col("t")
+        left = others - ROOT_DISCOUNT * F.least("root_t", others) + F.lit(spread)
+        new = reseat(guest, "c", room, left, ROOT_STRENGTH + total - F.col("t"), DISCOUNT, sweep)
+        new = new.withColumn("ts", F.col("ts") + (F.col("t") if sweep >= BURN_IN else 0.0))
+        seated = staged(new.select("bucket", "u", "w", "c", "t", "ts"), "seated")
         discard(met)
-        extra = seated.groupBy("u").agg(more)
-        tables = contexts.join(extra, "u", "left").withColumn("tu", F.col("types") + F.coalesce("more", F.lit(0.0))).drop("more")
+        old = tables
+        tables = contexts.join(seated.groupBy("u").agg(more), "u", "left").select("u", "cu", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("tu"))
         tables = staged(tables, "tables")
+        discard(old)
         if sweep >= BURN_IN:
-            sums.append((tables, shares, spread / (ROOT_STRENGTH + total)))
-
-    def mean(place: int, keys: list[str], value: str, kept: list[str]) -> DataFrame:
-        every = sums[0][place]
-        for s in sums[1:]:
-            every = every.unionByName(s[place])
-        return every.groupBy(*keys, *kept).agg(F.avg(value).alias(value))
-
+            i = len(samples)
+            own = staged(root.select("w", (share / (ROOT_STRENGTH + total)).alias(f"p{i}")), "shares")
+            samples.append((own, staged(tables.select(F.col("u").alias("w"), F.col("tu").alias(f"tu{i}")), "sampled"), spread / (ROOT_STRENGTH + total)))
     x = seated.select("bucket", "u", "w", (F.col("c") - DISCOUNT * F.col("ts") / SAMPLES).alias("x"))
-    words = mean(1, ["w"], "p1", []).join(parents.select("w", "cw"), "w")
-    return x, mean(0, ["u"], "tu", ["cu"]), words, float(np.mean([s[2] for s in sums])), known, tokens
+    words = parents.select("w", "cw").join(contexts.select(F.col("u").alias("w"), "cu"), "w", "left")
+    for p, t, _ in samples:
+        words = words.join(p, "w").join(t, "w", "left")
+    return x, words.fillna(0), [s[2] for s in samples], known, tokens
 
 
 def score(docs: DataFrame) -> DataFrame:
     """The model's and the base's log10 probability of every document.
 
-    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows whose crc32(doc_id as
+    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (a token's). Learns from rows whose crc32(doc_id as
     text) mod 5 is not 1 (a null doc_id trains). A text's tokens are its words, A-Z lower-cased, and one end, so
     null and empty texts are an end. Repeated rows count as often as they come and are scored each. Without any
     training token, every token has the base's probability. Texts are whole; an empty table gives no rows.
@@ -363,11 +404,10 @@ def score(docs: DataFrame) -> DataFrame:
     discard(chunks)
     discard(numbers)
     of_pairs, of_words = (asked.where(F.col("kind") == kind).select("chunk", "bucket", "size", "a", "b", "n") for kind in (2, 1))
-    pairs = staged(counted(of_pairs), "pairs")
-    x, contexts, words, unknown, known, total = model(pairs)
-    unknown = unknown if total else 1.0 / (known + 1)
-    words = words.join(contexts.withColumnRenamed("u", "w"), "w", "left").fillna(0).withColumn("bucket", F.pmod("w", F.lit(buckets)).cast("int"))
-    answers = staged(answered(of_pairs, x).unionByName(described(of_words, words)), "answers")
+    x, words, unknown, known, total = model(staged(counted(of_pairs, buckets), "sums"))
+    unknown = unknown if total else [1.0 / (known + 1)] * SAMPLES
+    words = words.withColumn("bucket", F.pmod("w", F.lit(buckets)).cast("int"))
+    answers = staged(answered(of_pairs, x, buckets).unionByName(described(of_words, words, buckets)), "answers")
     doc_id = dict(docs.dtypes)["doc_id"]
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -378,13 +418,15 @@ def score(docs: DataFrame) -> DataFrame:
         rows = list(zip(right["kind"].to_pylist(), right["a"].to_pylist(), right["size"].to_pylist(), strict=True))
         met = np.flatnonzero(number >= 0)
         met = met[by_bucket(number[met] % buckets, buckets)]
-        of_word = np.zeros((4, len(number)))
-        of_word[2] = unknown
-        of_word[:, met] = np.concatenate([np.zeros((4, 0)), *[unpacked(a, 4 * n, np.float64).reshape(4, n) for kind, a, n in rows if kind == 1]], axis=1)
+        k = len(VALUES)
+        of_word = np.zeros((k, len(number)))
+        of_word[2 + SAMPLES :] = np.array(unknown)[:, None]
+        of_word[:, met] = np.concatenate([np.zeros((k, 0)), *[unpacked(a, k * n, np.float64).reshape(k, n) for kind, a, n in rows if kind == 1]], axis=1)
         own = np.zeros(len(p.u))
         own[p.known] = np.concatenate([np.zeros(0), *[unpacked(a, n, np.float64) for kind, a, n in rows if kind == 2]])
-        tu, cu, p1, cw = of_word
-        lp = np.log10((own + (STRENGTH + DISCOUNT * tu[p.u]) * p1[p.w]) / (STRENGTH + cu[p.u]))
+        cw, cu, tu, p1 = of_word[0], of_word[1], of_word[2 : 2 + SAMPLES], of_word[2 + SAMPLES :]
+        parent = sum((STRENGTH + DISCOUNT * tu[i][p.u]) * p1[i][p.w] for i in range(SAMPLES)) / SAMPLES
+        lp = np.log10((own + parent) / (STRENGTH + cu[p.u]))
         lb = np.log10((cw + 0.5) / (total + 0.5 * (known + 1)))
         sizes = np.array(left["sizes"][0].as_py(), np.int64)
         first = np.cumsum(sizes) - sizes
@@ -392,8 +434,9 @@ def score(docs: DataFrame) -> DataFrame:
             "n_tokens": sizes, "n_known": np.add.reduceat((cw > 0)[tokens].astype(np.int64), first), "train_tokens": np.full(len(first), total),
             "base_score": np.add.reduceat(lb[tokens], first), "score": np.add.reduceat(lp[p.pair], first),
         }
+        values["perplexity"] = 10.0 ** (-values["score"] / sizes)
         return pa.table({"doc_id": left["doc_ids"].combine_chunks().flatten(), "held_out": left["held_out"].combine_chunks().flatten(), **values})
 
-    schema = f"doc_id {doc_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {doc_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     texts = asked.where("kind = 0").select("chunk", "size", "n_words", "a", "b", "doc_ids", "held_out", "sizes")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(each, schema)
+    return _by_chunk(texts, buckets).cogroup(_by_chunk(answers, buckets)).applyInArrow(each, schema)

@@ -29,6 +29,8 @@ from lodestone.llm.common import attach, staged
 LENGTH, GRAM = 400, 32
 #: Bytes hashed at once, bytes of a shard, shards merged at once, and pieces of a key beyond which they are halved again.
 PIECE, SHARD, SHARDS, CROWD = 1 << 19, 1 << 18, 4, 512
+#: Texts held as Python objects at once.
+ROWS = 1024
 # An odd multiplier of the polynomial hash, and one that spreads its bits.
 BASE, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -107,12 +109,19 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: their texts are held twice at times."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """One row per run of windows with one anchor: doc_id, mark (of the text), first, count, at (the anchor's place from the first), key, h1, h2."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "mark", "first", "count", "at", "key", "h1", "h2"]
-        for batch in batches:
+        for batch in _slices(batches):
             data, offsets = _buffers(batch.column("text"))
             for text, first, count, at, key, digest in anchored_spans(data, offsets, length, gram):
                 rows = pa.array(text)
@@ -314,7 +323,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFram
     names = ["key", "h1", "h2", "n", "m", "count", "at"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for row, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 cuts = batch.column("cuts").slice(row, 1).flatten()
                 first, count = cuts.field("first").to_pylist(), cuts.field("count").to_pylist()
@@ -431,7 +440,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("doc_id", "text", "cover")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             removed, kept = [], []
             for row, text in enumerate(texts):

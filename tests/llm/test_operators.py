@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -157,11 +158,48 @@ def test_language_model_counts_and_normalises(docs, empty):
     chunks = pitman_yor.encoded(docs, 3)
     numbers = pitman_yor.numbered(chunks.where("bucket >= 0"), 3)
     asked = pitman_yor.requests(chunks.where("bucket < 0"), numbers, 3).where("kind = 2")
-    pairs = {(r.u, r.w): r.c for r in pitman_yor.counted(asked).collect()}
-    assert sum(pairs.values()) == total and len({w for _, w in pairs}) == len(count)
+    sums = pitman_yor.counted(asked, 3).collect()
+    assert all(sum(r.c for r in sums if r.kind == kind) == total for kind in (0, 1))
+    assert len({r.w for r in sums if r.kind == 1}) == len(count) and all(r.c > 1 for r in sums if r.kind == 2)
     assert pitman_yor.score(empty).count() == 0
 
 
+def test_seating_follows_the_restaurant_process():
+    """Tables of a dish against a sampler that seats one customer at a time in plain Python."""
+    rng, c, room, guests, every, d = np.random.default_rng(1), 12, 1.5, 2.0, 40.0, 0.8
+    want = []
+    for _ in range(4000):
+        t = 1
+        for seated in range(1, c):
+            new = (room + d * t) * (guests + t) / (every + t)
+            t += rng.random() < new / (new + seated - d * t)
+        want.append(t)
+    full = [np.full(4000, x) for x in (float(c), room, guests, every)]
+    got = pitman_yor.seat(*full, d, rng)
+    assert abs(got.mean() - np.mean(want)) < 0.1 and got.min() >= 1 and got.max() <= c
+    assert (pitman_yor.seat(*[x[:3] for x in (np.ones(3), *full[1:])], d, rng) == 1).all()
+
+
+def held_ids(n, held):
+    return [i for i in range(100_000) if (zlib.crc32(str(i).encode()) % 5 == 1) == held][:n]
+
+
+def test_language_model_is_a_distribution(spark):
+    """Probabilities of all texts of two known words and one unknown add up to 1 but for the long texts' share."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["a", "b"], rng.integers(0, 3)))) for i in held_ids(500, False)]
+    texts = [" ".join(t) for n in range(7) for t in itertools.product(("a", "b", "zz"), repeat=n)]
+    rows += list(zip(held_ids(len(texts), True), texts, strict=True))
+    got = [r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect() if r.held_out]
+    assert len(got) == len(texts) and 0.98 < sum(10**r.score for r in got) < 1 + 1e-9
+    assert all(abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-6 * r.perplexity for r in got)
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark, data):
+    got = [r for r in pitman_yor.score(spark.read.parquet(f"{data}/documents.parquet")).collect() if r.held_out and r.n_tokens > 1]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.3 * sum(r.n_tokens for r in got)
+
+
 def test_license_lines(docs, empty):
     found = license_scan.scan(docs).collect()
     assert [(r.doc_id, r.line_no, r.license) for r in found if r.dice == 1.0] == [(10, 1, "CC-BY-NC-4.0")]
