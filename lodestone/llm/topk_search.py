@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import staged
 
-#: Candidates in a group, queries in a block, candidates bounded at once, and segments of each resolution.
-GROUP, BLOCK, STEP, SEGMENTS = 20_000, 8192, 2048, (2, 8, 16)
+#: Candidates in a group, queries in a block, rows and columns of pairs handled at once, and segments of each resolution.
+GROUP, BLOCK, STEP, SEGMENTS = 20_000, 2048, 1024, (2, 8, 32)
 
 
 def integer_vector(vector: Column, scale: float = 256.0) -> Column:
@@ -31,37 +31,63 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(cols, 1) if cols else np.zeros((len(x), 1))
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Query number, vector id and score of each query's k highest inner products, ties to the smaller id."""
-    ranks = [(segment_features(queries, s), segment_features(vectors, s)) for s in SEGMENTS]
-    q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    worst = np.full(len(queries), -np.inf)
-    for at in range(0, len(vectors), STEP):
-        cols, rows = np.arange(at, min(at + STEP, len(vectors))), np.arange(len(queries))
-        for fq, fx in ranks if at else ():
-            bound = fq[rows] @ fx[cols].T
-            open_ = bound + 1e-9 * np.abs(bound) + 1e-6 >= worst[rows, None]
-            rows, cols = rows[open_.any(1)], cols[open_.any(0)]
-            if not len(rows):
-                break
-        if not len(rows):
-            continue
-        exact = queries[rows] @ vectors[cols].T
-        keep = (exact >= worst[rows, None]) & (query_ids[rows, None] != ids[None, cols])
-        if not at and len(cols) > 4 * k:
-            # the k-th of the first step is a floor for all
-            ordered = np.where(keep, exact, -np.inf)
-            keep &= exact >= np.partition(ordered, -k, axis=1)[:, -k][:, None]
-        a, b = np.nonzero(keep)
-        q, i, s = np.concatenate([q, rows[a]]), np.concatenate([i, ids[cols[b]]]), np.concatenate([s, exact[a, b]])
-        order = np.lexsort((i, -s, q))
-        q, i, s = q[order], i[order], s[order]
-        start = np.maximum.accumulate(np.where(np.concatenate([[True], q[1:] != q[:-1]]), np.arange(len(q)), 0)) if len(q) else q
-        place = np.arange(len(q)) - start
-        last = place == k - 1
-        worst[q[last]] = s[last]
-        q, i, s = q[place < k], i[place < k], s[place < k]
-    return q, i, s
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, seen: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """Query number, vector id and score of each query's k highest inner products, ties to the smaller id.
+
+    Each query starts from a floor: the k-th best of the exact products with its candidates of highest coarse bound. Pairs whose
+    bound, coarse to fine, falls below the floor are dropped one by one; exact products are made for the rest. seen gets
+    how many pairs were left before each resolution and before the exact products.
+    """
+    counts = [0] * (len(SEGMENTS) + 1)
+    resolutions = [(segment_features(queries, s), segment_features(vectors, s)) for s in SEGMENTS]
+    found: list[tuple[np.ndarray, ...]] = []
+    for top in range(0, len(queries), STEP):
+        rows = slice(top, top + STEP)
+        mine, own = queries[rows], query_ids[rows]
+        floor = np.full(len(mine), -np.inf)
+        hits: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(vectors), STEP):
+            cols = slice(at, at + STEP)
+            other = own[:, None] != ids[None, cols]
+            counts[0] += other.size
+            bound = resolutions[0][0][rows] @ resolutions[0][1][cols].T
+            slack = 1e-6 + 1e-9 * np.abs(bound)
+            if other.shape[1] >= 2 * k:
+                # candidates of highest coarse bound seed the floor
+                likely = np.argpartition(np.where(other, bound, -np.inf), -2 * k, axis=1)[:, -2 * k :]
+                sure = np.einsum("qd,qkd->qk", mine, vectors[cols][likely])
+                sure = np.where(np.take_along_axis(other, likely, 1), sure, -np.inf)
+                floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
+            q, c = np.nonzero(other & (bound + slack >= floor[:, None]))
+            for number, (fq, fx) in enumerate(resolutions[1:], 1):
+                counts[number] += len(q)
+                fine = _products(fq[rows], fx[cols], q, c)
+                open_ = fine + 1e-6 + 1e-9 * np.abs(fine) >= floor[q]
+                q, c = q[open_], c[open_]
+            counts[-1] += len(q)
+            exact = _products(mine, vectors[cols], q, c)
+            good = exact >= floor[q]
+            hits.append((q[good], ids[cols][c[good]], exact[good]))
+            q, i, s = (np.concatenate(x) for x in zip(*hits))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            start = np.flatnonzero(np.concatenate([np.ones(min(len(q), 1), bool), q[1:] != q[:-1]]))
+            place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+            last = place == k - 1
+            floor[q[last]] = np.maximum(floor[q[last]], s[last])
+            hits = [(q[place < k], i[place < k], s[place < k])]
+        found += [(q + top, i, s) for q, i, s in hits]
+    if seen is not None:
+        seen[:] = counts
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _products(left: np.ndarray, right: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs: of the few that are left one by one, of a dense set as a matrix."""
+    if 8 * len(q) > len(left) * len(right):
+        return (left @ right.T)[q, c]
+    parts = [np.einsum("nd,nd->n", left[q[a : a + 65536]], right[c[a : a + 65536]]) for a in range(0, len(q), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:

@@ -304,6 +304,21 @@ def test_topk_equals_brute_force(spark):
     assert topk_search.top_k(table.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_bounds_drop_pairs_at_every_resolution():
+    """Vectors in clusters: fewer pairs are left at each resolution, and switching the bounds off changes the work, not the result."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 64)) * 256
+    vectors = np.floor(centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 64)) * 25)
+    vectors[50:60] = vectors[40]  # ties
+    ids, seen = np.arange(3000), []
+    q, i, s = topk_search.best_of(vectors[::20], ids[::20], vectors, ids, 5, seen)
+    assert seen[0] == 150 * 3000 and all(a > b for a, b in zip(seen, seen[1:])) and seen[-1] < 0.5 * seen[0]
+    exact = vectors[::20] @ vectors.T
+    for row in range(150):
+        want = sorted((-int(exact[row, j]), j) for j in range(3000) if j != 20 * row)[:5]
+        assert [(-int(x), int(j)) for j, x in zip(i[q == row], s[q == row])] == want
+
+
 def test_main_text():
     page = (
         "<html><body><header>Site</header><nav><a href=/>Home</a></nav><div class='cookie-notice'><p>We use cookies, ok?</p></div><div id=main><h2>Head</h2>"
