@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexical import top
@@ -14,28 +16,51 @@ from lodestone.registry import query, table
 EVERY, DEPTH, OVERFETCH = 20, 5, 20
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Queries and candidates of a block: a task makes the products of one block of each.
+BLOCK = 4096
 
 
-def norm(a: str) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool = False) -> DataFrame:
+    """qid, vec_id, label, q_label, score (6 places), rank: the k best rows for each query row, ties to the smaller vec_id.
 
+    Vectors are normalised once, both sides are dealt to blocks, and each pair of blocks is a matrix product that answers with the
+    rows that can be among a query's k best. With same_label only rows of the query's label are candidates, before any score.
+    Vectors of unlike widths don't meet; a null vector takes no part, nor a null label with same_label (it has no equal).
+    """
+    rows = vectors.where("embedding IS NOT NULL").select("vec_id", "label", "embedding", F.size("embedding").alias("width"))
+    n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % EVERY == 0)).first()
+    right, left = max(1, -(-n // BLOCK)), max(1, -(-(asked_n or 0) // BLOCK))
+    group = [F.col("label").cast("string").alias("part")] if same_label else [F.lit("").alias("part")]
+    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = rows.where(F.col("vec_id") % EVERY == 0).select("*", *group, deal(left).alias("l")).select("*", every(right).alias("r"))
+    # both sides come from one table: a cogroup needs columns of its own on each
+    others = rows.select(*[F.col(c).alias(c) for c in rows.columns], *group, deal(right).alias("r")).select("*", every(left).alias("l"))
+    kinds, keys = dict(vectors.dtypes), ["width", "part", "l", "r"]
 
-def pairs(vectors: DataFrame, where: Column | None = None) -> DataFrame:
-    """The stated query set against all other rows: qid, vec_id, q, v, and both labels. The filter runs before any score."""
-    asked = vectors.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    rows = vectors.select("vec_id", F.col("embedding").alias("v"), "label").join(asked, F.col("vec_id") != F.col("qid"))
-    return rows if where is None else rows.where(where)
+    def unit(table: pa.Table) -> np.ndarray:
+        x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300) if cosine else x
 
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            ids, labels = ((a if a.num_rows else b)[c].slice(0, 0) for c in ("vec_id", "label"))
+            return pa.table({"qid": ids, "q_label": labels, "vec_id": ids, "label": labels, "score": pa.array([], pa.float64())})
+        score = unit(a) @ unit(b).T
+        score[a["vec_id"].to_numpy()[:, None] == b["vec_id"].to_numpy()[None, :]] = -np.inf
+        # what rounding can make equal to the k-th stays; the order is made of rounded scores later
+        floor = np.partition(score, -k, axis=1)[:, -k] - 1e-6 if b.num_rows > k else np.full(a.num_rows, -np.inf)
+        q, c = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+        q_, c_ = pa.array(q), pa.array(c)
+        taken = {"qid": a["vec_id"].take(q_), "q_label": a["label"].take(q_), "vec_id": b["vec_id"].take(c_), "label": b["label"].take(c_)}
+        return pa.table(taken | {"score": pa.array(score[q, c])})
 
-def ranked(rows: DataFrame, score: Column, k: int) -> DataFrame:
-    scored = rows.withColumn("score", F.round(score, 6))
-    return top(scored, k, F.desc("score"), F.col("vec_id")).select("qid", "vec_id", "label", "score", "rank")
+    schema = f"qid {kinds['vec_id']}, q_label {kinds['label']}, vec_id {kinds['vec_id']}, label {kinds['label']}, score double"
+    found = asked.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(meet, schema)
+    return top(found.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col("vec_id"))
 
 
-def cosine() -> Column:
-    return dot("q", "v") / (norm("q") * norm("v"))
+SHOWN = ["qid", "vec_id", "label", "score", "rank"]
 
 
 PAIRS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings),
@@ -44,17 +69,17 @@ pr AS (SELECT a.vec_id AS qid, b.vec_id, b.label, a.label AS q_label, round(list
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM pr) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(pairs(table(spark, sf_dir, "embeddings")), cosine(), DEPTH)
+    return nearest(table(spark, sf_dir, "embeddings"), DEPTH).select(*SHOWN)
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM pr WHERE label = q_label) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(pairs(table(spark, sf_dir, "embeddings"), F.col("label").eqNullSafe(F.col("q_label"))), cosine(), DEPTH)
+    return nearest(table(spark, sf_dir, "embeddings"), DEPTH, same_label=True).select(*SHOWN)
 
 
 @query(f"WITH {PAIRS}, r AS (SELECT qid, vec_id, label, ip AS score, row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id)::INT AS rank FROM pr) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
 def flat_inner_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(pairs(table(spark, sf_dir, "embeddings")), dot("q", "v"), DEPTH)
+    return nearest(table(spark, sf_dir, "embeddings"), DEPTH, cosine=False).select(*SHOWN)
 
 
 @query(
@@ -63,8 +88,7 @@ def flat_inner_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overfetch_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter after the cut at OVERFETCH times the depth: may return fewer than asked for."""
-    rows = pairs(table(spark, sf_dir, "embeddings")).withColumn("score", F.round(dot("q", "v"), 6))
-    pool = top(rows, OVERFETCH * DEPTH, F.desc("score"), F.col("vec_id")).where(F.col("label").eqNullSafe(F.col("q_label")))
+    pool = nearest(table(spark, sf_dir, "embeddings"), OVERFETCH * DEPTH, cosine=False).where(F.col("label").eqNullSafe(F.col("q_label")))
     return top(pool.withColumnRenamed("rank", "pool_rank"), DEPTH, F.col("pool_rank")).select("qid", "vec_id", "label", "score", "rank")
 
 
@@ -76,13 +100,17 @@ def vector_store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An LSH join on unit vectors in place of a graph index: pairs within a distance that share a bucket."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.5, numHashTables=6, seed=7)
-    asked = rows.where(F.col("vec_id") % EVERY == 0)
-    found = lsh.fit(rows).approxSimilarityJoin(asked, rows, 1.2, "distance")
+    """An LSH join on unit vectors in place of a graph index; a query with fewer than DEPTH hits is searched exactly instead."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = Normalizer(inputCol="raw", outputCol="features").transform(vectors.select("vec_id", array_to_vector("embedding").alias("raw")))
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.25, numHashTables=8, seed=7)
+    # no two unit vectors are farther apart than 2, so the buckets alone decide
+    found = lsh.fit(rows).approxSimilarityJoin(rows.where(F.col("vec_id") % EVERY == 0), rows, 2.1, "distance")
     found = found.select(F.col("datasetA.vec_id").alias("qid"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("distance") ** 2 / 2).alias("score"))
-    return top(found.where("qid <> vec_id"), DEPTH, F.desc("score"), F.col("vec_id"))
+    hits = top(found.where("qid <> vec_id"), DEPTH, F.desc("score"), F.col("vec_id"))
+    enough = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DEPTH)
+    rest = nearest(vectors, DEPTH).select(hits.columns).join(enough, "qid", "left_anti")
+    return hits.join(enough, "qid", "left_semi").unionByName(rest)
 
 
 @query(
@@ -90,8 +118,7 @@ def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT count(*) AS n, round(avg((coalesce(first, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM f"
 )
 def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(table(spark, sf_dir, "embeddings")).withColumn("score", F.round(cosine(), 6))
-    found = top(rows, 10, F.desc("score"), F.col("vec_id"))
+    found = nearest(table(spark, sf_dir, "embeddings"), 10)
     first = found.groupBy("qid").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank"))).alias("first"))
     within = lambda k: F.round(F.avg((F.coalesce("first", F.lit(99)) <= k).cast("int")), 6).alias(f"recall_{k}")
     return first.agg(F.count(F.lit(1)).alias("n"), within(1), within(5), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))

@@ -97,13 +97,13 @@ def filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {TF}, x AS (SELECT m.qid, m.doc_id, d.source, row_number() OVER (PARTITION BY m.qid, d.source ORDER BY score DESC, m.doc_id) AS position FROM m JOIN documents d USING (doc_id) WHERE d.source IN ('src0', 'src1', 'src2')), "
+    f"WITH {TF}, x AS (SELECT m.qid, m.doc_id, d.source, row_number() OVER (PARTITION BY m.qid, d.source ORDER BY score DESC, m.doc_id) AS position FROM m JOIN documents d USING (doc_id) WHERE d.source IS NOT NULL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position, source)::INT AS rank FROM x WHERE position <= 5) SELECT qid, doc_id, source, rank FROM r WHERE rank <= 5"
 )
 def interleave_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ranked list per named source, dealt in turn: first of each, second of each, and so on."""
+    """One ranked list for each source of the table, dealt in turn: first of each, second of each, and so on."""
     docs, asked = table(spark, sf_dir, "documents"), questions(table(spark, sf_dir, "benchmark"))
-    named = docs.where(F.col("source").isin("src0", "src1", "src2")).select("doc_id", "source")
+    named = docs.where("source IS NOT NULL").select("doc_id", "source")
     rows = bm25_scores(docs, asked).where("score > 0").join(named, "doc_id")
     own = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "doc_id")
     rows = rows.withColumn("position", F.row_number().over(own)).where(F.col("position") <= DEPTH)

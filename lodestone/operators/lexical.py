@@ -10,8 +10,8 @@ from lodestone.registry import query, table
 
 # The customary parameters of BM25 Okapi.
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Characters of a benchmark passage that make a question, and results per question.
-QUESTION, DEPTH = 40, 5
+#: Results per question.
+DEPTH = 5
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def idf(posts: DataFrame, docs: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def questions(benchmark: DataFrame, size: int = QUESTION) -> DataFrame:
-    return benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 1, size).alias("question"))
+def questions(benchmark: DataFrame) -> DataFrame:
+    """Whole benchmark passages as questions."""
+    return benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def question_terms(asked: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ TF = f"""t0 AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), {TO
 dl AS (SELECT doc_id, source, lang, len(toks) AS dl FROM t0), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM t0) GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl), d0 AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM p, n GROUP BY term),
 i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER () ELSE raw END AS idf FROM d0),
-q AS (SELECT item_id AS qid, substring(text, 1, 40) AS question FROM benchmark),
+q AS (SELECT item_id AS qid, text AS question FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest(regexp_extract_all(lower(question), {TOKENS})) AS term FROM q) GROUP BY ALL),
 s AS (SELECT qt.qid, p.doc_id, round(sum(qn * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / avgdl))), 9) AS score
   FROM p JOIN qt USING (term) JOIN i USING (term) JOIN dl USING (doc_id), n GROUP BY ALL),

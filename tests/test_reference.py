@@ -3,19 +3,17 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import figures as N
 from lodestone.functions import text as T
-from lodestone.operators import chunking
+from lodestone.operators import chunking, dense
 from lodestone.operators.parsing import page_text
 
-QUICK = ["bm25_topk", "rrf_fusion", "heading_blocks", "chunk_size_stats", "dense_topk", "fiscal_periods", "question_ranks", "threshold_sweep", "citation_tags", "figure_supported"]
-
-
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_agrees_with_sql(spark, data, name):
     con = duckdb.connect()
     for file in os.listdir(data):
@@ -28,6 +26,29 @@ def test_query_agrees_with_sql(spark, data, name):
     assert rows(mine) == rows(theirs)
 
 
+def test_lsh_index_has_the_recall_of_an_index(spark, data):
+    exact = catalog.queries()["dense_topk"](spark, data).select("qid", "vec_id")
+    found = catalog.queries()["approximate_neighbours"](spark, data).select("qid", "vec_id")
+    assert found.groupBy("qid").count().where("count < 5").count() == 0
+    assert found.join(exact, ["qid", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_dense_search_of_many_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, int(i % 3) if i % 7 else None, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(1, 120)] + [(200, 1, None), (220, 1, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    clean = [(i, l, np.array(v)) for i, l, v in rows if v is not None]
+    for same in (False, True):
+        got = {(r.qid, r.rank): (r.vec_id, r.score) for r in dense.nearest(table, 4, cosine=False, same_label=same).collect()}
+        want = {}
+        for q, label, v in clean:
+            if q % 20 == 0:
+                near = [(-float(v @ w), i) for i, l, w in clean if i != q and len(w) == len(v) and (not same or (label is not None and l == label))]
+                want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(near)[:4])}
+        assert got == want
+
+
 def test_tokens_keep_figures_and_trailing_stops(spark):
     row = spark.range(1).select(T.tokens(F.lit("Q3 FY2026. sales of $(109,417)")).alias("t")).first()
     assert row.t == ["q3", "fy2026.", "sales", "of", "109,417"]
