@@ -50,7 +50,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-    return scored.withColumn("offending", F.size("offending"))
+    return scored.withColumnRenamed("offending", "sentences").withColumn("offending", F.size("sentences"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
