@@ -65,6 +65,18 @@ def figure_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("conv_id", "turn", "figure").agg(good)
 
 
+@query()
+def unsupported_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of answers, with their units, that no earlier turn of the conversation states."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", N.amounts(F.col("text")).alias("amounts"), N.caption_scale(F.col("text")).alias("caption"))
+    said = rows.where("role = 'assistant'").select("conv_id", "turn", F.explode("amounts").alias("amount")).distinct()
+    known = rows.where(F.size("amounts") > 0).select("conv_id", F.col("turn").alias("at"), "amounts", "caption").alias("k")
+    both = said.alias("s").join(known, F.expr("s.conv_id = k.conv_id AND k.at < s.turn"), "left")
+    good = F.bool_or(F.coalesce(N.stated(F.col("s.amount"), F.col("k.amounts"), F.col("k.caption")), F.lit(False))).alias("good")
+    found = both.groupBy("s.conv_id", "s.turn", "s.amount").agg(good).where("NOT good")
+    return found.select("conv_id", "turn", "amount.raw", "amount.value", "amount.percent", "amount.scale")
+
+
 @query(
     "WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice * (1.0::DOUBLE - l_discount) AS computed, round(l_extendedprice * (1.0::DOUBLE - l_discount) / CASE WHEN l_linenumber % 2 = 0 THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN l_linenumber = 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1) AS stated FROM lineitem) "
     "SELECT l_orderkey, l_linenumber, len(list_filter([1.0::DOUBLE, 1000.0::DOUBLE, 1000000.0::DOUBLE, 1000000000.0::DOUBLE], lambda s: abs(computed / s - stated) <= 0.05000001::DOUBLE)) > 0 AS verified FROM x"
