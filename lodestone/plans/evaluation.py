@@ -16,14 +16,15 @@ DEPTH, KS = 10, (1, 3, 5, 10)
 def gold_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Where each benchmark passage stands verbatim: qid, doc_id, start, end.
 
-    Candidates come from an equi-join on the passage's first tokens, so no document meets a passage that it can't hold.
+    Candidates come from an equi-join on three tokens of the passage, so no document meets a passage that it can't hold. They
+    are taken between the passage's first and last word, which a document may begin or end otherwise.
     """
-    first = lambda toks: F.array_join(F.slice(toks, 1, 3), " ")
     toks = T.tokens(F.col("text"))
+    inner = T.tokens(F.regexp_replace("text", r"^\s*\S+|\S+\s*$", ""))
     grams = docs.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(toks, 3, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("gram"))
-    items = benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), first(toks).alias("gram"))
+    items = benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), F.array_join(F.slice(inner, 1, 3), " ").alias("gram")).where(F.size(inner) >= 3)
     near = grams.where("gram IS NOT NULL").join(items, "gram").select("qid", "doc_id", "passage")
-    short = benchmark.where(F.size(toks) < 3).select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    short = benchmark.where(F.size(inner) < 3).select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     near = near.unionByName(docs.select("doc_id").join(short).select("qid", "doc_id", "passage"))
     at = near.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.instr("text", F.col("passage"))).where("at > 0")
     return at.select("qid", "doc_id", (F.col("at") - 1).cast("long").alias("start"), (F.col("at") - 1 + F.length("passage")).cast("long").alias("end"))

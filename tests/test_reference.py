@@ -12,6 +12,7 @@ from lodestone.functions import figures as N
 from lodestone.functions import text as T
 from lodestone.operators import chunking, dense
 from lodestone.operators.parsing import page_text
+from lodestone.plans import evaluation
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_agrees_with_sql(spark, data, name):
@@ -69,11 +70,25 @@ def test_bad_sizes_and_strategies_are_refused(spark):
         chunking.chunk(spark.createDataFrame([], "doc_id long, text string"), "other")
 
 
-def test_recursive_spans_cover_the_text():
+def test_recursive_spans():
     text = "one two. three four five.\nsix seven eight nine ten"
-    pieces = chunking.split_spans(text, 0, len(text), 3)
-    assert "".join(text[a:b] for a, b in pieces) == text
-    assert all(len(text[a:b].split()) <= 3 for a, b in pieces)
+    edges, words = chunking.piece_edges(text, 3)
+    pieces = [text[a:b] for a, b in zip(edges, edges[1:])]
+    assert "".join(pieces) == text and words[-1] == 10 and all(len(p.split()) <= 3 for p in pieces)
+    assert pieces == ["one two. ", "three four five.\n", "six ", "seven ", "eight ", "nine ", "ten"]
+    spans = [text[a:b].split() for a, b in chunking.recursive_spans(text, 5, 2)]
+    assert spans == [["one", "two.", "three", "four", "five."], ["six", "seven", "eight", "nine", "ten"]]
+    letters = " ".join("abcdefgh")
+    spans = [letters[a:b].split() for a, b in chunking.recursive_spans(letters, 3, 1)]
+    assert spans == [list("abc"), list("cde"), list("efg"), list("gh")]
+    assert chunking.recursive_spans("", 3, 1) == [] and chunking.recursive_spans(" \n ", 3, 1) == []
+
+
+def test_gold_spans_begin_and_end_inside_words(spark):
+    docs = spark.createDataFrame([(1, "see xalpha beta gamma delta epsilon and more"), (2, "alpha beta gamma delta epsilonic"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "gamma del"), (3, "alpha beta gamma delta")], "item_id long, text string")
+    got = sorted((r.qid, r.doc_id, r.start) for r in evaluation.gold_spans(docs, bench).collect())
+    assert got == [(1, 1, 5), (1, 2, 0), (2, 1, 16), (2, 2, 11), (3, 1, 5), (3, 2, 0)]
 
 
 def test_page_text_renders_tables():
