@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # Element names of the HTML standard, by how they bear on text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,22 +24,26 @@ LINES = frozenset(
 )
 ASIDE = frozenset("nav footer aside form button select option label fieldset dialog menu head datalist input search".split())
 CLOSES_P = LINES - frozenset("body head html td th tr tbody thead tfoot caption option optgroup legend summary".split())
-# Words in class, id or role that mark what is not the article.
+# Words in class, id or role whose paths weigh nothing.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice notices "
     "alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail aside widget related recommended trending more share sharing social "
     "comment comments commentlist disqus reply replies respond discussion footer foot masthead header topbar toolbar pagination pager subscribe "
     "newsletter signup login search form contentinfo complementary dialog".split()
 )
+# Block elements too small to be an article.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li td tr tbody pre".split())
 SPLIT, STOPS = re.compile(r"[^a-z]+"), ".,;:!?…。，、！？؟"
 
 
 @dataclass
 class Block:
-    """A run of text between the edges of block elements."""
+    """A run of text between the edges of block elements; its path names tags with their classes, `marked` if a word of MARKS is among them."""
 
     path: str
+    names: tuple[str, ...]
     holders: tuple[int, ...]
+    marked: bool
     parts: list[str] = field(default_factory=list)
 
     def text(self) -> str:
@@ -47,9 +52,12 @@ class Block:
 
 
 def blocks(page: str, spared: Container[int] = (), named: bool = True) -> list[tuple[Block, str]]:
-    """The page's text blocks outside of raw and marked elements, save the spared ones (if named is false, not those that a whole word marks), with their paths and enclosing elements."""
+    """The page's text blocks outside of raw and aside elements, with their paths and enclosing elements.
+
+    Spared elements are neither left out nor marked, unless named is false and a whole word marks them.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # name, number, skipped
+    stack: list[tuple[str, int, bool, str, bool]] = []  # name, number, skipped, step of the path, marked
     current: Block | None = None
     number = skipping = at = 0
 
@@ -60,13 +68,14 @@ def blocks(page: str, spared: Container[int] = (), named: bool = True) -> list[t
         if current is None:
             if not text.strip():
                 return
-            current = Block("/".join(n for n, *_ in stack), tuple(i for _, i, _ in stack))
+            names, holders, _, steps, marks = zip(*stack) if stack else ((),) * 5
+            current = Block("/".join(steps), names, holders, any(marks))
             found.append(current)
         current.parts.append(text)
 
     def pop() -> None:
         nonlocal skipping, current
-        name, _, skipped = stack.pop()
+        name, _, skipped, *_ = stack.pop()
         skipping -= skipped
         if name in LINES:
             current = None
@@ -118,8 +127,11 @@ def blocks(page: str, spared: Container[int] = (), named: bool = True) -> list[t
         if name in VOID:
             continue
         number += 1
-        skipped = (number not in spared or not named and _named(name, m[3])) and _skipped(name, m[3], stack)
-        stack.append((name, number, skipped))
+        bound = number not in spared or not named and _named(name, m[3])
+        skipped = bound and (name in ASIDE or name == "header" and all(n not in ("article", "main") for n, *_ in stack))
+        kinds = CLASS.search(m[3]) if m[3] and name in LINES else None
+        step = f"{name}.{'.'.join((kinds[1] or kinds[2] or kinds[3] or '').lower().split())}" if kinds else name
+        stack.append((name, number, skipped, step, bound and _marked(name, m[3])))
         skipping += skipped
     put(page[at:])
     return [(b, t) for b in found if (t := b.text())]
@@ -143,13 +155,8 @@ def _close(stack: list, pop: object, names: set[str], limits: frozenset[str]) ->
             return
 
 
-def _skipped(name: str, attributes: str, stack: list) -> bool:
-    """Whether the element holds what is never article text."""
-    if name in ASIDE:
-        return True
-    inside = any(n in ("article", "main") for n, *_ in stack)
-    if name == "header":
-        return not inside
+def _marked(name: str, attributes: str) -> bool:
+    """Whether class, id or role call the element something else than article text."""
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     words = [w for m in ATTRIBUTE.finditer(attributes) for w in SPLIT.split((m[2] or m[3] or m[4] or "").lower())]
@@ -165,7 +172,7 @@ def _named(name: str, attributes: str) -> bool:
 
 def wrappers(page: str) -> tuple[set[int], bool]:
     """Elements that hold the greater part of the text and punctuation of all article and main elements from outside; without these, of the page. And whether there are such."""
-    found = [(b, t, b.path.split("/")) for b, t in blocks(page, range(1, len(page) + 1))]
+    found = [(b, t, b.names) for b, t in blocks(page, range(1, len(page) + 1))]
     inner = [(b, t, min(names.index(n) for n in ("article", "main") if n in names)) for b, t, names in found if "article" in names or "main" in names]
     base = [(b.holders[:k], t) for b, t, k in inner] or [(b.holders, t) for b, t, _ in found]
     held: dict[int, list[int]] = {}
@@ -180,8 +187,12 @@ def wrappers(page: str) -> tuple[set[int], bool]:
 
 
 def path_scores(found: list[tuple[Block, str]]) -> dict[str, float]:
-    """Each path's fused ratio: mean text length by mean punctuation of its blocks, each smoothed over neighbouring paths."""
+    """Each path's fused ratio: mean text length by mean punctuation of its blocks, each smoothed over neighbouring paths.
+
+    Paths through marked elements weigh nothing: their text counts for their neighbours only.
+    """
     order: dict[str, list[float]] = {}
+    marked = {b.path: b.marked for b, _ in found}
     for block, text in found:
         row = order.setdefault(block.path, [0, 0, 0])
         row[0] += len(text)
@@ -192,15 +203,16 @@ def path_scores(found: list[tuple[Block, str]]) -> dict[str, float]:
     if len(ratios) > 2:
         near = np.concatenate([ratios[:1], ratios, ratios[-1:]])
         ratios = 0.15 * near[:-2] + 0.7 * near[1:-1] + 0.15 * near[2:]
-    return dict(zip(order, np.sqrt(ratios[:, 0] * (ratios[:, 1] + 0.1)).tolist()))
+    fused = np.sqrt(ratios[:, 0] * (ratios[:, 1] + 0.1)) * [not marked[p] for p in order]
+    return dict(zip(order, fused.tolist()))
 
 
 def main_text(page: str, strength: float = 0.5) -> str:
     """The article of a page; empty if there is none.
 
-    Paths whose score passes `strength` standard deviations (at most half the best) select content nodes; the smallest
-    element that holds most of their text is the article, and all its blocks are returned in page order, headings and
-    short ones too.
+    Paths whose score passes `strength` standard deviations (at most half the best) select content nodes. The article is
+    the innermost article or main element, else the smallest block element, that holds most of their text; its paths,
+    but for those that weigh nothing, give the text in page order, headings and short blocks too.
     """
     found = blocks(page, *wrappers(page))
     if not found:
@@ -214,16 +226,11 @@ def main_text(page: str, strength: float = 0.5) -> str:
         for i in block.holders:
             held[i] = held.get(i, 0) + size
     total = sum(size for _, size in chosen)
-    most = [i for i, n in held.items() if n > 0.6 * total]
-    if not most:
-        return "\n\n".join(t for _, t in found)
-    names = _names(found)
-    inside = max((i for i in most if names.get(i) in LINES and names[i] not in ("p", "h1", "h2", "h3", "li", "td", "tr", "pre", "tbody")), default=None)
-    return "\n\n".join(t for b, t in found if inside is None or inside in b.holders)
-
-
-def _names(found: list[tuple[Block, str]]) -> dict[int, str]:
-    return {i: n for b, _ in found for i, n in zip(b.holders, b.path.split("/"))}
+    names = {i: n for b, _ in chosen for i, n in zip(b.holders, b.names)}
+    most = [i for i, n in held.items() if n > 0.6 * total and names[i] in LINES - PARTS]
+    inside = max((i for i in most if names[i] in ("article", "main")), default=max(most, default=None))
+    paths = {b.path for b, _ in found if (inside is None or inside in b.holders) and (not b.marked or score[b.path] >= threshold)}
+    return "\n\n".join(t for b, t in found if b.path in paths)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -339,3 +339,33 @@ def test_main_text_inside_marked_wrappers():
             assert html_extract.main_text(f"<html><body><{wrap}>{menu}{inner}</{name}></body></html>") == want
     page = f"<body><div>{body}</div><div class=comments><p>{'Great post, I like it. ' * 20}</p></div></body>"
     assert html_extract.main_text(page) == want
+
+
+PROSE = "A long part of the story, told in full, with stops. It goes on, as stories do."
+
+
+def test_path_scores_decide_where_no_article_is_named(monkeypatch):
+    """The selected paths give the text: with level scores the links and the sidebar come along."""
+    links = "".join(f"<li><a href=/{i}>Item {i} of the list</a></li>" for i in range(30))
+    parts = "".join(f"<section><h2>Part {i}</h2><p>{PROSE}</p></section>" for i in range(3))
+    page = f"<body><div class=box><ul>{links}</ul></div><div class=story><h1>Head</h1>{parts}</div><div class=end><p>Short end</p></div></body>"
+    want = "\n\n".join(["Head"] + [f"Part {i}\n\n{PROSE}" for i in range(3)])
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "path_scores", lambda found: {b.path: 1.0 for b, _ in found})
+    assert html_extract.main_text(page) != want
+
+
+def test_marked_paths_weigh_nothing_but_are_not_thrown_away_alone():
+    page = f"<body><article><h1>Head</h1><p>Short.</p></article><div class=ad>{PROSE * 3}</div></body>"
+    assert html_extract.main_text(page) == "Head\n\nShort."
+    assert html_extract.main_text(f"<body><p class=notice>{PROSE}</p></body>") == PROSE
+
+
+def test_extract_on_hard_rows(spark):
+    rows = [(1, "u", None, 1), (2, None, "", 2), (3, "u", "<p>One, two.", 3), (3, "u", "<p>One, two.", 3), (None, "u", "<p>" + "word, and more. " * 60_000, 4), (5, "u", "<<p>< >&amp;<b", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int").repartition(3)
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_extract.extract(pages).collect())
+    long = ("word, and more. " * 60_000).strip()
+    want = [("1", "u", ""), ("2", "None", ""), ("3", "u", "One, two."), ("3", "u", "One, two."), ("None", "u", long), ("5", "u", "<\n\n< >&<b")]
+    assert got == sorted((i, u, t, len(t)) for i, u, t in want)
+    assert html_extract.extract(pages.where("false")).count() == 0
