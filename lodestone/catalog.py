@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from lodestone import registry
 from lodestone.operators import chunking, dense, fusion, lexical, parsing
-from lodestone.plans import evaluation, gates, verification
+from lodestone.plans import answers, evaluation, gates, verification
 from lodestone.sources import filings
 from lodestone.streaming import ingest
 
-MODULES = (parsing, chunking, lexical, dense, fusion, evaluation, gates, verification, filings, ingest)
+MODULES = (parsing, chunking, lexical, dense, fusion, evaluation, gates, verification, answers, filings, ingest)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import catalog
+from lodestone.functions import calculations as C
 from lodestone.functions import figures as N
 from lodestone.functions import text as T
 from lodestone.operators import chunking, dense
@@ -108,8 +109,10 @@ def test_page_text_renders_tables():
         ("sales rose", False, "unparsed"),
     ],
 )
-def test_calculations(line, held, reason):
-    assert N.check_calculation(line, {"c1": "it was 10 then", "c2": "and 5"}) == (held, reason)
+def test_calculations(spark, line, held, reason):
+    known = F.array(*[F.struct(F.lit(tag).alias("tag"), N.amounts(F.lit(text)).alias("amounts"), N.caption_scale(F.lit(text)).alias("caption")) for tag, text in (("c1", "it was 10 then"), ("c2", "and 5"))])
+    row = C.parsed(spark.createDataFrame([([line],)], "lines array<string>"), "lines").select(C.verdicts(F.col("calcs"), known).alias("v")).first()
+    assert (row.v[0].verified, row.v[0].reason) == (held, reason)
 
 
 def test_every_line_item_is_verified(spark, data):
