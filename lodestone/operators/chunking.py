@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -23,79 +23,82 @@ def check_sizes(target: int, overlap: int) -> None:
 
 
 def with_body(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the text of (start, end), its id and its number of words."""
-    rows = spans.join(docs.select("doc_id", "text"), "doc_id")
-    body = F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    rows = rows.withColumn("body", body).drop("text")
+    """Adds the text of (start, end), its id and its number of words. A text meets the list of its spans once and isn't copied for each."""
+    own = [c for c in spans.columns if c != "doc_id"]
+    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("spans")).join(docs.select("doc_id", "text"), "doc_id")
+    cut = lambda s: F.substring(F.col("text"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
+    rows = per.select("doc_id", F.inline(F.transform("spans", lambda s: s.withField("body", cut(s)))))
     chunk_id = F.concat_ws("", F.col("doc_id"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
     return rows.withColumn("chunk_id", chunk_id).withColumn("word_count", F.size(T.words(F.col("body"))))
 
 
-def packed(body: Column, target: int, overlap: int) -> Column:
-    """Greedy windows over a text's lines, as (start, end) inside the text.
-
-    Lines fill a window up to `target` words; the next window begins with the whole lines at the end of the last that
-    hold at most `overlap` words. A fold over the lines of one text, without a shuffle or a Python function.
-    """
+def blocks(text: str) -> list[tuple[int, int, int, bool]]:
+    """What a window may not cut, as (start, end, words, whether a table): whole tables, also unclosed ones, and lines that are not blank."""
+    found, at, table = [], 0, False
+    for line in text.split("\n"):
+        end, mark, words = at + len(line), line.strip(), len(line.split())
+        if table:
+            begin, _, held, _ = found.pop()
+            found.append((begin, end, held + words, True))
+            table = mark != "[/TABLE]"
+        elif mark:
+            table = mark == "[TABLE]"
+            found.append((at, end, words, table))
+        at = end + 1
+    return found
+
+
+def windows(text: str, target: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Blocks in windows of at most `target` words, one block at least; each but the first begins with the last lines, back to a table, that hold at most `overlap`."""
+    found = blocks(text)
+    first = held = 0
+    for i, (_, _, words, _) in enumerate(found):
+        if i > first and held + words > target:
+            yield found[first][0], found[i - 1][1]
+            back, held = i, 0
+            while back > first and not found[back - 1][3] and held + found[back - 1][2] <= overlap:
+                back -= 1
+                held += found[back][2]
+            first = back
+        held += words
+    if found:
+        yield found[first][0], found[-1][1]
+
+
+def packed(rows: DataFrame, target: int, overlap: int) -> DataFrame:
+    """The windows of each row's body, from its start on: (doc_id, start, end, parent_start, parent_end), linear in the length of a text."""
     check_sizes(target, overlap)
-    block = "struct<a:int,b:int,n:int>"
-    empty = F.array().cast(f"array<{block}>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("own"))
-    numbered = F.aggregate(
-        T.lines(body), start,
-        lambda s, x: F.struct(
-            (s.at + F.length(x) + 1).alias("at"),
-            F.when(F.trim(x) == "", s.own).otherwise(F.concat(s.own, F.array(F.struct(
-                s.at.alias("a"), (s.at + F.length(x)).alias("b"), F.size(T.words(x)).alias("n"))))).alias("own"),
-        ),
-        lambda s: s.own,
-    )
-    total = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, x: n + x.n)
-    span = lambda blocks: F.struct(F.get(blocks, 0).a.alias("start"), F.get(blocks, F.size(blocks) - 1).b.alias("end"))
-
-    def carried(blocks: Column) -> Column:
-        none = F.struct(empty.alias("own"), F.lit(True).alias("go"))
-        return F.aggregate(
-            F.reverse(blocks), none,
-            lambda s, x: F.when(
-                s.go & (total(s.own) + x.n <= overlap), F.struct(F.concat(F.array(x), s.own).alias("own"), F.lit(True).alias("go"))
-            ).otherwise(F.struct(s.own.alias("own"), F.lit(False).alias("go"))),
-            lambda s: s.own,
-        )
-
-    spans = "array<struct<start:int,end:int>>"
-    begin = F.struct(empty.alias("win"), F.array().cast(spans).alias("out"))
-    folded = F.aggregate(
-        numbered, begin,
-        lambda s, x: F.when(
-            (F.size(s.win) > 0) & (total(s.win) + x.n > target),
-            F.struct(F.concat(carried(s.win), F.array(x)).alias("win"), F.concat(s.out, F.array(span(s.win))).alias("out")),
-        ).otherwise(F.struct(F.concat(s.win, F.array(x)).alias("win"), s.out.alias("out"))),
-        lambda s: F.when(F.size(s.win) > 0, F.concat(s.out, F.array(span(s.win)))).otherwise(s.out),
-    )
-    return folded
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [(d, s + a, s + b, s, e) for d, s, e, t in zip(batch["doc_id"], batch["start"], batch["end"], batch["body"]) for a, b in windows(t or "", target, overlap)]
+            yield pd.DataFrame(spans, columns=["doc_id", "start", "end", "parent_start", "parent_end"])
+
+    return rows.select("doc_id", "start", "end", "body").mapInPandas(each, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, parent_start long, parent_end long")
 
 
 def fixed(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    rows = docs.select("doc_id", F.explode(packed(F.col("text"), target, overlap)).alias("s"))
-    return rows.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+    rows = docs.select("doc_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("body"))
+    return packed(rows, target, overlap).select("doc_id", "start", "end")
 
 
 def section_aware(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """One chunk per section; sections above the target are packed by lines."""
-    blocks = with_body(sections(docs), docs).where("word_count > 0")
-    short = blocks.where(F.col("word_count") <= target).select("doc_id", "start", "end")
-    long = blocks.where(F.col("word_count") > target).select("doc_id", "start", F.explode(packed(F.col("body"), target, overlap)).alias("s"))
-    return short.unionByName(long.select("doc_id", (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end")))
+    """One chunk per section; sections above the target are packed by lines and tables."""
+    found = with_body(sections(docs), docs).where("word_count > 0")
+    short = found.where(F.col("word_count") <= target).select("doc_id", "start", "end")
+    return short.unionByName(packed(found.where(F.col("word_count") > target), target, overlap).select("doc_id", "start", "end"))
 
 
 def parent_child(docs: DataFrame, child: int = CHILD) -> DataFrame:
     """Small children packed inside each section, with the section as their parent."""
-    blocks = with_body(sections(docs), docs).where("word_count > 0")
-    rows = blocks.select("doc_id", F.col("start").alias("parent_start"), F.col("end").alias("parent_end"), F.explode(packed(F.col("body"), child, 0)).alias("s"))
-    return rows.select(
-        "doc_id", (F.col("parent_start") + F.col("s.start")).alias("start"), (F.col("parent_start") + F.col("s.end")).alias("end"), "parent_start", "parent_end"
-    )
+    return packed(with_body(sections(docs), docs).where("word_count > 0"), child, 0)
+
+
+def effective(chunks: DataFrame) -> DataFrame:
+    """Adds the span by which a chunk is judged: its parent's, where it has one, else its own."""
+    whole = F.col("parent_start").isNotNull() & F.col("parent_end").isNotNull()
+    span = lambda name: F.when(whole, F.col(f"parent_{name}")).otherwise(F.col(name))
+    return chunks.withColumn("span_start", span("start")).withColumn("span_end", span("end"))
 
 
 # Separators, coarse to fine.

@@ -92,9 +92,16 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", start.alias("start"), "line")
 
 
+def headed(lines: DataFrame) -> DataFrame:
+    """Adds `head`: whether a line is a heading and not in a table, be it closed or not."""
+    mark = F.when(F.trim("line") == "[TABLE]", True).when(F.trim("line") == "[/TABLE]", False)
+    inside = F.coalesce(F.last(mark, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit(False))
+    return lines.withColumn("head", T.is_heading(F.col("line")) & ~inside)
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """Blocks between headings: doc_id, block, start, end, title (null before the first heading)."""
-    rows = document_lines(docs).withColumn("head", T.is_heading(F.col("line")))
+    rows = headed(document_lines(docs))
     upto = Window.partitionBy("doc_id").orderBy("line_no")
     rows = rows.withColumn("block", F.sum(F.col("head").cast("int")).over(upto))
     found = rows.groupBy("doc_id", "block").agg(
@@ -148,8 +155,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES}, {HEADS} SELECT doc_id, line_no, line FROM h WHERE head")
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document_lines(table(spark, sf_dir, "documents"))
-    return rows.where(T.is_heading(F.col("line"))).select("doc_id", "line_no", "line")
+    return headed(document_lines(table(spark, sf_dir, "documents"))).where("head").select("doc_id", "line_no", "line")
 
 
 @query(f'WITH {LINES}, {HEADS}, {BLOCKS} SELECT doc_id, block, start, "end", title FROM b')
@@ -164,7 +170,7 @@ def heading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sections_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each heading's section up to the next heading or the end, without the white space at its end."""
     docs = table(spark, sf_dir, "documents")
-    heads = document_lines(docs).where(T.is_heading(F.col("line")))
+    heads = headed(document_lines(docs)).where("head")
     following = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
     heads = heads.select("doc_id", F.col("line").alias("title"), "start", following.alias("next"))
     rows = heads.join(docs.select("doc_id", "text", "n_chars"), "doc_id")
