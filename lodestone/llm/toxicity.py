@@ -64,10 +64,12 @@ class Model:
         return found
 
     def score(self, text: str, weight: Callable[[str], float] | None = None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The probability that some sentence is toxic, and the spans of those likelier toxic than not."""
+        """The probability that some sentence is toxic, and the spans of those likelier toxic than not; if only their sum is, of the likeliest."""
         z = self.sentences(text, weight)
         total = sum(v + math.log1p(math.exp(-v)) if v > 0 else math.log1p(math.exp(v)) for *_, v in z)
-        return -math.expm1(-total), [(a, b, 1 / (1 + math.exp(-v))) for a, b, v in z if v > 0]
+        chance = -math.expm1(-total)
+        least = min(0.0, max(v for *_, v in z)) if chance >= 0.5 else 0.0
+        return chance, [(a, b, 1 / (1 + math.exp(-v))) for a, b, v in z if v > 0 or v == least < 0]
 
 
 def document_counts(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

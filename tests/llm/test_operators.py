@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import math
+import os
+import re
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, pitman_yor, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
+from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, pitman_yor, queries, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LONG = "lorem ipsum dolor " * 3000
@@ -369,3 +371,32 @@ def test_extract_on_hard_rows(spark):
     want = [("1", "u", ""), ("2", "None", ""), ("3", "u", "One, two."), ("3", "u", "One, two."), ("None", "u", long), ("5", "u", "<\n\n< >&<b")]
     assert got == sorted((i, u, t, len(t)) for i, u, t in want)
     assert html_extract.extract(pages.where("false")).count() == 0
+
+
+def test_fingerprints_equal_another_xxh64(spark):
+    """Against Spark's own XXH64 (seed 42), with words by a pattern and bits counted one by one."""
+    texts = ["", " \t", "One", "one Two", "A b c d a b c d", "É é x İ y z", "x " * 500, "\x0bq w\x0ce\x1fr t y", "世 界 🙂 ß"]
+    pattern = re.compile(r"[^\x20\x09-\x0D]+")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for i, text in enumerate(texts):
+        words = pattern.findall(text.translate(fold))
+        rows += [(i, " ".join(words[j : j + 3])) for j in range(max(1, len(words) - 2)) if words]
+    bits, size = [[0] * 64 for _ in texts], Counter(i for i, _ in rows)
+    for i, h in spark.createDataFrame(rows, "i int, s string").select("i", F.xxhash64("s")).collect():
+        for b in range(64):
+            bits[i][b] += h >> b & 1
+    want = [sum(1 << b for b in range(64) if 2 * bits[i][b] > size[i]) for i in range(len(texts))]
+    assert [simhash.fingerprint(t.encode()) for t in texts] == want
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Learnt from the training rows of a given table: most held-out toxic documents are found, next to no clean ones flagged."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.exists(path):
+        pytest.skip("the larger tables are not here")
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.op8_toxicity(spark, path).where("held_out").join(labels, "doc_id").select("toxic", "predicted", F.size("sentences").alias("n")).toPandas()
+    toxic, clean = rows[rows["toxic"] == 1], rows[rows["toxic"] == 0]
+    assert len(toxic) > 50 and toxic["predicted"].mean() >= 0.8 and clean["predicted"].mean() <= 0.02
+    assert (toxic[toxic["predicted"] == 1]["n"] > 0).all()
