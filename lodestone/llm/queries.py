@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_extract, license_scan, mixing, pitman_yor, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
+from lodestone.llm import decontamination, exact_dedup, html_extract, license_scan, mixing, pitman_yor, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,15 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(decontamination.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op5_lm_scoring, op6_license_scan, op6_license_passages, op7_simhash_near_dedup,
-        op8_toxicity, op9_topk_search, op10_html_extract,
+        op8_toxicity, op9_topk_search, op10_html_extract, op13_decontamination,
     )
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op6_license_scan": license_scan.sql(), "op9_topk_search": topk_search.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op6_license_scan": license_scan.sql(), "op9_topk_search": topk_search.SQL, "op13_decontamination": decontamination.SQL}
