@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import collocations, decontamination, exact_dedup, html_extract, license_scan, mixing, pitman_yor, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
+from lodestone.llm import collocations, conversation_repair, decontamination, exact_dedup, html_extract, license_scan, mixing, pitman_yor, sentencepiece_bpe, simhash, suffix_dedup, topk_search, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.occurrences(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -73,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_sentencepiece, op3_source_mixing, op4_suffix_dedup, op5_lm_scoring, op6_license_scan, op6_license_passages, op7_simhash_near_dedup,
-        op8_toxicity, op9_topk_search, op10_html_extract, op11_phrase_mining, op13_decontamination,
+        op8_toxicity, op9_topk_search, op10_html_extract, op11_phrase_mining, op12_conversation_repair, op13_decontamination,
     )
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op6_license_scan": license_scan.sql(), "op9_topk_search": topk_search.SQL, "op11_phrase_mining": collocations.SQL, "op13_decontamination": decontamination.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op3_source_mixing": mixing.SQL, "op6_license_scan": license_scan.sql(), "op9_topk_search": topk_search.SQL, "op11_phrase_mining": collocations.SQL, "op12_conversation_repair": conversation_repair.SQL, "op13_decontamination": decontamination.SQL}
