@@ -26,15 +26,16 @@ def collapse(text: Column) -> Column:
 
 
 def tidy_numbers(text: Column) -> Column:
-    """Closes up brackets, currency signs and percent signs around numbers."""
-    text = F.regexp_replace(text, r"\(\s+([\d.,]+)\s+\)", r"($1)")
-    return F.regexp_replace(F.regexp_replace(text, r"\$\s+(\d)", r"\$$1"), r"(\d)\s+%", r"$1%")
+    """Closes up each bracket by itself, and a currency sign or bracket with the number behind it."""
+    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\(\s+", "("), r"(?U)\s+\)", ")")
+    return F.regexp_replace(text, r"(?U)([$(])\s+(?=[0-9.,])", "$1")
 
 
 def is_heading(line: Column) -> Column:
-    """One to eight words, no table mark, no closing stop, and a capital or bracket first."""
+    """One to eight words, no table mark, no closing stop, and a capital or bracket first; white space around the line doesn't count."""
+    line = F.regexp_replace(line, r"(?U)\A\s+|\s+\z", "")
     n = F.size(words(line))
-    shape = line.rlike(r"^[A-Z(]") & ~line.rlike(r"[.:;,]$") & ~line.contains("|")
+    shape = line.rlike(r"\A[A-Z(]") & ~line.rlike(r"[.:;,]\z") & ~line.contains("|")
     return n.between(1, 8) & shape
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -17,6 +18,11 @@ BREAKS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 table ul ol section article
 DROPPED = frozenset(("script", "style", "ix:header"))
 
 
+def tidy(row: str) -> str:
+    """What tidy_numbers does, for a row of a table."""
+    return re.sub(r"([$(])\s+(?=[0-9.,])", r"\1", re.sub(r"\s+\)", ")", re.sub(r"\(\s+", "(", row)))
+
+
 class _Text(HTMLParser):
     """Gathers text, with a line break at each block element and tables as lines of cells."""
 
@@ -55,7 +61,7 @@ class _Text(HTMLParser):
             self.cell = None
         elif tag == "tr" and self.row is not None:
             if self.row:
-                self.parts.append(("header: " if not self.rows else "") + " | ".join(self.row) + "\n")
+                self.parts.append(("header: " if not self.rows else "") + tidy(" | ".join(self.row)) + "\n")
                 self.rows += 1
             self.row = None
         elif tag == "table":
@@ -74,14 +80,46 @@ def page_text(html: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def pages_to_text(pages: DataFrame) -> DataFrame:
-    """page_id and text; the normaliser is a Python function over Arrow batches, as no built-in parses HTML."""
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, text and error: every page's canonical text, or what kept it from being parsed; no row is lost.
+
+    html may be text or bytes; bytes are read as UTF-8 with replacement marks. A null page is an error ("no content"), an empty one an empty text.
+    The normaliser is a Python function over Arrow batches, as no built-in parses HTML; an error stays with its row.
+    """
+
+    def one(page: str | bytes | None) -> tuple[str | None, str | None]:
+        if page is None:
+            return None, "no content"
+        try:
+            return page_text(page.decode("utf-8", "replace") if isinstance(page, bytes) else page), None
+        except Exception as e:  # noqa: BLE001  whatever a page provokes is recorded with it
+            return None, f"{type(e).__name__}: {e}"[:200]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": [page_text(h or "") for h in batch["html"]]})
+            done = [one(p.as_py()) for p in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())], [key, "text", "error"])
+
+    return spread(pages.select(key, html)).mapInArrow(each, f"{key} {dict(pages.dtypes)[key]}, text string, error string")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows anew if their scan has fewer partitions than the cluster has cores, as with files of one row group."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def parse_report(parsed: DataFrame, group: Column) -> DataFrame:
+    """Of each group: pages, parsed, failed, and the failures by what they say."""
+    n = parsed.groupBy(group.alias("of"), "error").agg(F.count(F.lit(1)).alias("n"))
+    failed = F.filter(F.array_sort(F.collect_list(F.struct("error", "n"))), lambda x: x["error"].isNotNull())
+    rows = n.groupBy("of").agg(F.sum("n").alias("pages"), F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("n"))), F.lit(0).cast("long")).alias("parsed"), failed.alias("failures"))
+    return rows.select("of", "pages", "parsed", (F.col("pages") - F.col("parsed")).alias("failed"), "failures")
 
-    return pages.select("page_id", "html").mapInPandas(each, "page_id long, text string")
+
+def pages_to_text(pages: DataFrame) -> DataFrame:
+    """page_id and text of the pages that can be parsed."""
+    return parse_pages(pages).where("error IS NULL").drop("error")
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -121,6 +159,21 @@ def page_canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_to_text(table(spark, sf_dir, "pages"))
 
 
+BROKEN = 17
+
+
+@query(
+    rf"SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*) AS pages, count(*) FILTER (page_id % {BROKEN} <> 0) AS parsed, count(*) FILTER (page_id % {BROKEN} = 0) AS failed, "
+    rf"CASE WHEN count(*) FILTER (page_id % {BROKEN} = 0) > 0 THEN 'no content' ELSE '' END AS errors FROM pages GROUP BY 1"
+)
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a parse run reports of each host, if every BROKEN-th page came without content."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % BROKEN != 0, F.col("html")))
+    parsed = parse_pages(pages).join(pages.select("page_id", "url"), "page_id")
+    rows = parse_report(parsed, F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    return rows.select(F.col("of").alias("host"), "pages", "parsed", "failed", F.array_join("failures.error", ";").alias("errors"))
+
+
 @query(
     r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ')) AS digest FROM documents"
 )
@@ -128,9 +181,7 @@ def collapse_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse(F.col("text"))).alias("digest"))
 
 
-@query(
-    r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\(\s+([\d.,]+)\s+\)', '(\1)', 'g'), '\$\s+(\d)', '$\1', 'g'), '(\d)\s+%', '\1%', 'g')) AS digest FROM documents"
-)
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\(\s+', '(', 'g'), '\s+\)', ')', 'g'), '([$(])\s+([0-9.,])', '\1\2', 'g')) AS digest FROM documents")
 def tidy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.tidy_numbers(F.col("text"))).alias("digest"))
 
@@ -142,8 +193,8 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 l AS (SELECT doc_id, line_no::INT AS line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, line FROM l0)"""
-HEADS = r"""h AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) BETWEEN 1 AND 8
-  AND regexp_matches(line, '^[A-Z(]') AND NOT regexp_matches(line, '[.:;,]$') AND NOT contains(line, '|') AS head FROM l)"""
+HEADS = r"""h AS (SELECT l.*, len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) BETWEEN 1 AND 8
+  AND regexp_matches(line, '^\s*[A-Z(]') AND NOT regexp_matches(line, '[.:;,]\s*$') AND NOT contains(line, '|') AS head FROM l)"""
 BLOCKS = """b0 AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM h),
 b AS (SELECT doc_id, block::INT AS block, min(start) AS start, max(start + length(line)) AS "end", min(CASE WHEN head THEN line END) AS title FROM b0 GROUP BY doc_id, block)"""
 

@@ -1,6 +1,9 @@
 """Tables in chunks and sections: never cut, never headings, never overlap."""
 
-from lodestone.operators import chunking
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import chunking, parsing
 from lodestone.operators.parsing import headed, document_lines, sections
 
 TABLE = "[TABLE]\nheader: Item | 2025\nNet Sales | 5\nTotal Costs\n[/TABLE]"
@@ -37,3 +40,26 @@ def test_chunks_are_judged_by_their_parents_span(spark):
     assert len(got) == 3 and {(r.span_start, r.span_end) for r in got} == {(0, len(text))}
     own = chunking.fixed(docs).selectExpr("*", "CAST(NULL AS LONG) AS parent_start", "CAST(NULL AS LONG) AS parent_end")
     assert all((r.span_start, r.span_end) == (r.start, r.end) for r in chunking.effective(own).collect()) and own.where("doc_id IS NULL").count() == 1
+
+
+def test_headings_without_the_white_space_around_them(spark):
+    said = {"  Net tickets": True, "Total fares. ": False, "\tRoutes ": True, "(In euro)": True, "[TABLE]": False, "a route": False, "One two three four five six seven eight nine": False, " ": False, "A | B": False, "Fares:\r": False}
+    rows = spark.createDataFrame([(k,) for k in said], "line string").select("line", T.is_heading(F.col("line")).alias("head")).collect()
+    assert {r.line: r.head for r in rows} == said
+
+
+def test_brackets_close_each_on_its_side(spark):
+    said = {"( 81 ) (81 ) ( 81)": "(81) (81) (81)", "$ 4.5 ( $ 3 )": "$4.5 ($3)", "$  x (  )": "$  x ()", "7 %": "7 %"}
+    rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", T.tidy_numbers(F.col("t")).alias("got")).collect()
+    assert {r.t: r.got for r in rows} == said
+    assert parsing.page_text("<table><tr><td>Fuel</td><td>( 81 )</td><td>$ 9</td></tr></table>") == "[TABLE]\nheader: Fuel | (81) | $9\n[/TABLE]"
+
+
+def test_pages_that_break_are_rows_of_their_own(spark, monkeypatch):
+    real = parsing.page_text
+    monkeypatch.setattr(parsing, "page_text", lambda html: 1 / 0 if "boom" in html else real(html))
+    rows = [("a", b"<p>\xff x"), ("b", None), ("c", b"boom"), ("d", b""), ("d", b"")]
+    got = sorted(map(tuple, parsing.parse_pages(spark.createDataFrame(rows, "page_id string, html binary")).collect()))
+    assert got == [("a", "� x", None), ("b", None, "no content"), ("c", None, "ZeroDivisionError: division by zero"), ("d", "", None), ("d", "", None)]
+    report = parsing.parse_report(spark.createDataFrame(got, "page_id string, text string, error string"), F.lit("all")).first()
+    assert (report.pages, report.parsed, report.failed) == (5, 3, 2) and [(f.error, f.n) for f in report.failures] == [("ZeroDivisionError: division by zero", 1), ("no content", 1)]
