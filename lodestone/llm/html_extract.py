@@ -24,15 +24,19 @@ LINES = frozenset(
 )
 ASIDE = frozenset("nav footer aside form button select option label fieldset dialog menu head datalist input search".split())
 CLOSES_P = LINES - frozenset("body head html td th tr tbody thead tfoot caption option optgroup legend summary".split())
-# Words in class, id or role whose paths weigh nothing.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice notices "
-    "alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail aside widget related recommended trending more share sharing social "
-    "comment comments commentlist disqus reply replies respond discussion footer foot masthead header topbar toolbar pagination pager subscribe "
-    "newsletter signup login search form contentinfo complementary dialog".split()
+# Words of class, id or role whose paths weigh nothing. WEAK ones are common words too (share-price, side-effects) and count only as
+# whole classes; the others also beside each other and beside words of layout, as in ad-banner or comments-list.
+WEAK = frozenset("header form more side rail notice notices share sharing social reply replies respond search foot alert promotion discussion trending related comment dialog menu navigation".split())
+MARKS = WEAK | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner popup modal overlay cookie cookies consent gdpr "
+    "nav navbar breadcrumb breadcrumbs sidebar aside widget recommended comments commentlist disqus footer masthead topbar toolbar pagination pager subscribe "
+    "newsletter signup login contentinfo complementary".split()
 )
+LAYOUT = frozenset("list box wrap wrapper container area block section left right top bottom site page inner outer unit slot bar item items global primary secondary row col links link".split())
 # Block elements too small to be an article.
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li td tr tbody pre".split())
+# Elements whose text belongs to the paragraphs around it, though it is short and has few stops.
+BETWEEN = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 SPLIT, STOPS = re.compile(r"[^a-z]+"), ".,;:!?…。，、！？؟"
 
 
@@ -159,10 +163,14 @@ def _marked(name: str, attributes: str) -> bool:
     """Whether class, id or role call the element something else than article text."""
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    words = [w for m in ATTRIBUTE.finditer(attributes) for w in SPLIT.split((m[2] or m[3] or m[4] or "").lower())]
-    if name in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "a", "b", "i", "em", "strong", "span"):
-        return any(w in MARKS and w not in ("header", "more", "side", "foot") for w in words)
-    return any(w in MARKS for w in words)
+    return any(_mark(w) for m in ATTRIBUTE.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split())
+
+
+def _mark(token: str) -> bool:
+    if token in MARKS:
+        return True
+    words = [w for w in SPLIT.split(token) if len(w) > 1]
+    return any(w in MARKS - WEAK for w in words) and all(w in MARKS or w in LAYOUT for w in words)
 
 
 def _named(name: str, attributes: str) -> bool:
@@ -211,8 +219,8 @@ def main_text(page: str, strength: float = 0.5) -> str:
     """The article of a page; empty if there is none.
 
     Paths whose score passes `strength` standard deviations (at most half the best) select content nodes. The article is
-    the innermost article or main element, else the smallest block element, that holds most of their text; its paths,
-    but for those that weigh nothing, give the text in page order, headings and short blocks too.
+    the innermost article or main element that holds most of their text, given whole in page order but for paths that weigh nothing; without
+    such an element the smallest block element, of which the selected paths count, and headings, lists and tables between their blocks.
     """
     found = blocks(page, *wrappers(page))
     if not found:
@@ -228,9 +236,14 @@ def main_text(page: str, strength: float = 0.5) -> str:
     total = sum(size for _, size in chosen)
     names = {i: n for b, _ in chosen for i, n in zip(b.holders, b.names)}
     most = [i for i, n in held.items() if n > 0.6 * total and names[i] in LINES - PARTS]
-    inside = max((i for i in most if names[i] in ("article", "main")), default=max(most, default=None))
-    paths = {b.path for b, _ in found if (inside is None or inside in b.holders) and (not b.marked or score[b.path] >= threshold)}
-    return "\n\n".join(t for b, t in found if b.path in paths)
+    inside = max((i for i in most if names[i] in ("article", "main")), default=None)
+    sure = inside is not None
+    inside = inside if sure else max(most, default=None)
+    here = [(b, t, score[b.path] >= threshold) for b, t in found if inside is None or inside in b.holders]
+    if sure:
+        return "\n\n".join(t for b, t, good in here if good or not b.marked)
+    first, last = (next((i for i in order if here[i][2]), 0) for order in (range(len(here)), range(len(here) - 1, -1, -1)))
+    return "\n\n".join(t for i, (b, t, good) in enumerate(here) if good or not b.marked and not BETWEEN.isdisjoint(b.names) and (first < i < last or b.names[-1][:1] == "h" and i < last))
 
 
 def extract(pages: DataFrame) -> DataFrame:

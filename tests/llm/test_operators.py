@@ -400,3 +400,40 @@ def test_toxicity_on_held_out_labels(spark):
     toxic, clean = rows[rows["toxic"] == 1], rows[rows["toxic"] == 0]
     assert len(toxic) > 50 and toxic["predicted"].mean() >= 0.8 and clean["predicted"].mean() <= 0.02
     assert (toxic[toxic["predicted"] == 1]["n"] > 0).all()
+
+
+def test_articles_keep_text_whose_class_only_sounds_like_a_mark():
+    for kind in "story share-price side-effects form-section more-info search-results comment-analysis header-section notice-board rail-transport reply-brief social-history".split():
+        page = f"<article><p>Long enough, and with stops. It goes on, and on.</p><div class='{kind}'><p>Of {kind}, this is said. It is so.</p></div></article>"
+        assert html_extract.main_text(page).endswith("It is so."), kind
+    for kind in "ad ad-banner comments comments-list cookie-notice site-footer share newsletter-signup widget-area".split():
+        page = f"<article><p>Long enough, and with stops. It goes on, and on.</p><div class='{kind}'><p>Buy, now. Or never.</p></div></article>"
+        assert html_extract.main_text(page).endswith("and on."), kind
+
+
+PLAIN = (
+    "<body><div class=top><span>Home</span> <span>News</span></div><div class=links><ul><li>One</li><li>Two</li><li>Three</li></ul></div><h2>Title</h2>"
+    + "<p class=t>A sentence, with a comma. And another, which is long.</p>" * 3 + "<ul><li>a point</li></ul><p class=t>The end, as it were. Good bye, all.</p><div class=links><ul><li>Four</li></ul></div></body>"
+)
+
+
+def brute_paths(page):
+    """Mean length and stops of each path's blocks, counted block by block."""
+    found = html_extract.blocks(page)
+    paths = list(dict.fromkeys(b.path for b, _ in found))
+    rows = [[t for b, t in found if b.path == p] for p in paths]
+    ratios = [(sum(map(len, ts)) / len(ts), sum(ch in html_extract.STOPS for t in ts for ch in t) / len(ts)) for ts in rows]
+    if len(ratios) > 2:
+        at = lambda i: ratios[min(max(i, 0), len(ratios) - 1)]
+        ratios = [tuple(0.15 * at(i - 1)[k] + 0.7 * at(i)[k] + 0.15 * at(i + 1)[k] for k in (0, 1)) for i in range(len(ratios))]
+    marked = {b.path for b, _ in found if b.marked}
+    return {p: 0.0 if p in marked else math.sqrt(a * (b + 0.1)) for p, (a, b) in zip(paths, ratios)}
+
+
+def test_path_ratios_select_content_on_pages_without_an_article(monkeypatch):
+    got = html_extract.path_scores(html_extract.blocks(PLAIN))
+    assert got == pytest.approx(brute_paths(PLAIN))
+    text = html_extract.main_text(PLAIN)
+    assert text.startswith("Title\n\nA sentence") and "a point" in text and text.endswith("Good bye, all.") and not any(w in text for w in ("Home", "One", "Four"))
+    monkeypatch.setattr(html_extract, "path_scores", lambda found: {b.path: 1.0 for b, _ in found})
+    assert html_extract.main_text(PLAIN) != text
