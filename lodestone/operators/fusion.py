@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
-from lodestone.operators.lexical import TF, bm25, bm25_scores, postings, question_terms, questions, top
+from lodestone.operators import text_index
+from lodestone.operators.lexical import TF, bm25, questions, top
 from lodestone.registry import query, table
+from lodestone.storage import landed
 
 POOL, CONSTANT, DEPTH = 50, 60, 5
 # How a question names a year and a quarter.
 YEAR, QUARTER = r"\b(?:FY|fiscal )?((?:19|20)\d\d)\b", r"\b[Qq]([1-4])\b"
 
 
-def overlap(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def overlap(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """A second lexical list: documents by how many of a question's distinct terms they hold."""
-    rows = postings(docs).join(question_terms(asked), "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return top(rows, k, F.desc("score"), F.col("doc_id"))
+    return text_index.search(index, asked, k, overlap=True)
 
 
 def fuse(lists: list[DataFrame], k: int, constant: int = CONSTANT) -> DataFrame:
@@ -33,7 +33,8 @@ def fuse(lists: list[DataFrame], k: int, constant: int = CONSTANT) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), questions(table(spark, sf_dir, "benchmark"))
-    return fuse([bm25(docs, asked, POOL), overlap(docs, asked, POOL)], DEPTH)
+    index = landed(text_index.build(docs), "text-index")
+    return fuse([text_index.search(index, asked, POOL), overlap(index, asked, POOL)], DEPTH)
 
 
 RRF = f"""{TF}, o AS (SELECT qt.qid, p.doc_id, row_number() OVER (PARTITION BY qt.qid ORDER BY count(*) DESC, p.doc_id) AS rank FROM p JOIN qt USING (term) GROUP BY qt.qid, p.doc_id),
@@ -91,9 +92,16 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered list; a question that it leaves empty gets its unfiltered list, in one plan."""
     docs, asked = table(spark, sf_dir, "documents"), questions(table(spark, sf_dir, "benchmark"))
-    narrow = bm25(docs, asked, DEPTH, F.col("lang") == "es")
-    wide = bm25(docs, asked, DEPTH).join(narrow.select("qid").distinct(), "qid", "left_anti")
-    return narrow.withColumn("filtered", F.lit(True)).unionByName(wide.withColumn("filtered", F.lit(False)))
+    return fallback(docs, asked, DEPTH, F.col("lang") == "es")
+
+
+def fallback(docs: DataFrame, asked: DataFrame, k: int, where: Column) -> DataFrame:
+    """qid, doc_id, score, rank, filtered: one scoring gives the k best inside of the filter and outside of it; both together hold the k best of all."""
+    index = landed(text_index.build(docs, F.coalesce(where, F.lit(False))), "text-index")
+    own = Window.partitionBy("qid")
+    rows = text_index.search(index, asked, k).withColumn("best", F.max("score").over(own)).withColumn("filtered", F.max(F.col("label") == "true").over(own))
+    rows = rows.where(~F.col("filtered") | (F.col("label") == "true")).drop("rank")
+    return top(rows, k, F.desc("score"), F.col("doc_id")).select("qid", "doc_id", F.round(F.col("score") / F.col("best"), 6).alias("score"), "rank", "filtered")
 
 
 @query(
@@ -103,10 +111,8 @@ def filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interleave_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ranked list for each source of the table, dealt in turn: first of each, second of each, and so on."""
     docs, asked = table(spark, sf_dir, "documents"), questions(table(spark, sf_dir, "benchmark"))
-    named = docs.where("source IS NOT NULL").select("doc_id", "source")
-    rows = bm25_scores(docs, asked).where("score > 0").join(named, "doc_id")
-    own = Window.partitionBy("qid", "source").orderBy(F.desc("score"), "doc_id")
-    rows = rows.withColumn("position", F.row_number().over(own)).where(F.col("position") <= DEPTH)
+    index = landed(text_index.build(docs, F.col("source")), "text-index")
+    rows = text_index.search(index, asked, DEPTH).where("label IS NOT NULL").withColumnsRenamed({"rank": "position", "label": "source"})
     return top(rows, DEPTH, F.col("position"), F.col("source")).select("qid", "doc_id", "source", "rank")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import text_index
+from lodestone.operators.text_index import EPSILON
 from lodestone.registry import query, table
+from lodestone.storage import landed
 
-# The customary parameters of BM25 Okapi.
-K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Results per question.
 DEPTH = 5
 
@@ -36,26 +37,6 @@ def questions(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def question_terms(asked: DataFrame) -> DataFrame:
-    """qid, term, qn: a term named twice counts twice."""
-    return asked.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
-
-
-def bm25_scores(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """qid, doc_id, score (rounded to 9 places, so that order doesn't hang on the order of sums).
-
-    Only postings of terms that some question has reach the scoring join; document frequencies and the mean
-    length stay those of the whole corpus.
-    """
-    posts = postings(docs)
-    terms = question_terms(asked)
-    mean = docs.agg(F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
-    known = idf(posts, docs).join(terms.select("term").distinct(), "term", "left_semi")
-    rows = posts.join(known, "term").join(F.broadcast(mean)).join(terms, "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * part), 9).alias("score"))
-
-
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each question, ranked from 1."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
@@ -63,12 +44,11 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def bm25(docs: DataFrame, asked: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """qid, doc_id, score, rank: scores as shares of the question's best; a filter comes after scoring, so it may leave the best out."""
-    rows = bm25_scores(docs, asked).where("score > 0")
-    rows = rows.withColumn("best", F.max("score").over(Window.partitionBy("qid")))
+    index = landed(text_index.build(docs, None if where is None else F.coalesce(where, F.lit(False))), "text-index")
+    rows = text_index.search(index, asked, k).withColumn("best", F.max("score").over(Window.partitionBy("qid")))
     if where is not None:
-        rows = rows.join(docs.where(where).select("doc_id"), "doc_id", "left_semi")
-    ranked = top(rows, k, F.desc("score"), F.col("doc_id"))
-    return ranked.select("qid", "doc_id", F.round(F.col("score") / F.col("best"), 6).alias("score"), "rank")
+        rows = rows.where("label = 'true'")
+    return rows.select("qid", "doc_id", F.round(F.col("score") / F.col("best"), 6).alias("score"), "rank")
 
 
 TOKENS = r"'[a-z]+\d[\w.]*|\d[\d,]*(?:\.\d+)?|[a-z]+'"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.lexical import TF, bm25, bm25_scores, questions, top
+from lodestone.operators import text_index
+from lodestone.operators.lexical import TF, questions
 from lodestone.plans.evaluation import GOLD, gold_spans
 from lodestone.registry import query, table
+from lodestone.storage import landed
 
 THRESHOLDS = (0.0, 2.0, 4.0, 8.0, 12.0, 16.0, 20.0, 30.0)
 
@@ -17,10 +19,16 @@ def corpus_scope_of(docs: DataFrame) -> DataFrame:
     return docs.agg(F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_set("lang")).alias("langs"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
-def best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def found_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """qid, doc_id, score, rank of every benchmark question."""
+    index = landed(text_index.build(table(spark, sf_dir, "documents")), "text-index")
+    return text_index.search(index, questions(table(spark, sf_dir, "benchmark")), k)
+
+
+def best_scores(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """qid, best score (null without a result), whether the question has gold in the corpus."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    best = bm25_scores(docs, questions(bench)).where("score > 0").groupBy("qid").agg(F.max("score").alias("best"))
+    best = (found_documents(spark, sf_dir, 1) if found is None else found).where("rank = 1").select("qid", F.col("score").alias("best"))
     gold = gold_spans(docs, bench).select("qid").distinct().withColumn("answerable", F.lit(True))
     rows = bench.select(F.col("item_id").alias("qid")).join(best, "qid", "left").join(gold, "qid", "left")
     return rows.select("qid", "best", F.coalesce("answerable", F.lit(False)).alias("answerable"))
@@ -69,8 +77,7 @@ def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BEST}, t AS (SELECT qid, list(doc_id ORDER BY rank) AS ids FROM bm WHERE rank <= 3 GROUP BY qid) SELECT qid, CASE WHEN best IS NULL OR best < 12 THEN 'low_confidence' END AS reason, coalesce(array_to_string(ids, ','), '') AS closest FROM bs LEFT JOIN t USING (qid)")
 def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Too low a best score refuses the question; its three closest documents go with the answer."""
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = top(bm25_scores(docs, questions(bench)).where("score > 0"), 3, F.desc("score"), F.col("doc_id"))
+    bench, found = table(spark, sf_dir, "benchmark"), found_documents(spark, sf_dir, 3)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score")))
     per = found.groupBy("qid").agg(F.max("score").alias("best"), F.array_join(F.transform(ordered, lambda x: x.doc_id.cast("string")), ",").alias("closest"))
     rows = bench.select(F.col("item_id").alias("qid")).join(per, "qid", "left")
@@ -104,8 +111,9 @@ def refusal_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole question plan: retrieval, its gate, an answer from the best passage (a stand-in for a model), the answer's gate."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gate = best_scores(spark, sf_dir)
-    first = bm25(docs, questions(bench), 1).select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = landed(found_documents(spark, sf_dir, 1), "found")
+    gate = best_scores(spark, sf_dir, found)
+    first = found.select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     first = first.join(bench.select(F.col("item_id").alias("qid"), F.col("text").alias("quote")), "qid")
     answer = first.select("qid", F.when(F.col("text").contains(F.col("quote")), "answered").otherwise("insufficient_evidence").alias("verdict"))
     low = F.col("best").isNull() | (F.col("best") < 12)
