@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.functions import text as T
 from lodestone.operators.lexical import TF, bm25, questions
-from lodestone.operators.parsing import BLOCKS, HEADS, LINES, sections
+from lodestone.operators.parsing import BLOCKS, HEADS, LINES, sections, spread
 from lodestone.registry import query, table
 
 DEPTH, KS = 10, (1, 3, 5, 10)
 
 
-def gold_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Where each benchmark passage stands verbatim: qid, doc_id, start, end.
+#: Bytes of passages that are searched for at once.
+PASSAGES = 1 << 20
+
+
+def occurrences(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Every place where a passage (qid, passage) stands verbatim in a text: qid, doc_id, start, end, in code points.
 
-    Candidates come from an equi-join on three tokens of the passage, so no document meets a passage that it can't hold. They
-    are taken between the passage's first and last word, which a document may begin or end otherwise.
+    All passages are looked for in one walk over each text, by an automaton; they go to the tasks in parts of PASSAGES bytes, so nothing is
+    joined or shuffled. Overlapping occurrences count, equal passages of several questions too; null and empty ones stand nowhere.
     """
-    toks = T.tokens(F.col("text"))
-    inner = T.tokens(F.regexp_replace("text", r"^\s*\S+|\S+\s*$", ""))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(toks, 3, F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("gram"))
-    items = benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), F.array_join(F.slice(inner, 1, 3), " ").alias("gram")).where(F.size(inner) >= 3)
-    near = grams.where("gram IS NOT NULL").join(items, "gram").select("qid", "doc_id", "passage")
-    short = benchmark.where(F.size(inner) < 3).select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    near = near.unionByName(docs.select("doc_id").join(short).select("qid", "doc_id", "passage"))
-    at = near.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.instr("text", F.col("passage"))).where("at > 0")
-    return at.select("qid", "doc_id", (F.col("at") - 1).cast("long").alias("start"), (F.col("at") - 1 + F.length("passage")).cast("long").alias("end"))
+    spark = docs.sparkSession
+    asked = passages.where(F.length("passage") > 0)
+    n = max(1, -(-(asked.agg(F.sum(F.octet_length("passage"))).first()[0] or 0) // PASSAGES))
+    qid, doc_id = dict(passages.dtypes)["qid"], dict(docs.dtypes)["doc_id"]
+    rows = spread(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL"))
+    found: DataFrame | None = None
+    for i in range(n):
+        of: dict[str, list] = {}
+        for r in asked.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == i).select("qid", "passage").collect():  # bounded: dealt by a hash
+            of.setdefault(r.passage, []).append(r.qid)
+        sent = spark.sparkContext.broadcast(of)
+
+        def each(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for passage, qids in sent.value.items():
+                automaton.add_word(passage, (len(passage), qids))
+            automaton.make_automaton()
+            for batch in batches:
+                out: list[tuple] = []
+                if len(automaton):
+                    for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                        out += [(q, doc, end + 1 - size, end + 1) for end, (size, qids) in automaton.iter(text) for q in qids]
+                kinds = (kind_of[0], batch["doc_id"].type, pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["qid", "doc_id", "start", "end"])
+
+        kind_of = [to_arrow_type(passages.schema["qid"].dataType)]
+        one = rows.mapInArrow(each, f"qid {qid}, doc_id {doc_id}, start long, end long")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def gold_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Where each benchmark passage first stands in each document: qid, doc_id, start, end."""
+    places = occurrences(docs, benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage")))
+    return places.groupBy("qid", "doc_id").agg(F.min(F.struct("start", "end")).alias("at")).select("qid", "doc_id", "at.*")
 
 
 GOLD = "gs AS (SELECT b.item_id AS qid, d.doc_id, (strpos(d.text, b.text) - 1)::BIGINT AS start, (strpos(d.text, b.text) - 1 + length(b.text))::BIGINT AS \"end\" FROM documents d JOIN benchmark b ON contains(d.text, b.text))"

@@ -116,3 +116,12 @@ def test_every_line_item_is_verified(spark, data):
 
 def test_evaluate_takes_arithmetic_only():
     assert N.evaluate("2 * (3 - 1)") == 4 and N.evaluate("1 / 0") is None and N.evaluate("__import__('os')") is None
+
+
+def test_passages_are_found_wherever_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "PASSAGES", 12)
+    docs = spark.createDataFrame([(1, "abab abab é世é世é", 0), (2, None, 0), (3, "", 0), (None, "xx é世é", 0), (4, "b", 0)], "doc_id long, text string, qid int")
+    asked = [(10, "abab"), (11, "é世é"), (12, "b"), (13, ""), (14, None), (15, "abab"), (None, "xx")]
+    got = {(r.qid, r.doc_id, r.start, r.end) for r in evaluation.occurrences(docs, spark.createDataFrame(asked, "qid long, passage string")).collect()}
+    texts = {1: "abab abab é世é世é", None: "xx é世é", 4: "b"}
+    assert got == {(q, d, i, i + len(p)) for q, p in asked if p for d, t in texts.items() for i in range(len(t)) if t.startswith(p, i)}
