@@ -5,10 +5,10 @@ from __future__ import annotations
 from lodestone import registry
 from lodestone.operators import chunking, dense, fusion, items, lexical, parsing
 from lodestone.plans import answers, evaluation, gates, verification
-from lodestone.sources import filings
+from lodestone.sources import filings, store
 from lodestone.streaming import ingest
 
-MODULES = (parsing, items, chunking, lexical, dense, fusion, evaluation, gates, verification, answers, filings, ingest)
+MODULES = (parsing, items, chunking, lexical, dense, fusion, evaluation, gates, verification, answers, filings, store, ingest)
 
 
 def queries() -> dict[str, registry.Query]:

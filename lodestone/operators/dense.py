@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph_index
 from lodestone.operators.lexical import top
 from lodestone.registry import query, table
+from lodestone.sources.filters import compiled
 from lodestone.storage import landed
 
 #: Every vector whose id is divisible by this is a query; over-fetch of the filter that comes after the cut.
@@ -20,14 +21,15 @@ EVERY, DEPTH, OVERFETCH = 20, 5, 20
 BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool = False, where: dict | None = None) -> DataFrame:
     """qid, vec_id, label, q_label, score (6 places), rank: the k best rows for each query row, ties to the smaller vec_id.
 
     Vectors are normalised once, both sides are dealt to blocks, and each pair of blocks is a matrix product that answers with the
     rows that can be among a query's k best. With same_label only rows of the query's label are candidates, before any score.
-    Vectors of unlike widths don't meet; a null vector takes no part, nor a null label with same_label (it has no equal).
+    A filter (see filters.compiled) is of candidates alone and reaches their scan. Vectors of unlike widths don't meet; a null vector takes no part, nor a null label with same_label (it has no equal).
     """
     rows = vectors.where("embedding IS NOT NULL").select("vec_id", "label", "embedding", F.size("embedding").alias("width"))
+    filtered = vectors.where(compiled(where)).where("embedding IS NOT NULL").select("vec_id", "label", "embedding", F.size("embedding").alias("width"))
     n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % EVERY == 0)).first()
     right, left = max(1, -(-n // BLOCK)), max(1, -(-(asked_n or 0) // BLOCK))
     group = [F.col("label").cast("string").alias("part")] if same_label else [F.lit("").alias("part")]
@@ -35,7 +37,7 @@ def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool =
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     asked = rows.where(F.col("vec_id") % EVERY == 0).select("*", *group, deal(left).alias("l")).select("*", every(right).alias("r"))
     # both sides come from one table: a cogroup needs columns of its own on each
-    others = rows.select(*[F.col(c).alias(c) for c in rows.columns], *group, deal(right).alias("r")).select("*", every(left).alias("l"))
+    others = filtered.select(*[F.col(c).alias(c) for c in rows.columns], *group, deal(right).alias("r")).select("*", every(left).alias("l"))
     kinds, keys = dict(vectors.dtypes), ["width", "part", "l", "r"]
 
     def unit(table: pa.Table) -> np.ndarray:
@@ -77,6 +79,15 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), DEPTH, same_label=True).select(*SHOWN)
 
 
+RANGE = {"$and": [{"label": {"$gte": 2, "$lt": 6}}, {"$or": [{"vec_id": {"$lte": 150}}, {"label": {"$in": [3, 4]}}]}, {"label": {"$ne": 5}}]}
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM pr WHERE label >= 2 AND label < 6 AND (vec_id <= 150 OR label IN (3, 4)) AND label <> 5) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
+def dense_topk_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among the vectors that a filter of ranges and sets lets through."""
+    return nearest(table(spark, sf_dir, "embeddings"), DEPTH, where=RANGE).select(*SHOWN)
+
+
 @query(f"WITH {PAIRS}, r AS (SELECT qid, vec_id, label, ip AS score, row_number() OVER (PARTITION BY qid ORDER BY ip DESC, vec_id)::INT AS rank FROM pr) SELECT qid, vec_id, label, score, rank FROM r WHERE rank <= 5")
 def flat_inner_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), DEPTH, cosine=False).select(*SHOWN)
