@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from lodestone import registry
 from lodestone.operators import chunking, dense, fusion, items, lexical, parsing
-from lodestone.plans import answers, evaluation, gates, verification
+from lodestone.plans import answers, evaluation, gates, questions, verification
 from lodestone.sources import filings, jsonl, store
 from lodestone.streaming import ingest
 
-MODULES = (parsing, items, chunking, lexical, dense, fusion, evaluation, gates, verification, answers, filings, jsonl, store, ingest)
+MODULES = (parsing, items, chunking, lexical, dense, fusion, evaluation, gates, questions, verification, answers, filings, jsonl, store, ingest)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -11,8 +11,8 @@ from lodestone.registry import query, table
 from lodestone.storage import landed
 
 POOL, CONSTANT, DEPTH = 50, 60, 5
-# How a question names a year and a quarter.
-YEAR, QUARTER = r"\b(?:FY|fiscal )?((?:19|20)\d\d)\b", r"\b[Qq]([1-4])\b"
+# How a text names a fiscal year, and a quarter with its year.
+YEAR, QUARTER = r"(?i)\b(?:fy\s?|fiscal\s+(?:year\s+)?|q[1-4]\s*)(\d{4})\b", r"(?i)\bq([1-4])\s*(?:of\s+)?(?:fy|fiscal\s*(?:year\s*)?)?\s*\d{4}\b"
 
 
 def overlap(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -59,7 +59,7 @@ def facets(question: Column) -> list[Column]:
     return [got(YEAR).alias("fiscal_year"), got(QUARTER).alias("fiscal_quarter")]
 
 
-FACETS = r"""nullif(regexp_extract(text, '\b(?:FY|fiscal )?((?:19|20)\d\d)\b', 1), '')::INT AS fiscal_year, nullif(regexp_extract(text, '\b[Qq]([1-4])\b', 1), '')::INT AS fiscal_quarter"""
+FACETS = f"nullif(regexp_extract(text, '{YEAR}', 1), '')::INT AS fiscal_year, nullif(regexp_extract(text, '{QUARTER}', 1), '')::INT AS fiscal_quarter"
 
 
 @query(f"SELECT doc_id, fiscal_year::VARCHAR AS fiscal_year, fiscal_quarter::VARCHAR AS fiscal_quarter FROM (SELECT doc_id, {FACETS} FROM documents)")

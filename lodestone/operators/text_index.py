@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import text as T
 from lodestone.operators.parsing import spread
@@ -128,6 +129,7 @@ def search(index: DataFrame, asked: DataFrame, k: int, overlap: bool = False) ->
         weighted = terms.join(frequencies(index), "term").select("qid", "term", (F.col("qn") * F.col("idf")).alias("weight"))
         avgdl = statistics(index).first().avgdl or 1.0
     qid, doc_id = dict(asked.dtypes)["qid"], dict(index.dtypes)["doc_ids"][6:-1]
+    kinds = (to_arrow_type(asked.schema["qid"].dataType), pa.string(), to_arrow_type(index.schema["doc_ids"].dataType.elementType), pa.float64())
     found: DataFrame | None = None
     for part in _parts(asked, weighted):
 
@@ -139,8 +141,7 @@ def search(index: DataFrame, asked: DataFrame, k: int, overlap: bool = False) ->
                     _answer(q, best, k, avgdl, overlap, *map(get, ("doc_ids", "labels", "lengths", "terms", "sizes", "places", "counts")))
             rows = [(q.qids[i], label, d, s) for (i, label), b in best.items() for s, d in zip(b.score.tolist(), b.ids, strict=True)]
             if rows:
-                made = [pa.array([r[i] for r in rows]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([made[0], made[1].cast(pa.string()), made[2], pa.array([r[3] for r in rows], pa.float64())], ["qid", "label", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["qid", "label", "doc_id", "score"])
 
         one = index.mapInArrow(each, f"qid {qid}, label string, doc_id {doc_id}, score double")
         found = one if found is None else found.unionByName(one)
