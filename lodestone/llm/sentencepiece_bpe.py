@@ -2,14 +2,17 @@
 
 All words of a block are one flat array of symbols. Each round finds the pair of best rank in every word,
 merges it (all its occurrences from the left, where that can't change what merging one at a time gives),
-and compacts the array; words without a pair left leave it.
+and compacts the array; words without a pair left leave it. A word of more than LONG symbols would need as many rounds over
+as long an array: its rounds merge one pair each, found in a heap, and touch the neighbours of that pair only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Characters of text encoded at once, words kept between blocks, and the longest word kept.
 BLOCK, KEPT, LONGEST = 1 << 20, 100_000, 40
+#: The longest word, in characters, whose rounds pass over all words together.
+LONG = 512
 NONE = np.int32(2**31 - 1)
 
 
@@ -122,8 +127,54 @@ class Codec:
         order = np.argsort(at, kind="stable")
         return sym[order], points[at[order]], np.bincount(wid, minlength=len(words))
 
+    @cached_property
+    def _pair(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist()), strict=True))
+
+    def merge_long(self, word: str) -> list[int]:
+        """The ids of one word, merged pair by pair: the best rank first, from the left."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym, n, base, pair = self.symbol[points].tolist(), len(points), self.base, self._pair
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def look(i: int) -> tuple[int, int] | None:
+            j = after[i]
+            return pair.get(sym[i] * base + sym[j]) if j < n and sym[i] >= 0 and sym[j] >= 0 else None
+
+        for i in range(n - 1):
+            if found := look(i):
+                heap.append(found[0] << 40 | i)
+        heapq.heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 1 << 40)
+            found = None if gone[i] else look(i)
+            if found is None or found[0] != rank:
+                continue  # what stood here has been merged since
+            j = after[i]
+            sym[i], gone[j], after[i] = found[1], 1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (found := look(k)):
+                    heapq.heappush(heap, found[0] << 40 | k)
+        out, i = [], 0
+        while i < n:
+            out += [sym[i]] if 0 <= sym[i] < self.size else [self.byte_id[x] for x in chr(points[i]).encode("utf-8", "replace")]
+            i = after[i]
+        return out
+
     def ids(self, words: list[str]) -> list[list[int]]:
         """The ids of each word: characters that are no piece become their bytes."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = self._ids([w for w in words if len(w) <= LONG])
+            for i in long:
+                out.insert(i, self.merge_long(words[i]))
+            return out
+        return self._ids(words)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
         sym, points, sizes = self.merge(words)
         ids, ends = sym.tolist(), np.cumsum(sizes).tolist()
         out = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]

@@ -77,6 +77,18 @@ def test_odd_strings_equal_the_library():
         assert codec.encode(text) == ids and codec.decode(ids) == sp.decode(ids)
 
 
+def test_words_without_a_space_equal_the_library(monkeypatch):
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentencepiece_bpe.Codec(open(MODEL, "rb").read())
+    rng = np.random.default_rng(6)
+    texts = [" " * 20_000, "a" * 5001, "".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), 40_000)), "世界é🙂" * 2000, "the " * 900 + " " * 700 + "x" * 600 + " y", "ab" * 300 + "\n" * 700 + "\ud800"[:0]]
+    for text in texts:
+        assert codec.encode(text) == [*sp.encode(text), sp.eos_id()]
+    monkeypatch.setattr(sentencepiece_bpe, "LONG", 3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab the  \n▁é世🙂1 e"), rng.integers(0, 60)))
+        assert codec.encode(text) == [*sp.encode(text), sp.eos_id()]
+
+
 def test_mix_meets_targets(docs, empty):
     rows = mixing.mix(docs).toPandas()
     assert len(rows) == len(ROWS) and (rows["taken"] <= 2 * rows["size"]).all()
