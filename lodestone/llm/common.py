@@ -21,9 +21,13 @@ _folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); without one, the warehouse is such a folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse, which on a cluster must not be a folder of one machine."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") and (root.startswith("file:") or "://" not in root):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = f"{sc.applicationId}@{root}"
     if key not in _folders:
         _folders[key] = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"

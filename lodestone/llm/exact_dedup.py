@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm.common import attach, fold, row_key, staged
 
@@ -151,21 +152,27 @@ def match_snapshot(docs: DataFrame, positives: DataFrame, snapshot: DataFrame) -
     return exact.join(equal, "digest", "left_semi")
 
 
+def _older(docs: DataFrame) -> Column:
+    """Whether a row belongs to the snapshot; null for a row without an id."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return F.col("doc_id") <= (0 if low is None else (low + high) // 2)
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Each row's group of equal texts, lower-casing A-Z only; of each group the largest doc_id stays.
 
     The older half of the doc_id range is the snapshot, the rest (and rows without a doc_id) the incoming
-    batch. Columns: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty. Rows that
+    batch; of ids that are no numbers, half by their hash. Columns: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty. Rows that
     repeat a doc_id and text are counted in group_size and carry the same result; a null doc_id stays only
     in a group without any other id. An empty table gives no rows; other columns are not read.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = 0 if low is None else (low + high) // 2
-    rows = digests(docs).withColumn("old", F.coalesce(F.col("doc_id") <= middle, F.lit(False)))
+    rows = digests(docs).withColumn("old", F.coalesce(_older(docs), F.lit(False)))
     rows = staged(rows, "digests")
     snapshot = staged(distinct_digests(rows.where("old")), "snapshot")
     incoming = staged(distinct_digests(rows.where("NOT old")), "incoming")
-    buckets = max(1, math.ceil(snapshot.count() / BUCKET_KEYS))
+    buckets = max(1, math.ceil(max(snapshot.count(), incoming.count()) / BUCKET_KEYS))
     filters = staged(snapshot_filters(snapshot, buckets), "filters")
     positives = screen(incoming, filters, buckets)
     both = staged(match_snapshot(docs, positives, snapshot), "both")

@@ -449,3 +449,9 @@ def test_path_ratios_select_content_on_pages_without_an_article(monkeypatch):
     assert text.startswith("Title\n\nA sentence") and "a point" in text and text.endswith("Good bye, all.") and not any(w in text for w in ("Home", "One", "Four"))
     monkeypatch.setattr(html_extract, "path_scores", lambda found: {b.path: 1.0 for b, _ in found})
     assert html_extract.main_text(PLAIN) != text
+
+
+def test_exact_groups_of_text_ids(spark):
+    rows = [("b", "Same"), ("a", "same"), (None, "SAME"), ("c", "other"), ("c", "other"), ("é", None), ("z", "")]
+    got = sorted(map(tuple, exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).drop("text_sha256").collect()), key=str)
+    assert got == sorted([("b", "b", 3, True), ("a", "b", 3, False), (None, "b", 3, False), ("c", "c", 2, True), ("c", "c", 2, True), ("é", "é", 2, True), ("z", "é", 2, False)], key=str)
