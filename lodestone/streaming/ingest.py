@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.registry import query, table
+from lodestone.storage import shared_root
 
 
 def changed(rows: DataFrame, stored: DataFrame, key: str, content: str) -> DataFrame:
@@ -15,10 +22,55 @@ def changed(rows: DataFrame, stored: DataFrame, key: str, content: str) -> DataF
     return rows.withColumn("_sha", F.sha2(content, 256)).join(known, [key, "_sha"], "left_anti").drop("_sha")
 
 
-def ingest(spark: SparkSession, folder: str, schema: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Appends the files that came since the last run to the sink, once each, and ends."""
-    rows = spark.readStream.schema(schema).parquet(folder)
-    return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_changes(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """A stream's rows (key, order, content) that bring something new: the latest of each key in a batch, if it is later than what the state has and says something else.
+
+    The state holds the order and the digest of a key's last content, whatever the number of its versions. Ties of order go to the greater
+    content; rows without a key are one key; null content is empty.
+    """
+    kinds = dict(rows.dtypes)
+
+    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, best = (state.get if state.exists else (None, None)), None
+        for frame in frames:
+            for at, text in zip(frame[order].tolist(), frame[content].tolist(), strict=True):
+                now = (at, text or "")
+                best = now if best is None or now > best else best
+        if best is None or last[0] is not None and best[0] <= last[0]:
+            return
+        sha = hashlib.sha256(best[1].encode()).hexdigest()
+        state.update((best[0], sha))
+        if sha != last[1]:
+            yield pd.DataFrame({key: [of[0]], order: [best[0]], content: [best[1]], "again": [last[1] is not None]})
+
+    out = f"{key} {kinds[key]}, {order} {kinds[order]}, {content} string, again boolean"
+    return rows.select(key, order, content).groupBy(key).applyInPandasWithState(step, out, f"{order} {kinds[order]}, sha string", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(spark: SparkSession, folder: str, schema: str, sink: str, checkpoint: str, key: str, order: str, content: str) -> StreamingQuery:
+    """Takes the files that came since the last run, once each, and appends what they change to the sink; ends when there is no more.
+
+    What was read and the state of keys are in the checkpoint, so a run that is killed goes on where it was, and a file read twice by it
+    is written once.
+    """
+    rows = latest_changes(spark.readStream.schema(schema).parquet(folder), key, order, content)
+    return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+@query(
+    "SELECT doc_id, 1::BIGINT AS version, md5(text) AS digest, false AS again FROM documents WHERE doc_id % 3 <> 0 UNION ALL "
+    "SELECT doc_id, 2, md5(CASE WHEN doc_id % 2 = 0 THEN text || '!' ELSE text END), doc_id % 3 <> 0 FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0"
+)
+def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three waves of files, each taken by a run of its own: two thirds of the documents, all with every other one changed, and the same once more."""
+    root, docs = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    second = docs.select("doc_id", F.lit(2).cast("long").alias("version"), text.alias("text"))
+    waves = [docs.where("doc_id % 3 <> 0").select("doc_id", F.lit(1).cast("long").alias("version"), "text"), second, second.withColumn("version", F.lit(3).cast("long"))]
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{root}/in")
+        ingest(spark, f"{root}/in", "doc_id long, version long, text string", f"{root}/out", f"{root}/checkpoint", "doc_id", "version", "text").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("doc_id", "version", F.md5("text").alias("digest"), "again")
 
 
 @query("SELECT conv_id, turn, role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.text IS NOT DISTINCT FROM c.text)")
