@@ -21,21 +21,24 @@ EVERY, DEPTH, OVERFETCH = 20, 5, 20
 BLOCK = 4096
 
 
-def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool = False, where: dict | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool = False, where: dict | None = None, asked: DataFrame | None = None) -> DataFrame:
     """qid, vec_id, label, q_label, score (6 places), rank: the k best rows for each query row, ties to the smaller vec_id.
 
     Vectors are normalised once, both sides are dealt to blocks, and each pair of blocks is a matrix product that answers with the
     rows that can be among a query's k best. With same_label only rows of the query's label are candidates, before any score.
+    The queries are the rows with every EVERY-th id, without themselves as candidates, or else those of `asked` (vec_id, label, embedding).
     A filter (see filters.compiled) is of candidates alone and reaches their scan. Vectors of unlike widths don't meet; a null vector takes no part, nor a null label with same_label (it has no equal).
     """
     rows = vectors.where("embedding IS NOT NULL").select("vec_id", "label", "embedding", F.size("embedding").alias("width"))
     filtered = vectors.where(compiled(where)).where("embedding IS NOT NULL").select("vec_id", "label", "embedding", F.size("embedding").alias("width"))
-    n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % EVERY == 0)).first()
+    own = asked is None
+    given = rows.where(F.col("vec_id") % EVERY == 0) if own else asked.where("embedding IS NOT NULL").select("vec_id", "label", "embedding", F.size("embedding").alias("width"))
+    n, asked_n = rows.count(), given.count()
     right, left = max(1, -(-n // BLOCK)), max(1, -(-(asked_n or 0) // BLOCK))
     group = [F.col("label").cast("string").alias("part")] if same_label else [F.lit("").alias("part")]
     deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asked = rows.where(F.col("vec_id") % EVERY == 0).select("*", *group, deal(left).alias("l")).select("*", every(right).alias("r"))
+    asked = given.select("*", *group, deal(left).alias("l")).select("*", every(right).alias("r"))
     # both sides come from one table: a cogroup needs columns of its own on each
     others = filtered.select(*[F.col(c).alias(c) for c in rows.columns], *group, deal(right).alias("r")).select("*", every(left).alias("l"))
     kinds, keys = dict(vectors.dtypes), ["width", "part", "l", "r"]
@@ -49,7 +52,8 @@ def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool =
             ids, labels = ((a if a.num_rows else b)[c].slice(0, 0) for c in ("vec_id", "label"))
             return pa.table({"qid": ids, "q_label": labels, "vec_id": ids, "label": labels, "score": pa.array([], pa.float64())})
         score = unit(a) @ unit(b).T
-        score[a["vec_id"].to_numpy()[:, None] == b["vec_id"].to_numpy()[None, :]] = -np.inf
+        if own:
+            score[a["vec_id"].to_numpy()[:, None] == b["vec_id"].to_numpy()[None, :]] = -np.inf
         # what rounding can make equal to the k-th stays; the order is made of rounded scores later
         floor = np.partition(score, -k, axis=1)[:, -k] - 1e-6 if b.num_rows > k else np.full(a.num_rows, -np.inf)
         q, c = np.nonzero((score >= floor[:, None]) & np.isfinite(score))

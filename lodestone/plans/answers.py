@@ -9,6 +9,7 @@ from lodestone.functions import calculations as C
 from lodestone.functions import figures as N
 from lodestone.functions import text as T
 from lodestone.plans.verification import answers
+from lodestone.operators.parsing import spread
 from lodestone.registry import query, table
 
 # The reply of a model that finds no evidence, and the characters of a passage that a citation quotes.
@@ -144,7 +145,7 @@ def calculation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def verified_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calculation made from each line item, parsed and checked against its passages."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem"))
     price, tax = F.format_number("l_extendedprice", 2), F.format_number(F.col("l_extendedprice") * F.col("l_tax"), 2)
     total = F.format_number(F.col("l_extendedprice") * (1 + F.col("l_tax")), 2)
     line = F.concat(F.lit("CALC: "), price, F.lit(" [c1] + "), tax, F.lit(" [c2] = "), total)
