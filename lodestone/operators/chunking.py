@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.parsing import BLOCKS, HEADS, LINES, sections
+from lodestone.operators.parsing import BLOCKS, HEADS, LINES, spread, with_blocks
 from lodestone.registry import query, table
 
 TARGET, OVERLAP, CHILD = 350, 60, 120
@@ -22,12 +22,11 @@ def check_sizes(target: int, overlap: int) -> None:
         raise ValueError("a chunker needs target > 0 and 0 <= overlap < target")
 
 
-def with_body(spans: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the text of (start, end), its id and its number of words. A text meets the list of its spans once and isn't copied for each."""
-    own = [c for c in spans.columns if c != "doc_id"]
-    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("spans")).join(docs.select("doc_id", "text"), "doc_id")
-    cut = lambda s: F.substring(F.col("text"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
-    rows = per.select("doc_id", F.inline(F.transform("spans", lambda s: s.withField("body", cut(s)))))
+def bodies(docs: DataFrame, *more: str) -> DataFrame:
+    """The blocks of docs with their text: doc_id, more columns, block, start, end, title, body, chunk_id, word_count; cut where the text lies."""
+    rows = with_blocks(spread(docs.select("doc_id", "text", *more)))
+    cut = lambda b: F.substring(F.col("text"), b["start"].cast("int") + 1, (b["end"] - b["start"]).cast("int"))
+    rows = rows.select("doc_id", *more, F.inline(F.transform("blocks", lambda b: b.withField("body", cut(b)))))
     chunk_id = F.concat_ws("", F.col("doc_id"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
     return rows.withColumn("chunk_id", chunk_id).withColumn("word_count", F.size(T.words(F.col("body"))))
 
@@ -78,20 +77,20 @@ def packed(rows: DataFrame, target: int, overlap: int) -> DataFrame:
 
 
 def fixed(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    rows = docs.select("doc_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("body"))
+    rows = spread(docs.select("doc_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("body")))
     return packed(rows, target, overlap).select("doc_id", "start", "end")
 
 
 def section_aware(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """One chunk per section; sections above the target are packed by lines and tables."""
-    found = with_body(sections(docs), docs).where("word_count > 0")
+    found = bodies(docs).where("word_count > 0")
     short = found.where(F.col("word_count") <= target).select("doc_id", "start", "end")
     return short.unionByName(packed(found.where(F.col("word_count") > target), target, overlap).select("doc_id", "start", "end"))
 
 
 def parent_child(docs: DataFrame, child: int = CHILD) -> DataFrame:
     """Small children packed inside each section, with the section as their parent."""
-    return packed(with_body(sections(docs), docs).where("word_count > 0"), child, 0)
+    return packed(bodies(docs).where("word_count > 0"), child, 0)
 
 
 def effective(chunks: DataFrame) -> DataFrame:
@@ -145,7 +144,7 @@ def recursive(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end"])
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, start long, end long")
+    return spread(docs.select("doc_id", "text")).mapInPandas(each, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, end long")
 
 
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {"fixed": fixed, "recursive": recursive, "section-aware": section_aware, "parent-child": parent_child}
@@ -183,7 +182,7 @@ w AS (SELECT *, {WORDS.format("body")} AS word_count FROM c)"""
 @query(f'WITH {LINES}, {HEADS}, {BLOCKS}, {BODY} SELECT doc_id, start, "end", chunk_id, word_count, md5(body) AS digest FROM w')
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = with_body(sections(docs), docs)
+    rows = bodies(docs)
     return rows.select("doc_id", "start", "end", "chunk_id", "word_count", F.md5("body").alias("digest"))
 
 
@@ -218,9 +217,7 @@ def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT source, n, least, most, oversized, small, ws[least(floor(n * 0.5::DOUBLE), n - 1)::INT + 1] AS median, ws[least(floor(n * 0.9::DOUBLE), n - 1)::INT + 1] AS p90 FROM s"
 )
 def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = with_body(sections(docs), docs).join(docs.select("doc_id", "source"), "doc_id")
-    return size_stats(rows)
+    return size_stats(bodies(table(spark, sf_dir, "documents"), "source"))
 
 
 @query(
@@ -228,7 +225,6 @@ def chunk_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The provenance header that goes before a chunk's text, with the prefix of the document side."""
-    docs = table(spark, sf_dir, "documents")
-    rows = sections(docs).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    rows = bodies(table(spark, sf_dir, "documents"), "source", "lang")
     header = F.concat(F.lit("search_document: "), "source", F.lit(" ("), "lang", F.lit(")"), F.lit(" | "), F.coalesce("title", F.lit("")))
     return rows.select("doc_id", "block", header.alias("header"))

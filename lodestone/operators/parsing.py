@@ -137,16 +137,40 @@ def headed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("head", T.is_heading(F.col("line")) & ~inside)
 
 
+_FOUND = "array<struct<start: bigint, title: string>>"
+
+
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """Adds `blocks` to docs (text): an array of block, start, end, title, cut at headings outside of tables; before the first heading the title is null.
+
+    A fold over a row's own lines finds the headings, so a text stays in its row and nothing is shuffled; rows without an id, and equal
+    rows, keep their own. A null text has no blocks, an empty one a block of no length.
+    """
+
+    def step(s: Column, line: Column) -> Column:
+        bare = F.trim(line)
+        inside = F.when(bare == "[TABLE]", True).when(bare == "[/TABLE]", False).otherwise(s["inside"])
+        here = F.array(F.struct(s["off"].alias("start"), line.alias("title")))
+        found = F.when(T.is_heading(line) & ~inside, F.concat(s["found"], here)).otherwise(s["found"])
+        return F.struct((s["off"] + F.length(line) + 1).alias("off"), inside.alias("inside"), found.alias("found"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("off"), F.lit(False).alias("inside"), F.array().cast(_FOUND).alias("found"))
+    rows = docs.withColumn("_heads", F.aggregate(T.lines(F.coalesce("text", F.lit(""))), begin, step, lambda s: s["found"]))
+    first = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(None).cast("string").alias("title")))
+    led = F.coalesce(F.get("_heads", 0)["start"] == 0, F.lit(False))
+    rows = rows.withColumn("_led", led).withColumn("_heads", F.when(led, F.col("_heads")).otherwise(F.concat(first, F.col("_heads"))))
+
+    def block(h: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_heads", i + 1)["start"] - 1, F.length("text").cast("long"))
+        return F.struct((i + F.col("_led").cast("int")).alias("block"), h["start"].alias("start"), end.alias("end"), h["title"].alias("title"))
+
+    found = F.when(F.col("text").isNotNull(), F.transform("_heads", block)).otherwise(F.array().cast("array<struct<block: int, start: bigint, end: bigint, title: string>>"))
+    return rows.withColumn("blocks", found).drop("_heads", "_led")
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """Blocks between headings: doc_id, block, start, end, title (null before the first heading)."""
-    rows = headed(document_lines(docs))
-    upto = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("block", F.sum(F.col("head").cast("int")).over(upto))
-    found = rows.groupBy("doc_id", "block").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("end"),
-        F.min_by(F.when(F.col("head"), F.col("line")), "line_no").alias("title"),
-    )
-    return found.select("doc_id", F.col("block").cast("int").alias("block"), "start", "end", "title")
+    return with_blocks(spread(docs.select("doc_id", "text"))).select("doc_id", F.inline("blocks"))
 
 
 @query("SELECT doc_id, source, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 200")

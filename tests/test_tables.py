@@ -63,3 +63,14 @@ def test_pages_that_break_are_rows_of_their_own(spark, monkeypatch):
     assert got == [("a", "� x", None), ("b", None, "no content"), ("c", None, "ZeroDivisionError: division by zero"), ("d", "", None), ("d", "", None)]
     report = parsing.parse_report(spark.createDataFrame(got, "page_id string, text string, error string"), F.lit("all")).first()
     assert (report.pages, report.parsed, report.failed) == (5, 3, 2) and [(f.error, f.n) for f in report.failures] == [("ZeroDivisionError: division by zero", 1), ("no content", 1)]
+
+
+def test_sections_of_rows_without_an_id_and_of_any_id(spark):
+    rows = [(None, "Head\nbody one"), (None, "no head\nNext\nx"), (None, "Head\nbody one"), ("k", None), ("é", ""), ("z", "Last\n")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.block, r.title, r.body) for r in chunking.bodies(docs).collect()), key=str)
+    want = [(None, 1, "Head", "Head\nbody one"), (None, 1, "Head", "Head\nbody one"), (None, 0, None, "no head"), (None, 1, "Next", "Next\nx"), ("é", 0, None, ""), ("z", 1, "Last", "Last\n")]
+    assert got == sorted(want, key=str)
+    for strategy in chunking.CHUNKERS:
+        found = chunking.chunk(docs, strategy).collect()
+        assert {r.doc_id for r in found} == {None, "z"} and all(r.start < r.end for r in found)
