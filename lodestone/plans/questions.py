@@ -151,11 +151,11 @@ cx AS (SELECT doc_id, source, lang, 'FY' || (doc_id % 5 + {FIRST_YEAR}) || ' Q'
 _TF = TF.replace(" AS toks FROM documents)", " AS toks FROM cx)").replace("SELECT item_id AS qid, text AS question FROM benchmark", "SELECT qid, expanded AS question FROM fx")
 
 
-@query(f"WITH {ASKED} SELECT qid, array_to_string(tickers, ',') AS tickers, fiscal_year, fiscal_quarter, period_label, md5(expanded) AS expanded FROM fx")
+@query(f"WITH {ASKED} SELECT qid, array_to_string(tickers, ',') AS tickers, fiscal_year::VARCHAR AS fiscal_year, fiscal_quarter::VARCHAR AS fiscal_quarter, period_label, md5(expanded) AS expanded FROM fx")
 def question_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies and periods of questions, and how they are expanded."""
     rows = with_facets(_asked(spark, sf_dir), _dictionary(_docs(spark, sf_dir)))
-    return rows.select("qid", F.array_join("tickers", ",").alias("tickers"), "fiscal_year", "fiscal_quarter", "period_label", F.md5("expanded").alias("expanded"))
+    return rows.select("qid", F.array_join("tickers", ",").alias("tickers"), *[F.col(c).cast("string").alias(c) for c in ("fiscal_year", "fiscal_quarter")], "period_label", F.md5("expanded").alias("expanded"))
 
 
 @query(
