@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.parsing import spread, unfolded
 from lodestone.registry import query, table
 
 # What begins a heading line, what may follow a part's numeral, the most words of a heading.
@@ -140,7 +141,7 @@ _SHOWN = "CASE (31 * doc_id + 7 * line_no) % 16 " + " ".join(f"WHEN {k} THEN {v}
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filing for each document: its lines, some in the guise of parts, items, references, tables and signatures; doc_id, form, text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     show = F.expr(f"transform(split(text, '\\n'), (line, line_no) -> {_SHOWN})")
     form = F.when(F.col("doc_id") % 3 == 0, "10-K").when(F.col("doc_id") % 3 == 1, "10-q").otherwise("8-K")
     return docs.select("doc_id", form.alias("form"), F.array_join(show, "\n").alias("text"))
@@ -165,13 +166,13 @@ s AS (SELECT doc_id, part, item, title, start, (start + length(regexp_replace(su
 @query(f"WITH {WALK} SELECT doc_id, part, item, title, start FROM h")
 def filing_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item headings with the part that holds where they stand."""
-    return with_sections(filings(spark, sf_dir)).select("doc_id", F.inline("sections")).drop("end")
+    return with_sections(filings(spark, sf_dir)).select("doc_id", unfolded("sections")).drop("end")
 
 
 @query(f"""WITH {WALK} SELECT s.doc_id, CASE WHEN part > 0 THEN 'Part ' || ['I', 'II', 'III', 'IV'][part] || '.' ELSE '' END || 'Item ' || item AS section, start, "end", md5(substring(text, start + 1, "end" - start)) AS digest FROM s JOIN tx USING (doc_id)""")
 def filing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of filings with their offsets and a digest of what stands there."""
-    rows = with_sections(filings(spark, sf_dir)).select("doc_id", "text", F.inline("sections"))
+    rows = with_sections(filings(spark, sf_dir)).select("doc_id", "text", unfolded("sections"))
     body = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
     return rows.select("doc_id", key(F.col("part"), F.col("item")).alias("section"), "start", "end", F.md5(body).alias("digest"))
 
