@@ -6,12 +6,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.parsing import BLOCKS, HEADS, LINES, spread, with_blocks
+from lodestone.operators.parsing import BLOCKS, HEADS, LINES, slices, spread, with_blocks
 from lodestone.registry import query, table
 
 TARGET, OVERLAP, CHILD = 350, 60, 120
@@ -64,16 +64,29 @@ def windows(text: str, target: int, overlap: int) -> Iterator[tuple[int, int]]:
         yield found[first][0], found[-1][1]
 
 
+def _spans(of: Callable[[pa.RecordBatch], Iterator[tuple]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that gives doc_id and what `of` finds in a slice, as (row of the slice, a number for each name)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = list(of(batch))
+            at, *numbers = [pa.array([r[k] for r in found], pa.int64()) for k in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), *numbers], ["doc_id", *names])
+
+    return each
+
+
 def packed(rows: DataFrame, target: int, overlap: int) -> DataFrame:
     """The windows of each row's body, from its start on: (doc_id, start, end, parent_start, parent_end), linear in the length of a text."""
     check_sizes(target, overlap)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            spans = [(d, s + a, s + b, s, e) for d, s, e, t in zip(batch["doc_id"], batch["start"], batch["end"], batch["body"]) for a, b in windows(t or "", target, overlap)]
-            yield pd.DataFrame(spans, columns=["doc_id", "start", "end", "parent_start", "parent_end"])
+    def spans(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, (s, e, t) in enumerate(zip(*(batch[c].to_pylist() for c in ("start", "end", "body")), strict=True)):
+            for a, b in windows(t or "", target, overlap):
+                yield i, s + a, s + b, s, e
 
-    return rows.select("doc_id", "start", "end", "body").mapInPandas(each, f"doc_id {dict(rows.dtypes)['doc_id']}, start long, end long, parent_start long, parent_end long")
+    names = ["start", "end", "parent_start", "parent_end"]
+    return rows.select("doc_id", "start", "end", "body").mapInArrow(_spans(spans, names), f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names))
 
 
 def fixed(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -135,16 +148,12 @@ def recursive_spans(text: str, target: int, overlap: int) -> list[tuple[int, int
 def recursive(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     check_sizes(target, overlap)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (d, a, b)
-                for d, t in zip(batch["doc_id"], batch["text"])
-                for a, b in recursive_spans(t or "", target, overlap)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end"])
+    def spans(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i, t in enumerate(batch["text"].to_pylist()):
+            for a, b in recursive_spans(t or "", target, overlap):
+                yield i, a, b
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(each, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, end long")
+    return spread(docs.select("doc_id", "text")).mapInArrow(_spans(spans, ["start", "end"]), f"doc_id {dict(docs.dtypes)['doc_id']}, start long, end long")
 
 
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {"fixed": fixed, "recursive": recursive, "section-aware": section_aware, "parent-child": parent_child}
