@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from lodestone.functions import figures as N
+from lodestone.operators.parsing import slices
 
 # What opens a calculation, constants that need no source, scales between operands and result, and words for "about".
 CALC = r"(?i)(?:[-*•][ \t]+)?\**\bCALC:"
@@ -24,6 +25,8 @@ UNPARSED, UNCITED, UNKNOWN, ABSENT, MISMATCH = "unparsed", "uncited operand", "u
 AMOUNT = rf"(?P<currency>[$€£])?\s?(?P<number>{N.FIGURE})(?:\s*(?P<unit>%|percent\b|(?:thousand|million|billion|trillion)s?\b))?"
 TOKEN = re.compile(rf"\s*(?:\[(?P<tags>c\d+(?:\s*,\s*c\d+)*)\]|{AMOUNT}|(?P<sign>[-+*/()×÷−–]|x(?=\s)))", re.I)
 RESULT = re.compile(AMOUNT.replace(r"(?:\s*(?P<unit>", r"\)?(?:\s*(?P<unit>"), re.I)
+OPENING, AND = re.compile(CALC + r"\**"), re.compile(r"\s*,\s*")
+BRACKETS = str.maketrans("【】", "[]")
 SIGNS = {"×": "*", "x": "*", "X": "*", "÷": "/", "−": "-", "–": "-"}
 OPERAND = "struct<raw:string,value:double,percent:boolean,scale:double,currency:boolean,tags:array<string>>"
 PARSED = f"array<struct<line:string,operands:array<{OPERAND}>,computed:double,stated:double,percent:boolean,slack:double>>"
@@ -63,15 +66,15 @@ def parse(line: str) -> dict:
     A line that is not numbers, tags, + - * / and brackets before its last "=" has no operands.
     """
     found = {"line": line, "operands": [], "computed": None, "stated": None, "percent": False, "slack": 0.0}
-    left, _, right = re.sub(CALC + r"\**", "", line, count=1).translate(str.maketrans("【】", "[]")).rpartition("=")
-    operands, expression, at = [], "", 0
-    while left[at:].strip():
+    left, _, right = OPENING.sub("", line, count=1).translate(BRACKETS).rpartition("=")
+    operands, expression, at, stop = [], "", 0, len(left.rstrip())
+    while at < stop:
         m = TOKEN.match(left, at)
         if m is None or m["tags"] and not operands:
             return found
         at = m.end()
         if m["tags"]:
-            operands[-1]["tags"] += re.split(r"\s*,\s*", m["tags"])
+            operands[-1]["tags"] += AND.split(m["tags"])
         elif m["sign"]:
             expression += SIGNS.get(m["sign"], m["sign"])
         else:
@@ -96,7 +99,7 @@ def parsed(rows: DataFrame, source: str) -> DataFrame:
     kind = to_arrow_type(target["calcs"].dataType)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[parse(x) for x in xs or []] for xs in batch.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "calcs"])
 
@@ -130,15 +133,20 @@ def verdicts(calcs: Column, known: Column) -> Column:
         )
 
     def step(state: Column, c: Column) -> Column:
-        against = F.filter(F.transform(c["operands"], lambda o: reason(o, state["results"])), lambda r: r.isNotNull())
-        why = F.when(F.size(c["operands"]) == 0, UNPARSED).when(F.size(against) > 0, F.get(against, 0)).when(~result_holds(c), MISMATCH).otherwise("")
-        record = F.struct(
-            c["line"], c["stated"], c["percent"], c["slack"], c["computed"], F.transform(c["operands"], lambda o: o["value"] * o["scale"]).alias("operands"),
-            F.array_distinct(F.flatten(c["operands"]["tags"])).alias("tags"), (why == "").alias("verified"), why.alias("reason"),
-        )
-        return F.struct(
-            F.when(why == "", F.array_append(state["results"], c["stated"])).otherwise(state["results"]).alias("results"), F.array_append(state["out"], record).alias("out")
-        )
+        against = F.get(F.filter(F.transform(c["operands"], lambda o: reason(o, state["results"])), lambda r: r.isNotNull()), 0)
+        why = F.when(F.size(c["operands"]) == 0, UNPARSED).otherwise(F.coalesce(against, F.when(~result_holds(c), MISMATCH).otherwise("")))
+
+        def onward(why: Column) -> Column:
+            record = F.struct(
+                c["line"], c["stated"], c["percent"], c["slack"], c["computed"], F.transform(c["operands"], lambda o: o["value"] * o["scale"]).alias("operands"),
+                F.array_distinct(F.flatten(c["operands"]["tags"])).alias("tags"), (why == "").alias("verified"), why.alias("reason"),
+            )
+            return F.struct(
+                F.when(why == "", F.array_append(state["results"], c["stated"])).otherwise(state["results"]).alias("results"), F.array_append(state["out"], record).alias("out")
+            )
+
+        # as an array's element the reason is evaluated once, though it is used four times
+        return F.get(F.transform(F.array(why), onward), 0)
 
     return F.aggregate(calcs, start, step, lambda s: s["out"])
 

@@ -150,8 +150,10 @@ def verified_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.format_number(F.col("l_extendedprice") * (1 + F.col("l_tax")), 2)
     line = F.concat(F.lit("CALC: "), price, F.lit(" [c1] + "), tax, F.lit(" [c2] = "), total)
     passage = lambda tag, word, x: F.struct(F.lit(tag).alias("tag"), N.amounts(F.concat(F.lit(word), x)).alias("amounts"), F.lit(None).cast("double").alias("caption"))
-    rows = rows.select("l_orderkey", "l_linenumber", F.array(line).alias("lines"), F.array(passage("c1", "Price ", price), passage("c2", "Tax ", tax)).alias("known"))
-    rows = C.parsed(rows, "lines").select("l_orderkey", "l_linenumber", F.explode(C.verdicts(F.col("calcs"), F.col("known"))).alias("v"))
+    # passages are read after the parser, so that only figures as text cross to Python and back
+    rows = C.parsed(rows.select("l_orderkey", "l_linenumber", price.alias("price"), tax.alias("tax"), F.array(line).alias("lines")), "lines")
+    rows = rows.withColumn("known", F.array(passage("c1", "Price ", F.col("price")), passage("c2", "Tax ", F.col("tax"))))
+    rows = rows.select("l_orderkey", "l_linenumber", F.explode(C.verdicts(F.col("calcs"), F.col("known"))).alias("v"))
     return rows.select("l_orderkey", "l_linenumber", "v.verified", "v.reason")
 
 

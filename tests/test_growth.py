@@ -48,3 +48,13 @@ def test_questions_travel_as_plain_rows(spark):
     asked = spark.createDataFrame([(1, "a")], "qid long, question string")
     (part,) = text_index._parts(asked, spark.createDataFrame([(1, "a", 2.0)], "qid long, term string, weight double"))
     assert part.value == [(1, "a", 2.0)]
+
+
+def test_the_reason_of_a_calculation_is_written_once(spark):
+    from lodestone.functions import calculations as C
+
+    rows = spark.createDataFrame([([C.parse("CALC: 5 [c1] - 3 [c1] = 2")],)], f"calcs {C.PARSED}")
+    known = F.array(F.struct(F.lit("c1").alias("tag"), C.N.amounts(F.lit("a 5 and 3")).alias("amounts"), F.lit(None).cast("double").alias("caption")))
+    told = rows.withColumn("known", known).select(C.verdicts(F.col("calcs"), F.col("known")).alias("v"))
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert plan.count(C.UNKNOWN) == 1 and [(x.verified, x.reason) for x in told.first().v] == [(True, "")]
