@@ -112,7 +112,8 @@ def _parts(asked: DataFrame, weighted: DataFrame) -> Iterator[Broadcast]:
     for i in range(n):
         # bounded: questions are dealt by a hash
         rows = weighted.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).collect()
-        yield asked.sparkSession.sparkContext.broadcast(Questions([(r.qid, r.term, r.weight) for r in rows]))
+        # plain rows, as an object of a class could only be read where this package is installed
+        yield asked.sparkSession.sparkContext.broadcast([(r.qid, r.term, r.weight) for r in rows])
 
 
 def search(index: DataFrame, asked: DataFrame, k: int, overlap: bool = False) -> DataFrame:
@@ -134,7 +135,7 @@ def search(index: DataFrame, asked: DataFrame, k: int, overlap: bool = False) ->
     for part in _parts(asked, weighted):
 
         def each(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            q, best = part.value, {}
+            q, best = Questions(part.value), {}
             for batch in batches:
                 for row in range(batch.num_rows):
                     get = lambda c: batch[c].slice(row, 1).flatten()  # noqa: B023, E731
