@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.registry import query, table
-from lodestone.storage import shared_root
+from lodestone.storage import remove, shared_root
 
 
 def changed(rows: DataFrame, stored: DataFrame, key: str, content: str) -> DataFrame:
@@ -22,39 +18,48 @@ def changed(rows: DataFrame, stored: DataFrame, key: str, content: str) -> DataF
     return rows.withColumn("_sha", F.sha2(content, 256)).join(known, [key, "_sha"], "left_anti").drop("_sha")
 
 
-def latest_changes(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """A stream's rows (key, order, content) that bring something new: the latest of each key in a batch, if it is later than what the state has and says something else.
+def latest_changes(rows: DataFrame, known: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """What a batch of rows (key, order, content) brings: of each key the latest row, if it is later than what is known (key, order, sha).
 
-    The state holds the order and the digest of a key's last content, whatever the number of its versions. Ties of order go to the greater
-    content; rows without a key are one key; null content is empty.
+    Columns: key, order, sha (the content's digest), content (null if the digest is the known one), again (whether the key was known).
+    Ties of order go to the greater content; rows without a key are one key; null content is empty. A key's rows meet in an aggregate
+    and its known row in a join, so the cost of a key is that of its rows.
     """
-    kinds = dict(rows.dtypes)
-
-    def step(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, best = (state.get if state.exists else (None, None)), None
-        for frame in frames:
-            for at, text in zip(frame[order].tolist(), frame[content].tolist(), strict=True):
-                now = (at, text or "")
-                best = now if best is None or now > best else best
-        if best is None or last[0] is not None and best[0] <= last[0]:
-            return
-        sha = hashlib.sha256(best[1].encode()).hexdigest()
-        state.update((best[0], sha))
-        if sha != last[1]:
-            yield pd.DataFrame({key: [of[0]], order: [best[0]], content: [best[1]], "again": [last[1] is not None]})
-
-    out = f"{key} {kinds[key]}, {order} {kinds[order]}, {content} string, again boolean"
-    return rows.select(key, order, content).groupBy(key).applyInPandasWithState(step, out, f"{order} {kinds[order]}, sha string", "append", GroupStateTimeout.NoTimeout)
+    latest = rows.select(key, order, F.coalesce(content, F.lit("")).alias(content)).groupBy(key).agg(F.max(F.struct(order, content)).alias("_now"))
+    latest = latest.select(F.col(key), F.col("_now")[order].alias(order), F.col("_now")[content].alias(content)).withColumn("sha", F.sha2(content, 256))
+    last = known.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col("sha").alias("_sha"))
+    met = latest.join(last, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_order").isNull() | (F.col(order) > F.col("_order")))
+    same = F.col("sha").eqNullSafe(F.col("_sha"))
+    return met.select(key, order, "sha", F.when(~same, F.col(content)).alias(content), F.col("_sha").isNotNull().alias("again"))
 
 
 def ingest(spark: SparkSession, folder: str, schema: str, sink: str, checkpoint: str, key: str, order: str, content: str) -> StreamingQuery:
     """Takes the files that came since the last run, once each, and appends what they change to the sink; ends when there is no more.
 
-    What was read and the state of keys are in the checkpoint, so a run that is killed goes on where it was, and a file read twice by it
-    is written once.
+    Two streams: the first lands the changes of each batch and what is known of all keys after it (the order and digest of a key's last
+    content, whatever the number of its versions) under the batch's number, the second moves the landed changes into the sink. All is in
+    the checkpoint: a batch that is killed is made again from what was known before it and takes the place of what it left, and the second
+    starts when the first has ended, so a run that is killed goes on where it was, and a file read twice is written once. The landed
+    changes are deleted once they are in the sink.
     """
-    rows = latest_changes(spark.readStream.schema(schema).parquet(folder), key, order, content)
-    return rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    rows = spark.readStream.schema(schema).parquet(folder)
+    kinds = dict(rows.dtypes)
+    kept = f"{key} {kinds[key]}, {order} {kinds[order]}, sha string"
+    taken = f"{key} {kinds[key]}, {order} {kinds[order]}, sha string, {content} string, again boolean"
+
+    def land(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        known = own.read.schema(kept).parquet(f"{checkpoint}/known/{number - 1}") if number else batch.limit(0).select(key, order, F.lit(None).cast("string").alias("sha"))
+        latest_changes(batch, known, key, order, content).write.mode("overwrite").parquet(f"{checkpoint}/taken/{number}")
+        new = own.read.schema(taken).parquet(f"{checkpoint}/taken/{number}").select(key, order, "sha")
+        old = known.join(new.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+        old.unionByName(new).write.mode("overwrite").parquet(f"{checkpoint}/known/{number}")
+        remove(own, f"{checkpoint}/known/{number - 2}")
+
+    rows.writeStream.foreachBatch(land).option("checkpointLocation", f"{checkpoint}/read").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.readStream.schema(taken).option("cleanSource", "delete").parquet(f"{checkpoint}/taken/*")
+    out = changes.where(F.col(content).isNotNull()).select(key, order, content, "again")
+    return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{checkpoint}/written").outputMode("append").trigger(availableNow=True).start()
 
 
 @query(

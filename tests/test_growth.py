@@ -58,3 +58,29 @@ def test_the_reason_of_a_calculation_is_written_once(spark):
     told = rows.withColumn("known", known).select(C.verdicts(F.col("calcs"), F.col("known")).alias("v"))
     plan = told._jdf.queryExecution().analyzed().toString()
     assert plan.count(C.UNKNOWN) == 1 and [(x.verified, x.reason) for x in told.first().v] == [(True, "")]
+
+
+def test_a_batch_of_a_stream_brings_what_is_new_without_a_call_a_key(spark):
+    from lodestone.streaming import ingest as I
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 3, "same"), ("c", 1, None), (None, 1, "n"), ("d", 1, "late")], "k string, v long, t string")
+    known = spark.createDataFrame([("b", 2, "same"), (None, 0, "m"), ("d", 1, "old")], "k string, v long, t string").selectExpr("k", "v", "sha2(t, 256) AS sha")
+    got = I.latest_changes(rows, known, "k", "v", "t")
+    assert sorted(((r.k, r.v, r.t, r.again) for r in got.collect()), key=str) == sorted([("a", 2, "z", False), ("b", 3, None, True), ("c", 1, "", False), (None, 1, "n", True)], key=str)
+    assert "Python" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Pandas" not in plan
+
+
+def test_a_killed_batch_is_made_again_and_written_once(spark, tmp_path, monkeypatch):
+    from lodestone.streaming import ingest as I
+
+    run = lambda: I.ingest(spark, f"{tmp_path}/in", "k long, v long, t string", f"{tmp_path}/out", f"{tmp_path}/cp", "k", "v", "t").awaitTermination()
+    put = lambda *rows: spark.createDataFrame(list(rows), "k long, v long, t string").write.mode("append").parquet(f"{tmp_path}/in")
+    put((1, 1, "a"), (2, 1, "b"))
+    with monkeypatch.context() as m:
+        m.setattr(I, "remove", lambda *_: 1 / 0)  # the end of a batch, when all of it is landed
+        with pytest.raises(Exception, match="ZeroDivision"):
+            run()
+    put((1, 2, "a"), (2, 2, "c"))
+    run()
+    run()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 1, "a", False), (2, 1, "b", False), (2, 2, "c", True)]
