@@ -62,6 +62,7 @@ def nearest(vectors: DataFrame, k: int, cosine: bool = True, same_label: bool =
         return pa.table(taken | {"score": pa.array(score[q, c])})
 
     schema = f"qid {kinds['vec_id']}, q_label {kinds['label']}, vec_id {kinds['vec_id']}, label {kinds['label']}, score double"
+    asked, others = (graph_index.dealt(x, 2 * left * right, *keys) for x in (asked, others))
     found = asked.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(meet, schema)
     return top(found.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col("vec_id"))
 

@@ -23,6 +23,8 @@ DEGREE, BUILD_BEAM, BEAM = 32, 200, 64
 SHARD = 4096
 #: Questions that a task takes to its shard at once.
 ASKED = 4096
+#: Rows whose products with a shard are made at once.
+BLOCK = 256
 
 
 class Graph:
@@ -68,18 +70,60 @@ class Graph:
                 heapq.heappush(open_, (-t, j))
         return sorted(found, reverse=True)
 
-    def spread(self, found: list[tuple[float, int]], most: int) -> np.ndarray:
-        """Neighbours out of candidates: those nearer to the row than to a neighbour taken before, then the nearest of the others."""
-        kept: list[int] = []
-        spare: list[int] = []
-        for s, i in found:
-            if len(kept) == most:
+    def spread(self, near: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
+        """Neighbours out of candidates, the nearest first: those nearer to the row than to a neighbour taken before, then the nearest of the others."""
+        x, taken, at = self.x[near], [], 0
+        closest = np.full(len(near), -np.inf)  # of a candidate, to the neighbours taken so far
+        while len(taken) < most and at < len(near):
+            good = closest[at:] <= scores[at:]
+            step = int(good.argmax())
+            if not good[step]:
                 break
-            if kept and (self.x[kept] @ self.x[i]).max() > s:
-                spare.append(i)
-            else:
-                kept.append(i)
-        return np.array((kept + spare)[:most], np.int64)
+            at += step
+            taken.append(at)
+            np.maximum(closest, x @ x[at], out=closest)
+            at += 1
+        spare = np.ones(len(near), bool)
+        spare[taken] = False
+        return near[np.concatenate([np.array(taken, np.int64), np.flatnonzero(spare)])[:most]]
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, levels: list[int], degree: int = DEGREE) -> Graph:
+        """The graph of all rows at once, as if inserted one after the other by beams that miss nothing.
+
+        A row's candidates are the nearest of the rows before it, by products of blocks, as a shard is bounded; each row gets its
+        neighbours once, and is cut back once when all rows that chose it are known.
+        """
+        graph, level = cls(vectors, degree), np.array(levels, np.int64)
+        graph.links = [[np.zeros(0, np.int64)] * (n + 1) for n in levels]
+        for layer in range(int(level.max(initial=-1)) + 1):
+            rows = np.flatnonzero(level >= layer)
+            x = vectors[rows]
+            chosen = [np.zeros(0, np.int64)] * len(rows)
+            for low in range(0, len(rows), BLOCK):
+                high = min(low + BLOCK, len(rows))
+                scores = x[low:high] @ x[:high].T
+                scores[np.arange(high) >= np.arange(low, high)[:, None]] = -np.inf
+                # of equal rows the later ones come first, so that none gathers all links
+                order = high - 1 - np.argsort(-scores[:, ::-1], axis=1, kind="stable")[:, :BUILD_BEAM]
+                for i in range(low, high):
+                    near = order[i - low, : min(i, BUILD_BEAM)]
+                    chosen[i] = graph.spread(rows[near], scores[i - low, near], degree)
+            back: list[list[int]] = [[] for _ in levels]
+            for i, own in zip(rows.tolist(), chosen, strict=True):
+                for j in own.tolist():
+                    back[j].append(i)
+            most = degree * (1 if layer else 2)
+            for i, own in zip(rows.tolist(), chosen, strict=True):
+                links = np.concatenate([own, np.array(back[i], np.int64)])
+                if len(links) > most:
+                    scores = vectors[links] @ vectors[i]
+                    order = np.lexsort((-links, -scores))
+                    links = graph.spread(links[order], scores[order], most)
+                graph.links[i][layer] = links
+        if len(level):
+            graph.entry = int(level.argmax())
+        return graph
 
     def insert(self, row: int, level: int) -> None:
         self.links.append([np.zeros(0, np.int64) for _ in range(level + 1)])
@@ -92,7 +136,7 @@ class Graph:
             entries = [self.beam(q, entries, layer, 1)[0][1]]
         for layer in range(min(level, highest), -1, -1):
             found = self.beam(q, entries, layer, BUILD_BEAM)
-            own = self.spread(found, self.degree)
+            own = self.spread(np.array([i for _, i in found], np.int64), np.array([s for s, _ in found]), self.degree)
             self.links[row][layer] = own
             most = self.degree * (1 if layer else 2)
             for i in own.tolist():
@@ -100,7 +144,7 @@ class Graph:
                 if len(back) > most:
                     scores = self.x[back] @ self.x[i]
                     order = np.argsort(-scores, kind="stable")
-                    back = self.spread(list(zip(scores[order].tolist(), back[order].tolist(), strict=True)), most)
+                    back = self.spread(back[order], scores[order], most)
                 self.links[i][layer] = back
             entries = [i for _, i in found]
         if level > highest:
@@ -126,6 +170,11 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
+def dealt(rows: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Rows of a group together, in about as many partitions as there are groups: dealt by bytes alone, small groups of much work would share a task."""
+    return rows.repartition(min(max(groups, 1), 4096), *keys)
+
+
 def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     """An index of vectors (vec_id, embedding): width, shard, place, vec_id, embedding, links (an array per layer).
 
@@ -136,18 +185,17 @@ def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     rows = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", F.size("embedding").alias("width"))
     # each width is dealt over as many shards as its rows need
     sizes = rows.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).alias("shards"))
+    shards = sizes.agg(F.sum("shards")).first()[0] or 0
     rows = rows.join(F.broadcast(sizes), "width").select("width", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("shards")).alias("shard"), "vec_id", "embedding")
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
-        graph = Graph(_matrix(table))
-        for i, key in enumerate(table["vec_id"].to_pylist()):
-            graph.insert(i, level_of(str(key)))
+        graph = Graph.of(_matrix(table), [level_of(str(key)) for key in table["vec_id"].to_pylist()])
         links = pa.array([[x.tolist() for x in own] for own in graph.links], pa.list_(pa.list_(pa.int32())))
         return table.append_column("place", pa.array(range(table.num_rows), pa.int32())).append_column("links", links).select(["width", "shard", "place", "vec_id", "embedding", "links"])
 
     schema = f"width int, shard long, place int, vec_id {kinds['vec_id']}, embedding {kinds['embedding']}, links array<array<int>>"
-    return rows.groupBy("width", "shard").applyInArrow(one, schema)
+    return dealt(rows, 2 * shards, "width", "shard").groupBy("width", "shard").applyInArrow(one, schema)
 
 
 def search(index: DataFrame, asked: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
@@ -180,7 +228,8 @@ def search(index: DataFrame, asked: DataFrame, k: int, beam: int = BEAM) -> Data
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["qid", "vec_id", "score"])
 
     keys = ["width", "shard", "batch"]
-    found = sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(meet, f"qid {ids}, vec_id {ids}, score double")
+    groups = 2 * n * shards.count()
+    found = dealt(sent, groups, *keys).groupBy(*keys).cogroup(dealt(held, groups, *keys).groupBy(*keys)).applyInArrow(meet, f"qid {ids}, vec_id {ids}, score double")
     return top(found.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col("vec_id"))
 
 

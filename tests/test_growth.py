@@ -84,3 +84,22 @@ def test_a_killed_batch_is_made_again_and_written_once(spark, tmp_path, monkeypa
     run()
     run()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [(1, 1, "a", False), (2, 1, "b", False), (2, 2, "c", True)]
+
+
+def test_a_graph_is_made_at_once_and_shards_are_not_put_into_one_task(spark):
+    import numpy as np
+
+    from lodestone.operators import graph_index
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8, 16))[rng.integers(0, 8, 900)] + 0.5 * rng.normal(size=(900, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[600:] = x[0]  # many copies: none of them gathers all links
+    graph = graph_index.Graph.of(x, [graph_index.level_of(str(i)) for i in range(len(x))])
+    assert all(len(own[0]) <= 64 and all(len(y) <= 32 for y in own[1:]) for own in graph.links)
+    scores = [(sorted(x @ q)[-10:], sorted(s for s, _ in graph.search(q, 10))) for q in x[:600:10]]
+    assert sum(len(got) == 10 and np.allclose(true, got) for true, got in scores) >= 57
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = graph_index.build(vectors, shard=100)
+    assert index.rdd.getNumPartitions() >= 9  # adaptive execution puts small partitions together, but none that are asked for
+    assert graph_index.search(index, graph_index.every(vectors, graph_index.F.col("vec_id") < 20), 3).count() == 60
