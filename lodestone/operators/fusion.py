@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.operators import text_index
 from lodestone.operators.lexical import TF, bm25, questions, top
 from lodestone.registry import query, table
-from lodestone.storage import landed
 
 POOL, CONSTANT, DEPTH = 50, 60, 5
 # How a text names a fiscal year, and a quarter with its year.
@@ -33,7 +32,7 @@ def fuse(lists: list[DataFrame], k: int, constant: int = CONSTANT) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), questions(table(spark, sf_dir, "benchmark"))
-    index = landed(text_index.build(docs), "text-index")
+    index = text_index.built(docs)
     return fuse([text_index.search(index, asked, POOL), overlap(index, asked, POOL)], DEPTH)
 
 
@@ -97,7 +96,7 @@ def filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fallback(docs: DataFrame, asked: DataFrame, k: int, where: Column) -> DataFrame:
     """qid, doc_id, score, rank, filtered: one scoring gives the k best inside of the filter and outside of it; both together hold the k best of all."""
-    index = landed(text_index.build(docs, F.coalesce(where, F.lit(False))), "text-index")
+    index = text_index.built(docs, F.coalesce(where, F.lit(False)))
     own = Window.partitionBy("qid")
     rows = text_index.search(index, asked, k).withColumn("best", F.max("score").over(own)).withColumn("filtered", F.max(F.col("label") == "true").over(own))
     rows = rows.where(~F.col("filtered") | (F.col("label") == "true")).drop("rank")
@@ -111,7 +110,7 @@ def fallback(docs: DataFrame, asked: DataFrame, k: int, where: Column) -> DataFr
 def interleave_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ranked list for each source of the table, dealt in turn: first of each, second of each, and so on."""
     docs, asked = table(spark, sf_dir, "documents"), questions(table(spark, sf_dir, "benchmark"))
-    index = landed(text_index.build(docs, F.col("source")), "text-index")
+    index = text_index.built(docs, F.col("source"))
     rows = text_index.search(index, asked, DEPTH).where("label IS NOT NULL").withColumnsRenamed({"rank": "position", "label": "source"})
     return top(rows, DEPTH, F.col("position"), F.col("source")).select("qid", "doc_id", "source", "rank")
 

@@ -9,7 +9,6 @@ from lodestone.functions import text as T
 from lodestone.operators import text_index
 from lodestone.operators.text_index import EPSILON
 from lodestone.registry import query, table
-from lodestone.storage import landed
 
 #: Results per question.
 DEPTH = 5
@@ -44,7 +43,7 @@ def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def bm25(docs: DataFrame, asked: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """qid, doc_id, score, rank: scores as shares of the question's best; a filter comes after scoring, so it may leave the best out."""
-    index = landed(text_index.build(docs, None if where is None else F.coalesce(where, F.lit(False))), "text-index")
+    index = text_index.built(docs, None if where is None else F.coalesce(where, F.lit(False)))
     rows = text_index.search(index, asked, k).withColumn("best", F.max("score").over(Window.partitionBy("qid")))
     if where is not None:
         rows = rows.where("label = 'true'")

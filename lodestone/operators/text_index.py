@@ -18,11 +18,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import text as T
 from lodestone.operators.parsing import spread
+from lodestone.storage import landed
 
 # The customary parameters of BM25 Okapi.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents and tokens of a block; bytes of questions that go to the tasks at once.
 DOCUMENTS, TOKENS, QUESTIONS = 1024, 1 << 19, 8 << 20
+#: Blocks of a file of a landed index; a block can have some MB.
+FILE = 8
 #: Places to which scores are rounded, so that order doesn't hang on the order of sums.
 PLACES = 9
 
@@ -61,6 +64,11 @@ def build(docs: DataFrame, label: Column | None = None) -> DataFrame:
     return rows.mapInArrow(each, schema)
 
 
+def built(docs: DataFrame, label: Column | None = None, name: str = "text-index") -> DataFrame:
+    """The blocks, landed for several passes."""
+    return landed(build(docs, label), name, FILE)
+
+
 def statistics(index: DataFrame) -> DataFrame:
     """One row: n documents and their mean length in tokens."""
     own = index.select(F.size("doc_ids").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("tokens"))

@@ -21,7 +21,7 @@ def corpus_scope_of(docs: DataFrame) -> DataFrame:
 
 def found_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """qid, doc_id, score, rank of every benchmark question."""
-    index = landed(text_index.build(table(spark, sf_dir, "documents")), "text-index")
+    index = text_index.built(table(spark, sf_dir, "documents"))
     return text_index.search(index, questions(table(spark, sf_dir, "benchmark")), k)
 
 

@@ -9,7 +9,6 @@ from lodestone.operators import text_index
 from lodestone.operators.lexical import TF
 from lodestone.plans.evaluation import occurrences
 from lodestone.registry import query, table
-from lodestone.storage import landed
 
 # How a question names a quarter with its year, or a fiscal year; of these the first that fits counts.
 QUARTERS = {"first": 1, "second": 2, "third": 3, "fourth": 4}
@@ -57,7 +56,7 @@ def context_index(docs: DataFrame) -> DataFrame:
     """A text index of docs (doc_id, text, ticker, period_label) over each text with what it is of before it; searched per ticker and period."""
     said = F.concat_ws(" ", "ticker", "period_label")
     rows = docs.withColumn("text", F.concat(said, F.lit("\n"), F.coalesce("text", F.lit(""))))
-    return landed(text_index.build(rows, F.concat(F.coalesce("ticker", F.lit("")), F.lit(_SEP), F.coalesce("period_label", F.lit("")))), "context-index")
+    return text_index.built(rows, F.concat(F.coalesce("ticker", F.lit("")), F.lit(_SEP), F.coalesce("period_label", F.lit(""))), "context-index")
 
 
 def retrieve(index: DataFrame, asked: DataFrame, k: int, caller: dict[str, str] | None = None, fall_back: bool = True, infer: bool = True) -> DataFrame:

@@ -9,7 +9,6 @@ from lodestone.operators import dense, text_index
 from lodestone.operators.fusion import POOL, fuse
 from lodestone.operators.lexical import TF, questions
 from lodestone.registry import query, table
-from lodestone.storage import landed
 
 # The names of strategies.
 STRATEGIES = ("dense", "bm25", "hybrid")
@@ -28,7 +27,7 @@ def retrieve(strategy: str, docs: DataFrame, vectors: DataFrame, asked: DataFram
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     if strategy == "dense":
         return dense_list(vectors, asked, k)
-    index = landed(text_index.build(docs), "text-index")
+    index = text_index.built(docs)
     if strategy == "bm25":
         return text_index.search(index, asked, k).select("qid", "doc_id", "score", "rank")
     lists = [dense_list(vectors, asked, POOL), text_index.search(index, asked, POOL)]

@@ -38,15 +38,18 @@ def remove(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back; it stays until the session's Python ends."""
+def landed(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """df, written to the shared folder and read back; it stays until the session's Python ends.
+
+    With `rows` a file has no more rows than that: a scan decodes thousands of a file's rows at once, whatever they weigh.
+    """
     spark = df.sparkSession
     key = f"{spark.sparkContext.applicationId}@{shared_root(spark)}"
     if key not in _folders:
         _folders[key] = f"{shared_root(spark)}/lodestone-{uuid.uuid4().hex}"
         atexit.register(remove, spark, _folders[key])
     path = f"{_folders[key]}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

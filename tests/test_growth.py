@@ -103,3 +103,27 @@ def test_a_graph_is_made_at_once_and_shards_are_not_put_into_one_task(spark):
     index = graph_index.build(vectors, shard=100)
     assert index.rdd.getNumPartitions() >= 9  # adaptive execution puts small partitions together, but none that are asked for
     assert graph_index.search(index, graph_index.every(vectors, graph_index.F.col("vec_id") < 20), 3).count() == 60
+
+
+def test_a_file_of_a_landed_index_holds_few_blocks(spark, monkeypatch):
+    from lodestone.operators import text_index
+
+    monkeypatch.setattr(text_index, "DOCUMENTS", 2)
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(80)], "doc_id long, text string").coalesce(1)
+    index = text_index.built(docs)
+    files = index.groupBy("_metadata.file_path").count().collect()
+    assert sum(r["count"] for r in files) == 40 and max(r["count"] for r in files) <= text_index.FILE
+    found = text_index.search(index, spark.createDataFrame([(1, "word7 common")], "qid long, question string"), 3).orderBy("rank").collect()
+    assert found[0].doc_id == 7
+
+
+def test_texts_are_searched_for_passages_in_slices(spark, monkeypatch):
+    from lodestone.plans import evaluation
+
+    def told(batches):
+        raise ValueError("sliced")
+
+    monkeypatch.setattr(evaluation, "slices", told)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="sliced"):
+        evaluation.occurrences(docs, spark.createDataFrame([(1, "b")], "qid long, passage string")).collect()
