@@ -136,6 +136,19 @@ def test_removed_bytes_of_crowded_anchors_and_many_shards(spark, monkeypatch):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 64, 16) == removed_by_brute_force(rows, 64)
 
 
+def test_query_removes_passages_of_over_fifty_words_from_400_bytes_on(spark, tmp_path):
+    """By the contract a passage of 51 words or more stays below 400 bytes, and n_bytes is the length of the whole text."""
+    rng = np.random.default_rng(11)
+    words = lambda size: " ".join("".join(rng.choice(list("abcdefgh"), int(k))) for k in rng.integers(3, 9, size))[:size]
+    short, long, own = words(399), words(400), words(420)
+    assert len(short.split()) > 50
+    rows = [(i, f"{words(300)}{2 * i}{p}{2 * i + 1}{words(300)}") for i, p in enumerate((short, short, long, long, f"{own}-{own}", "é"))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op4_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [(r.n_removed, r.n_spans) for r in got] == [(0, 0), (0, 0), (400, 1), (400, 1), (840, 2), (0, 0)]
+    assert [(str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got] == removed_by_brute_force(rows, 400)
+
+
 def test_merged_transforms_give_common_prefixes_and_repeated_intervals():
     rng = np.random.default_rng(5)
     for size, letters, n in ((12, 2, 300), (9, 3, 100), (40, 1, 90), (25, 4, 2000)):
