@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import attach, discard, staged
+from lodestone.llm.common import attach, discard, shuffled, staged
 
 #: Discount and strength of the restaurants and of their parent, sweeps that are dropped and sweeps that count.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.6, 1.0
@@ -353,7 +353,7 @@ def model(sums: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]
     more = F.sum(F.col("t") - 1).alias("more")
     each = 1.0 / (known + 1)
     for sweep in range(BURN_IN + SAMPLES):
-        guests = root.join(seated.groupBy("w").agg(more), "w", "left")
+        guests = root.join(shuffled(seated.groupBy("w").agg(more)), "w", "left")
         guests = guests.select("w", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("guests"), "t")
         total = guests.agg(F.sum("guests")).first()[0] or 0.0
         old, room = root, ROOT_STRENGTH + ROOT_DISCOUNT * (F.lit(root_tables) - F.col("t"))
@@ -365,7 +365,7 @@ def model(sums: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]
         shares = root.where("rows > 0").select("w", F.col("rows").alias("size"), "guests", F.col("t").alias("root_t"))
         met = staged(attach(seated, shares, ["w"], "size").drop("size"), "met")
         discard(seated)
-        tables = tables or staged(contexts.join(met.groupBy("u").agg(more), "u", "left").select("u", "cu", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("tu")), "tables")
+        tables = tables or staged(contexts.join(shuffled(met.groupBy("u").agg(more)), "u", "left").select("u", "cu", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("tu")), "tables")
         guest = attach(met, tables.where("rows > 0").select("u", "tu", F.col("rows").alias("size")), ["u"], "size").drop("size")
         room = STRENGTH + DISCOUNT * (F.col("tu") - F.col("t"))
         others = F.col("guests") - F.col("t")
@@ -375,7 +375,7 @@ def model(sums: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]
         seated = staged(new.select("bucket", "u", "w", "c", "t", "ts"), "seated")
         discard(met)
         old = tables
-        tables = contexts.join(seated.groupBy("u").agg(more), "u", "left").select("u", "cu", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("tu"))
+        tables = contexts.join(shuffled(seated.groupBy("u").agg(more)), "u", "left").select("u", "cu", "types", "rows", (F.col("types") + F.coalesce("more", F.lit(0.0))).alias("tu"))
         tables = staged(tables, "tables")
         discard(old)
         if sweep >= BURN_IN:
@@ -383,9 +383,9 @@ def model(sums: DataFrame) -> tuple[DataFrame, DataFrame, list[float], int, int]
             own = staged(root.select("w", (share / (ROOT_STRENGTH + total)).alias(f"p{i}")), "shares")
             samples.append((own, staged(tables.select(F.col("u").alias("w"), F.col("tu").alias(f"tu{i}")), "sampled"), spread / (ROOT_STRENGTH + total)))
     x = seated.select("bucket", "u", "w", (F.col("c") - DISCOUNT * F.col("ts") / SAMPLES).alias("x"))
-    words = parents.select("w", "cw").join(contexts.select(F.col("u").alias("w"), "cu"), "w", "left")
+    words = parents.select("w", "cw").join(shuffled(contexts.select(F.col("u").alias("w"), "cu")), "w", "left")
     for p, t, _ in samples:
-        words = words.join(p, "w").join(t, "w", "left")
+        words = words.join(shuffled(p), "w").join(shuffled(t), "w", "left")
     return x, words.fillna(0), [s[2] for s in samples], known, tokens
 
 
