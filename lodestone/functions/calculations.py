@@ -6,7 +6,9 @@ import ast
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,6 +29,9 @@ TOKEN = re.compile(rf"\s*(?:\[(?P<tags>c\d+(?:\s*,\s*c\d+)*)\]|{AMOUNT}|(?P<sign
 RESULT = re.compile(AMOUNT.replace(r"(?:\s*(?P<unit>", r"\)?(?:\s*(?P<unit>"), re.I)
 OPENING, AND = re.compile(CALC + r"\**"), re.compile(r"\s*,\s*")
 BRACKETS = str.maketrans("【】", "[]")
+#: The plain form, which Arrow reads without Python: two short numbers with at most a tag each, and a result without a unit.
+_PLAIN = r"[0-9]{1,3}(?:,[0-9]{3}){1,4}(?:\.[0-9]{1,9})?|[0-9]{1,15}(?:\.[0-9]{1,9})?"
+PLAIN = rf"^CALC: +(?P<c0>\$?)(?P<n0>{_PLAIN})(?: +\[(?P<t0>c[0-9]+)\])? +(?P<sign>[-+*/]) +(?P<c1>\$?)(?P<n1>{_PLAIN})(?: +\[(?P<t1>c[0-9]+)\])? += +\$?(?P<n2>{_PLAIN})$"
 SIGNS = {"×": "*", "x": "*", "X": "*", "÷": "/", "−": "-", "–": "-"}
 OPERAND = "struct<raw:string,value:double,percent:boolean,scale:double,currency:boolean,tags:array<string>>"
 PARSED = f"array<struct<line:string,operands:array<{OPERAND}>,computed:double,stated:double,percent:boolean,slack:double>>"
@@ -93,6 +98,48 @@ def parse(line: str) -> dict:
     }
 
 
+def _plain(lines: pa.Array, m: pa.StructArray, kind: pa.StructType) -> pa.Array:
+    """What parse() gives for lines of the plain form, whose groups are in m."""
+    n = len(lines)
+    group = dict(zip((f.name for f in m.type), m.flatten(), strict=True))
+    x, y, stated = (pa.compute.replace_substring(group[f"n{i}"], ",", "").cast(pa.float64()) for i in range(3))
+    both = np.arange(2 * n).reshape(2, n).T.ravel()
+    pairs = lambda a, b: pa.concat_arrays([a, b]).take(pa.array(both))
+    tags = pairs(group["t0"], group["t1"])
+    has = pa.compute.not_equal(tags, "")
+    operand = kind.field("operands").type.value_type
+    at = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    each = {
+        "raw": pairs(group["n0"], group["n1"]), "value": pairs(x, y), "percent": pa.repeat(False, 2 * n), "scale": pa.repeat(1.0, 2 * n),
+        "currency": pa.compute.not_equal(pairs(group["c0"], group["c1"]), ""),
+        "tags": pa.ListArray.from_arrays(at(has.to_numpy(zero_copy_only=False)), tags.filter(has), type=operand.field("tags").type),
+    }
+    operands = pa.StructArray.from_arrays([each[f.name] for f in operand], fields=list(operand))
+    a, b, sign = x.to_numpy(), y.to_numpy(), group["sign"].to_numpy(zero_copy_only=False)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        computed = np.select([sign == "+", sign == "-", sign == "*"], [a + b, a - b, a * b], a / b)
+    digits = pa.compute.subtract(pa.compute.binary_length(group["n2"]), pa.compute.find_substring(group["n2"], ".")).to_numpy() - 1
+    digits[pa.compute.find_substring(group["n2"], ".").to_numpy() < 0] = 0
+    slack = np.array([0.5 * 10.0**-i for i in range(10)])
+    whole = {
+        "line": lines, "operands": pa.ListArray.from_arrays(at(np.full(n, 2)), operands, type=kind.field("operands").type),
+        "computed": pa.array(computed, mask=(sign == "/") & (b == 0)), "stated": stated, "percent": pa.repeat(False, n), "slack": pa.array(slack[digits]),
+    }
+    return pa.StructArray.from_arrays([whole[f.name] for f in kind], fields=list(kind))
+
+
+def parse_all(lines: pa.Array, kind: pa.StructType) -> pa.Array:
+    """parse() of each line; only lines that aren't of the plain form become Python objects."""
+    m = pa.compute.extract_regex(lines, PLAIN)
+    plain = m.is_valid()
+    rest = pa.array([parse(x) for x in lines.filter(pa.compute.invert(plain)).to_pylist()], kind)
+    if len(rest) == len(lines):
+        return rest
+    found = _plain(lines.filter(plain), m.filter(plain), kind)
+    mask = plain.to_numpy(zero_copy_only=False)
+    return found if not len(rest) else pa.concat_arrays([found, rest]).take(pa.array(np.where(mask, np.cumsum(mask) - 1, len(found) + np.cumsum(~mask) - 1)))
+
+
 def parsed(rows: DataFrame, source: str) -> DataFrame:
     """Adds `calcs`, the parsed forms of an array of lines; only the parser is Python, the rest are columns."""
     target = StructType([*rows.schema.fields, *StructType.fromDDL(f"calcs {PARSED}").fields])
@@ -100,8 +147,10 @@ def parsed(rows: DataFrame, source: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [[parse(x) for x in xs or []] for xs in batch.column(source).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "calcs"])
+            lists = batch.column(source)
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), parse_all(lists.flatten(), kind.value_type), type=kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "calcs"])
 
     return rows.mapInArrow(each, target)
 
