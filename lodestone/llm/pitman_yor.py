@@ -161,9 +161,20 @@ class Pairs:
 
     def __init__(self, tokens: np.ndarray, numbers: np.ndarray, buckets: int) -> None:
         # the last token is an end, which is also what comes before the first
-        keys = np.concatenate([tokens[-1:], tokens[:-1]]) * len(numbers) + tokens
-        pairs, self.pair = np.unique(keys, return_inverse=True)
-        self.u, self.w = np.divmod(pairs, len(numbers))
+        # as few arrays of all tokens at once as can be: a worker keeps the most that it ever had
+        keys = np.empty(len(tokens), np.int64)
+        keys[:1], keys[1:] = tokens[-1:], tokens[:-1]
+        keys *= len(numbers)
+        keys += tokens
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        self.u, self.w = np.divmod(keys[new], len(numbers))
+        del keys
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
         u, w = numbers[self.u], numbers[self.w]
         known = np.flatnonzero((u >= 0) & (w >= 0))
         bucket = bucket_of(u[known], w[known], buckets)
@@ -412,18 +423,23 @@ def score(docs: DataFrame) -> DataFrame:
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         number = unpacked(left["b"][0].as_py(), left["n_words"][0].as_py())
-        tokens = unpacked(left["a"][0].as_py(), left["size"][0].as_py())
+        tokens = unpacked(left["a"][0].as_py(), left["size"][0].as_py()).astype(np.int32)
         p = Pairs(tokens, number, buckets)
         right = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        rows = list(zip(right["kind"].to_pylist(), right["a"].to_pylist(), right["size"].to_pylist(), strict=True))
         met = np.flatnonzero(number >= 0)
         met = met[by_bucket(number[met] % buckets, buckets)]
         k = len(VALUES)
         of_word = np.zeros((k, len(number)))
         of_word[2 + SAMPLES :] = np.array(unknown)[:, None]
-        of_word[:, met] = np.concatenate([np.zeros((k, 0)), *[unpacked(a, k * n, np.float64).reshape(k, n) for kind, a, n in rows if kind == 1]], axis=1)
         own = np.zeros(len(p.u))
-        own[p.known] = np.concatenate([np.zeros(0), *[unpacked(a, n, np.float64) for kind, a, n in rows if kind == 2]])
+        at = {1: 0, 2: 0}
+        for kind, n, a in zip(right["kind"].to_pylist(), right["size"].to_pylist(), right["a"], strict=True):
+            part, at[kind] = slice(at[kind], at[kind] + n), at[kind] + n
+            if kind == 1:
+                of_word[:, met[part]] = unpacked(a.as_py(), k * n, np.float64).reshape(k, n)
+            else:
+                own[p.known[part]] = unpacked(a.as_py(), n, np.float64)
+        assert at == {1: len(met), 2: len(p.known)}
         cw, cu, tu, p1 = of_word[0], of_word[1], of_word[2 : 2 + SAMPLES], of_word[2 + SAMPLES :]
         parent = sum((STRENGTH + DISCOUNT * tu[i][p.u]) * p1[i][p.w] for i in range(SAMPLES)) / SAMPLES
         lp = np.log10((own + parent) / (STRENGTH + cu[p.u]))

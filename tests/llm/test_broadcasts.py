@@ -1,5 +1,8 @@
 """What a driver must not hold: no join of the model or of `attach` is left to Spark's sizes of tables, which are those of compressed files."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +37,15 @@ def test_only_hot_groups_of_attach_are_broadcast(spark):
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     got = common.attach(rows, groups, ["k"], "n")
     assert not unhinted(got) and got.count() == 3000 and got.where("k = 0 AND least = 0 AND n = 2000").count() == 2000
+
+
+def test_pairs_of_a_chunk_take_few_arrays_of_its_tokens():
+    rng = np.random.default_rng(1)
+    tokens, numbers = rng.zipf(1.3, 1_000_000) % 5000, np.arange(-1, 4999)
+    tracemalloc.start()
+    p = pitman_yor.Pairs(tokens, numbers, 7)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    before = np.concatenate([tokens[-1:], tokens[:-1]])
+    assert (p.u[p.pair] == before).all() and (p.w[p.pair] == tokens).all() and len(set(zip(p.u.tolist(), p.w.tolist(), strict=True))) == len(p.u)
+    assert most < 32 * len(tokens)
